@@ -3,17 +3,47 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import tokens
+from . import language, packing, substrings, tokens, toxicity
 from .common import table
 
 
+def _fold_number(folds: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeated(table(spark, sf_dir, "documents"), window=50)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_language(docs.where(_fold_number(3) != 1))
+    return language.identify(docs, model).select("doc_id", F.coalesce(_fold_number(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(_fold_number(4) != 2))
+    return toxicity.score_toxicity(docs, model).select("doc_id", F.coalesce(_fold_number(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_packing": op5_packing,
+    "op7_language_id": op7_language_id,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
