@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, substrings, tokens, toxicity
+from . import language, minhash, packing, substrings, tokens, toxicity
 from .common import table
 
 
@@ -39,11 +39,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", F.coalesce(_fold_number(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_packing": op5_packing,
     "op7_language_id": op7_language_id,
     "op9_toxicity": op9_toxicity,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

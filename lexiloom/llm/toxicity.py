@@ -20,6 +20,7 @@ from .common import bounded_batches
 SEED_WORDS = ("idiot", "imbecile", "moron", "stupid", "dumb", "scum", "trash", "loser", "clown", "pathetic", "disgusting", "worthless", "vermin", "dumm", "abschaum", "trottel", "connard", "crétin", "débile", "estúpido", "imbécil", "escoria")
 SEED_EXCEPTIONS = ("trash can", "trash bin", "clown fish", "dumb bell", "scum line")
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "ι": "i", "κ": "k", "χ": "x"}
+OWN_LETTERS = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "|": "i", "l": "i"}
 
 #: Letters of the shortest and longest word beginnings that may become lexicon entries.
@@ -34,7 +35,8 @@ class _Folding(dict):
 
     def __missing__(self, point: int) -> str:
         out = ""
-        for c in unicodedata.normalize("NFKD", chr(point)).lower():
+        c = chr(point).lower()
+        for c in c if c in OWN_LETTERS else unicodedata.normalize("NFKD", c):
             c = HOMOGLYPHS.get(c, c)
             c = SUBSTITUTES.get(c, c)
             if unicodedata.category(c) not in ("Mn", "Cf"):
@@ -47,7 +49,10 @@ _folding = _Folding()
 
 
 def fold(text: str | None) -> str:
-    """Lower case without marks; look-alikes, digits and signs as the Latin letters they stand for (l as i); the rest as single spaces; a space at both ends."""
+    """Lower case; look-alikes, digits and signs as the Latin letters they stand for (l as i); the rest as single spaces; a space at both ends.
+
+    Accented letters that western European languages spell with stay themselves: there they tell words apart.
+    """
     return " " + " ".join((text or "").translate(_folding).split()) + " "
 
 
@@ -75,23 +80,23 @@ class ToxicityModel:
                 self._machine.make_automaton()
         return self._machine
 
-    def hits(self, folded: str) -> list[tuple[int, float]]:
-        """(place, weight) of the heaviest entry at each word, without words inside exception phrases."""
+    def hits(self, folded: str) -> list[tuple[int, float, str]]:
+        """(place, weight, entry) of the heaviest entry at each word, without words inside exception phrases."""
         if not len(self.machine):
             return []
-        at: dict[int, float] = {}
+        at: dict[int, tuple[float, str]] = {}
         spared: list[tuple[int, int]] = []
         for end, (n, w) in self.machine.iter(folded):
             begin = end - n + 1
             if w is None:
                 spared.append((begin, end))
-            elif w > at.get(begin, 0.0):
-                at[begin] = w
-        return [(p, w) for p, w in sorted(at.items()) if not any(a <= p < z for a, z in spared)]
+            elif begin not in at or w > at[begin][0]:
+                at[begin] = (w, folded[begin + 1 : end + 1])
+        return [(p, *x) for p, x in sorted(at.items()) if not any(a <= p < z for a, z in spared)]
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
-        total = sum(w for _, w in self.hits(folded))
+        total = sum(w for _, w, _ in self.hits(folded))
         return math.log1p(total), math.log1p(100 * total / max(1, folded.count(" ") - 1))
 
     def score(self, text: str | None) -> float:
@@ -107,22 +112,25 @@ def _g2(pos: float, neg: float, p: float, n: float) -> float:
     return 2 * (ll(pos, p, pos / p) + ll(neg, n, neg / n) - ll(pos, p, rate) - ll(neg, n, rate)) if 0 < rate < 1 else 0.0
 
 
-def choose_entries(counts: dict[str, tuple[int, int]], p: int, n: int, least_g2: float = 24.0, least_weight: float = 1.5) -> dict[str, float]:
-    """Word beginnings that mark toxic documents, with log odds as weights: the shortest one that no longer beginning betters.
+def log_odds(pos: float, neg: float, p: int, n: int) -> float:
+    return math.log((pos + 0.5) / (p + 1)) - math.log((neg + 0.5) / (n + 1))
+
+
+def choose_entries(counts: dict[str, tuple[int, int]], p: int, n: int, least_g2: float = 16.0, least_weight: float = 1.5) -> dict[str, float]:
+    """Word beginnings that mark toxic documents, with log odds as weights: a longer one only where it betters every shorter one.
 
-    least_g2 keeps out what a search over very many beginnings finds by chance.
+    least_g2 keeps out what a search over very many beginnings finds by chance. A beginning that always goes on alike in toxic
+    documents gives way to its continuation: `dis` must not stand for a single longer word.
     """
-    weight = lambda e: math.log((counts[e][0] + 0.5) / (p + 1)) - math.log((counts[e][1] + 0.5) / (n + 1))
-    strong = {e: weight(e) for e, (a, b) in counts.items() if a and p and n and weight(e) >= least_weight and _g2(a, b, p, n) >= least_g2}
-    best_below: dict[str, float] = {}
-    for e in sorted(strong, key=len, reverse=True):
-        best_below[e] = max(best_below.get(e, -math.inf), strong[e])
-        for k in range(SHORTEST, len(e)):
-            best_below[e[:k]] = max(best_below.get(e[:k], -math.inf), strong[e])
+    narrowed = {e[:-1] for e, (pos, _) in counts.items() if e[:-1] in counts and pos == counts[e[:-1]][0]}
     out: dict[str, float] = {}
-    for e in sorted(strong, key=len):
-        if not any(e[:k] in out for k in range(SHORTEST, len(e))) and strong[e] >= best_below[e] - 0.4:
-            out[e] = strong[e]
+    for e in sorted(counts, key=lambda e: (len(e), e)):
+        pos, neg = counts[e]
+        if e in narrowed:
+            continue
+        w = log_odds(pos, neg, p, n)
+        if w >= least_weight and _g2(pos, neg, p, n) >= least_g2 and all(out.get(e[:k], -9.0) < w - 0.3 for k in range(SHORTEST, len(e))):
+            out[e] = w
     return out
 
 
@@ -188,21 +196,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
         return model
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each sampled document's features, and the two-word phrases around its hits."""
+        """Each sampled document's features, the entries it has, and the two-word phrases around its hits."""
         for b in batches:
             y, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            phrases = []
+            phrases, entries = [], []
             for t in texts:
                 f = fold(t)
-                near = set()
-                for at, _ in model.hits(f):
+                near, own = set(), set()
+                for at, _, e in model.hits(f):
+                    own.add(e)
                     w = f[max(0, f.rfind(" ", 0, at)) : at + 80].split()[:3]
                     near |= {" ".join(w[:2]), " ".join(w[1:3])}
                 phrases.append([x for x in near if " " in x])
+                entries.append(list(own))
             x = [model.features(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), pa.array(phrases, pa.list_(pa.string()))], names=["y", "a", "b", "phrases"])
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), pa.array(entries, pa.list_(pa.string())), pa.array(phrases, pa.list_(pa.string()))], names=["y", "a", "b", "entries", "phrases"])
 
-    schema = "y int, a double, b double, phrases array<string>"
+    schema = "y int, a double, b double, entries array<string>, phrases array<string>"
+    # an entry's weight from the words that no heavier entry takes; what is left without weight goes
+    own = rows.mapInArrow(marks, schema).select("y", F.explode("entries").alias("e")).groupBy("e").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    again = {r["e"]: log_odds(r["pos"], r["neg"], p, n) for r in own.collect()}
+    model = ToxicityModel({e: again.get(e, w) for e, w in entries.items() if again.get(e, w) >= 1.0}, exceptions)
     around = rows.mapInArrow(marks, schema).select("y", F.explode("phrases").alias("e")).groupBy("e").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     model.exceptions = sorted({*exceptions, *(r["e"] for r in around.where("neg >= 3 and neg >= 10 * pos").collect())})
     model._machine = None
