@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, kept_rows
 
 #: Bins of the hashed n-grams of 1, 2 and 3 letters: the kernel is defined on which bins a text has.
 BINS = (1024, 4096, 8192)
@@ -158,3 +158,16 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.05, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in a language that the model knows: not `und`, and alike enough to some landmark.
+
+    least is far below what a few words of a known language score; a text in another script scores 0.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        return [lang != UNDETERMINED and score >= least for lang, score in zip(*sent.value.predict(texts))]
+
+    return kept_rows(docs, text_col, keep)

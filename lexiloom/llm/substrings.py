@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, shuffle_partitions
 
@@ -228,19 +229,19 @@ def repeated_stretches(docs: DataFrame, window: int = 50) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(judge, "doc_id long, _key long, from long, to long")
 
 
-def remove_repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_words, n_removed, kept): every row of docs without the words of windows that start in a smaller document too.
+def remove_repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), respace: bool = True) -> DataFrame:
+    """(id_col, n_words, n_removed, kept, and the columns named in carry): every row of docs without the words of windows that start in a smaller document too.
 
     Words are runs of bytes other than space and \\t\\n\\v\\f\\r; kept is the remaining words joined by one space. Windows are judged
     on the input, so the first document of a passage (the smallest id) keeps it. Texts that are null, empty or under `window`
     words lose nothing; null ids neither lose nor take anything; rows of one id never take words from each other, whether equal
-    or not. Ids must be whole numbers. Other columns are not read.
+    or not. Ids must be whole numbers. Other columns are not read. respace=False leaves texts that lose nothing as they are.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"), F.struct(F.lit(0).alias("_"), *[docs[c] for c in carry]).alias("rest"))
     rows = rows.withColumn("_key", F.xxhash64("text"))
     found = repeated_stretches(rows.where("doc_id is not null"), window)
     found = found.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("from", "to")).alias("cuts"))
-    joined = rows.join(found, ["doc_id", "_key"], "left").select("doc_id", "text", F.col("cuts.from").alias("a"), F.col("cuts.to").alias("z"))
+    joined = rows.join(found, ["doc_id", "_key"], "left").select("doc_id", "text", F.col("cuts.from").alias("a"), F.col("cuts.to").alias("z"), "rest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,7 +256,8 @@ def remove_repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
                     stay = np.cumsum(gone)[:-1] == 0
                     words = [words[i] for i in np.flatnonzero(stay).tolist()]
                 removed.append(n[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                kept.append(b" ".join(words) if respace or removed[-1] else text.as_py())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), b.column(4)], names=["doc_id", "n_words", "n_removed", "kept", "rest"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("doc_id", id_col)
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string").add("rest", joined.schema["rest"].dataType)
+    return joined.mapInArrow(cut, schema).select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept", *[F.col("rest")[c].alias(c) for c in carry])

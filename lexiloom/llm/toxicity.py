@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, kept_rows
 
 # Insults that count from the start, phrases in which such words mean something else, and the folding.
 SEED_WORDS = ("idiot", "imbecile", "moron", "stupid", "dumb", "scum", "trash", "loser", "clown", "pathetic", "disgusting", "worthless", "vermin", "dumm", "abschaum", "trottel", "connard", "crétin", "débile", "estúpido", "imbécil", "escoria")
@@ -245,3 +245,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, text_col, lambda texts: [sent.value.score(t) < threshold for t in texts])
