@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, minhash, packing, substrings, tokens, toxicity
+from . import embeddings, language, minhash, packing, pieces, substrings, tokens, toxicity, urls
 from .common import table
 
 
@@ -27,10 +27,27 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The rules that decide before the method does.
+URL_RULES = [urls.Rule(urls.ALLOW, "com/"), urls.Rule(urls.BLOCK, "example.com/en/"), urls.Rule(urls.ALLOW, "www.example.com/en/"), urls.Rule(urls.BLOCK, "net/es/"), urls.Rule(urls.BLOCK, "net/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, URL_RULES, urls.fit_urls(pages, URL_RULES))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether decoding them gives the text again (a text's own U+2581 comes back as a space)."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    text = F.coalesce("text", F.lit(""))
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.translate(text, pieces.SPACE, " ")).alias("round_trip"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit_language(docs.where(_fold_number(3) != 1))
@@ -51,7 +68,9 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_dedup": op10_minhash_dedup,
