@@ -11,6 +11,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, shuffle_partitions
 
@@ -346,7 +347,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """encoded plus the text of its ids: pieces put together, byte pieces as UTF-8, without the leading space. Null ids: null."""
+    """encoded plus the text of its ids: pieces put together, byte pieces as UTF-8, without the leading space. Null ids: null. out must be a new name."""
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,4 +356,4 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "dec
             texts = [None if x is None else s.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return encoded.mapInArrow(run, encoded.schema.add(out, "string") if out not in encoded.columns else encoded.schema)
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())]))
