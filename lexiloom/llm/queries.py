@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, minhash, packing, pieces, substrings, tokens, toxicity, urls
+from . import embeddings, language, media, minhash, packing, pieces, substrings, tokens, toxicity, urls
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", F.coalesce(_fold_number(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so each vector is drawn as one: near-copies of vectors become edited copies of images."""
+    return media.link_images(media.mosaics(table(spark, sf_dir, "embeddings")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(_fold_number(4) != 2))
@@ -72,6 +77,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
+    "op8_media_copies": op8_media_copies,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
