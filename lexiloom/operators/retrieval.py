@@ -134,7 +134,7 @@ _TOKEN = re.compile(r'\s*(?:(?P<string>"(?:[^"]|"")*")|(?P<sign>[()+*^:,])|(?P<w
 
 
 def parse(query: str) -> object:
-    """AND, OR, NOT in capitals; neighbours bind tightest and mean AND; "phrases", a + b, prefix*, ^first, NEAR(a b, n), parentheses.
+    """AND, OR, NOT in capitals; neighbouring terms bind tightest and mean AND; "phrases", a + b, prefix*, ^first, NEAR(a b, n), parentheses.
 
     NOT binds tighter than AND, AND than OR. Raises QuerySyntaxError for anything else.
     """
@@ -205,8 +205,9 @@ def parse(query: str) -> object:
         return phrase()
 
     def row() -> object:
+        grouped = peek() == ("sign", "(")
         out = atom()
-        while peek()[0] in ("string", "word") and peek()[1] not in ("AND", "OR", "NOT") or peek() in (("sign", "("), ("sign", "^")):
+        while not grouped and (peek()[0] in ("string", "word") and peek()[1] not in ("AND", "OR", "NOT") or peek() == ("sign", "^")):
             out = Op("AND", out, atom())
         return out
 
