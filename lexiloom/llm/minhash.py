@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,11 @@ TOKENS = 128
 #: Independent trees. A pair of similarity s that meets in a leaf of depth d is missed by all with (1 - s**d) ** TREES: under
 #: 3e-10 at depth 1 and 2e-6 at depth 2 for 0.75.
 TREES = 16
-#: Documents of a node up to which it is compared exhaustively; larger nodes branch on.
-NODE = 256
-#: Share of equal tokens from which a pair is confirmed on full sets (0.75 less four deviations), and from which two documents
-#: of a node count as joined while it is compared (0.75 plus four): their common links need not be found twice.
+#: Documents of a node up to which it is compared exhaustively; larger nodes branch on. From a depth of DEEP tokens in common on,
+#: branching hardly splits any more, and a node may be larger.
+NODE, DEEP, DEEP_NODE = 1024, 3, 4096
+#: Share of equal tokens from which a pair is confirmed on full sets (0.75 less four deviations), and from which a member of a
+#: large node counts as joined with its pivot (0.75 plus four).
 CANDIDATE, JOINED = 0.6, 0.9
 
 _rng = np.random.default_rng(20)
@@ -97,48 +99,107 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), t, np.int32)), pa.array(node), b.column(0)], names=["tree", "node", "id"])
 
 
-def compare_node(ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
-    """Candidate pairs of one node: exhaustive, but pairs that nearly equal documents already join are found through those."""
+def forest(ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+    """Each member of a node with the most alike one, as a maximum spanning forest of its candidate pairs: one pair a member at most."""
     n = len(ids)
-    top = np.arange(n)  # the first member joined with each
+    best, by, free = np.full(n, -1), np.zeros(n, int), np.ones(n, bool)
+    out, i = [], 0
+    for _ in range(n):
+        free[i] = False
+        alike = (sketch == sketch[i]).sum(1)
+        better = free & (alike > best)
+        best[better], by[better] = alike[better], i
+        i = int(np.where(free, best, -2).argmax())
+        if free[i] and best[i] >= CANDIDATE * TOKENS:
+            out.append((by[i], i))
+    return _named(ids, out)
+
+
+def across(ids: np.ndarray, sketch: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Which members of a node have a candidate in another component."""
+    out = np.zeros(len(ids), bool)
+    if (component == component[0]).all():
+        return out
+    for i in range(len(ids) - 1):
+        other = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+        if len(other):
+            hit = other[(sketch[other] == sketch[i]).sum(1) >= CANDIDATE * TOKENS]
+            out[hit] = True
+            out[i] |= bool(len(hit))
+    return out
+
+
+def links_across(ids: list[int], component: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Exact links between components of a node: one of each member with each other component that it is linked to.
 
+    Intersections are counted along the shingles' postings, so every pair with a shingle in common is looked at, exactly.
+    """
+    of, sizes = np.array(component), np.array([len(s) for s in sets])
+    if (of == of[0]).all():
+        return []
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    posted = owner[order]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(term))))
+    at = np.concatenate(([0], np.cumsum(sizes)))
     out = []
-    alike = np.zeros((n, n), np.uint8)
-    for i in range(n - 1):
-        alike[i, i + 1 :] = (sketch[i + 1 :] == sketch[i]).sum(1)
-    for i in range(n - 1):
-        if top[i] == i:
-            j = i + 1 + np.flatnonzero((alike[i, i + 1 :] >= JOINED * TOKENS) & (top[i + 1 :] == np.arange(i + 1, n)))
-            top[j] = i
-            out += [(i, int(x)) for x in j]
-    a, b = np.nonzero(alike >= CANDIDATE * TOKENS)
-    apart = top[a] != top[b]
-    out += zip(a[apart].tolist(), b[apart].tolist())
-    return [(min(p), max(p)) for p in ((int(ids[x]), int(ids[y])) for x, y in out) if p[0] != p[1]]
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from (node, id, sketch) rows sorted by node; a node may go on in the next batch."""
-    held_node, held_id, held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, TOKENS), np.uint8)
-
-    def judged(node: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.empty(0, int)
-        sizes = np.diff(np.append(starts, len(node)))
+    for i in range(len(sets) - 1):
+        mine = term[at[i] : at[i + 1]]
+        lo, n = starts[mine], starts[mine + 1] - starts[mine]
+        where = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(posted[where], minlength=len(sets))
+        hit = (100 * both >= percent * (sizes + sizes[i] - both)) & (of != of[i])
+        hit[: i + 1] = False
+        j = np.flatnonzero(hit)
+        out += [(i, int(k)) for k in j[np.unique(of[j], return_index=True)[1]]]
+    return _named(np.array(ids), out)
+
+
+def _named(ids: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    named = ((int(ids[i]), int(ids[j])) for i, j in pairs)
+    return [(min(p), max(p)) for p in named if p[0] != p[1]]
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """node, id, component and sketch of whole nodes, many at a time, from rows sorted by node; a node may go on in the next batch."""
+    held = [np.empty(0, np.int64)] * 3 + [np.empty((0, TOKENS), np.uint8)]
+    for b in batches:
+        new = [b.column(k).to_numpy() for k in range(3)] + [np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, TOKENS)]
+        held = [np.concatenate(x) for x in zip(held, new)]
+        last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+        if last:
+            yield tuple(x[:last] for x in held)
+            held = [x[last:] for x in held]
+    if len(held[0]):
+        yield tuple(held)
+
+
+def _bounds(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    return starts, np.diff(np.append(starts, len(node)))
+
+
+def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): each node's forest."""
+    for node, ids, component, sketch in _nodes(batches):
+        starts, sizes = _bounds(node)
         two = starts[sizes == 2]
         two = two[((sketch[two] == sketch[two + 1]).sum(1) >= CANDIDATE * TOKENS) & (ids[two] != ids[two + 1])]
         pairs = list(zip(np.minimum(ids[two], ids[two + 1]).tolist(), np.maximum(ids[two], ids[two + 1]).tolist()))
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            pairs += compare_node(ids[s : s + n], sketch[s : s + n])
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+            pairs += forest(ids[s : s + n], sketch[s : s + n])
+        pairs = list(dict.fromkeys(pairs))
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-    for b in batches:
-        node = np.concatenate((held_node, b.column(0).to_numpy()))
-        ids = np.concatenate((held_id, b.column(1).to_numpy()))
-        sketch = np.concatenate((held, np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, TOKENS)))
-        last = np.searchsorted(node, node[-1]) if len(node) else 0
-        yield judged(node[:last], ids[:last], sketch[:last])
-        held_node, held_id, held = node[last:], ids[last:], sketch[last:]
-    yield judged(held_node, held_id, held)
+
+def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, id, component) of members with a candidate in another component."""
+    for node, ids, component, sketch in _nodes(batches):
+        keep = np.zeros(len(node), bool)
+        for s, n in zip(*(x.tolist() for x in _bounds(node))):
+            keep[s : s + n] = across(ids[s : s + n], sketch[s : s + n], component[s : s + n])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, ids, component)], names=["node", "id", "component"])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,25 +208,18 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["id", "sketch"])
 
 
-def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b) with a < b, not distinct: pairs that meet in a small node of some tree and have enough tokens alike.
+def small_nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id) of all nodes small enough to compare, and (a, b) of the members of larger ones that a pivot joins.
 
-    sets: (id long, tokens binary), written, one row a distinct set. Level by level: nodes with one member end; nodes up to NODE are
-    compared; larger ones first join their members to a pivot (their smallest id) where nearly equal, end if that joins all of
-    them, else branch by the next token of their tree. Members that agree on every token are equal to their pivot in the
-    sketch, so the last level leaves none over and no node is cut off. Only counts of rows left reach the driver.
+    sets: (id long, tokens binary), written, one row a distinct set. Level by level: nodes with one member end, small ones are done;
+    the members of larger ones are first joined to a pivot (the smallest id) where nearly equal, and branch by the next token of
+    their tree. A branch whose members all hang on one pivot ends. Members that agree on every token are equal to their pivot in
+    the sketch, so the last level leaves none over and no node is cut off. Only counts of rows left reach the driver.
     """
     nodes = sets.select("id", "tokens").mapInArrow(_roots, "tree int, node long, id long")
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     live = written(nodes.join(sizes, "node"), "nodes")
-    sketches = sets.select("id", "tokens").mapInArrow(_sketches, "id long, sketch binary")
-    parts = shuffle_partitions(sets.sparkSession)
-
-    def compared(small: DataFrame) -> DataFrame:
-        rows = small.select("node", "id").join(sketches, "id").select("node", "id", "sketch")
-        return rows.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_compare, "a long, b long")
-
-    found = [compared(live.where(F.col("size") <= NODE))]
+    small, joined = [live.where(F.col("size") <= NODE).select("node", "id")], []
     hot = live.where(F.col("size") > NODE).select("tree", "node", "id")
     level = 0
     while hot.limit(1).count():
@@ -178,29 +232,32 @@ def candidate_pairs(sets: DataFrame) -> DataFrame:
                 if not b.num_rows:
                     continue
                 tokens, pivot = _matrix(b.column(3)), _matrix(b.column(5))
-                joined = (tokens == pivot).sum(1) >= JOINED * TOKENS
-                tree = b.column(0).to_numpy()
-                child = _branch(b.column(1).to_numpy().view(np.uint64), tokens[np.arange(len(tokens)), PATHS[tree, min(level, TOKENS - 1)]])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), b.column(2), b.column(4), pa.array(joined)], names=["tree", "node", "id", "pid", "joined"])
+                near = (tokens == pivot).sum(1) >= JOINED * TOKENS
+                child = _branch(b.column(1).to_numpy().view(np.uint64), tokens[np.arange(len(tokens)), PATHS[b.column(0).to_numpy(), min(level, TOKENS - 1)]])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), b.column(2), b.column(4), pa.array(near)], names=["tree", "node", "id", "pid", "joined"])
 
         told = written(full.join(pivots, "node").select("tree", "node", "id", "tokens", "pid", "ptokens").mapInArrow(step, "tree int, node long, id long, pid long, joined boolean"), "branches")
-        found.append(told.where("joined and id != pid").select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")))
-        # a child whose members all hang on the same pivot has nothing left to find
+        joined.append(told.where("joined and id != pid").select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")))
         sizes = told.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("joined")).alias("apart")).where("size > 1 and apart > 0")
         live = written(told.select("tree", "node", "id").join(sizes, "node"), "nodes")
-        found.append(compared(live.where(F.col("size") <= NODE)))
-        hot = live.where(F.col("size") > NODE).select("tree", "node", "id")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        most = NODE if level + 1 < DEEP else DEEP_NODE
+        small.append(live.where(F.col("size") <= most).select("node", "id"))
+        hot = live.where(F.col("size") > most).select("tree", "node", "id")
+    pairs = reduce(DataFrame.unionByName, joined) if joined else sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    return reduce(DataFrame.unionByName, small), pairs
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts: (id, text binary). Only texts of some pair travel."""
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts (id, text binary) that some pair names, written."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = written(texts.join(ids, "id", "left_semi"), "texts")
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    # a merge join at every size: few ids on small data must not make a plan that large data never has
+    return written(texts.join(ids.hint("merge"), "id", "left_semi"), "texts")
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough; held: (id, text binary)."""
+    first, second = (held.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")).hint("merge") for x in "ab")
+    both = pairs.join(first, "a").join(second, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[bytes, np.ndarray]] = {}
@@ -233,10 +290,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     signed = written(signatures(rows, words), "signatures")
     filled = signed.where("doc_id is not null and n > 0")
     sets = written(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("tokens", "doc_id").alias("tokens")), "sets")
-    pairs = written(candidate_pairs(sets).distinct(), "pairs")
+    nodes, joined = small_nodes(sets)
+    sketches = sets.select("id", "tokens").mapInArrow(_sketches, "id long, sketch binary")
+    parts = shuffle_partitions(docs.sparkSession)
+
+    def by_node(members: DataFrame, what: DataFrame, of: str) -> DataFrame:
+        return members.join(what, "id").select("node", "id", "component", of).repartition(parts, "node").sortWithinPartitions("node")
+
+    # 1. the likeliest link of each member of each node: most components come out of these, however many links they have
+    likely = by_node(nodes.withColumn("component", F.col("id")), sketches, "sketch").mapInArrow(_likeliest, "a long, b long")
+    pairs = written(likely.unionByName(joined).distinct(), "pairs")
     texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    links = written(confirmed(pairs, texts, words, percent).distinct(), "links")
-    classes = sets.select("k1", "k2", "id").join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
+    held = texts_of(pairs, texts)
+    links = written(confirmed(pairs, held, words, percent).distinct(), "links")
+    found = written(connected_components(links), "components")
+    # 2. members that still have candidates across two components: exact, node by node; pairs within one component can't change any
+    members = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+    mixed = members.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("node")
+    open_ = written(by_node(members.join(mixed, "node"), sketches, "sketch").mapInArrow(_undecided, "node long, id long, component long"), "undecided")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(node: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            out = links_across([x[0] for x in node], [x[1] for x in node], [x[2] for x in node], percent) if len(node) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+        now, node = None, []
+        for b in batches:
+            for n, i, c, text in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if n != now:
+                    yield judged(node)
+                    now, node = n, []
+                node.append((i, c, shingle_set(text, words)))
+        yield judged(node)
+
+    further = by_node(open_, held, "text").mapInArrow(exact, "a long, b long").distinct()
+    merged = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further)
+    ends = connected_components(written(merged, "links"))
+    classes = sets.select("k1", "k2", "id").join(ends.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
     out = signed.join(classes, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
