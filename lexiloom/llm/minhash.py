@@ -17,8 +17,9 @@ from .substrings import _mixed, _rolled
 #: Minwise tokens of a document: the coordinates among which paths choose, and the sketch that nodes compare.
 TOKENS = 128
 #: Independent trees. A pair of similarity s that meets in a leaf of depth d is missed by all with (1 - s**d) ** TREES: under
-#: 3e-10 at depth 1 and 2e-6 at depth 2 for 0.75.
-TREES = 16
+#: 3e-10 at depth 1 and 2e-6 at depth 2 for 0.75. Below that, on so many levels, every third node branches by two tokens:
+#: members then have 4/3 children on average, so a pair of 0.75 keeps one child in common on average, at any depth.
+TREES, DOUBLE_LEVELS = 16, 8
 #: Documents of a node up to which it is compared exhaustively; larger nodes branch on. From a depth of DEEP tokens in common on,
 #: branching hardly splits any more, and a node may be larger.
 NODE, DEEP, DEEP_NODE = 1024, 3, 4096
@@ -233,8 +234,14 @@ def small_nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                     continue
                 tokens, pivot = _matrix(b.column(3)), _matrix(b.column(5))
                 near = (tokens == pivot).sum(1) >= JOINED * TOKENS
-                child = _branch(b.column(1).to_numpy().view(np.uint64), tokens[np.arange(len(tokens)), PATHS[b.column(0).to_numpy(), min(level, TOKENS - 1)]])
+                tree, node = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+                child = _branch(node, tokens[np.arange(len(tokens)), PATHS[tree, min(level, TOKENS - 1)]])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), b.column(2), b.column(4), pa.array(near)], names=["tree", "node", "id", "pid", "joined"])
+                two = np.flatnonzero(_mixed(node) % np.uint64(3) == 0) if level <= DOUBLE_LEVELS else []
+                if len(two):
+                    child = _branch(~node[two], tokens[two, PATHS[tree[two], TOKENS - level]])
+                    at = pa.array(two)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(child), b.column(2).take(at), b.column(4).take(at), pa.array(near[two])], names=["tree", "node", "id", "pid", "joined"])
 
         told = written(full.join(pivots, "node").select("tree", "node", "id", "tokens", "pid", "ptokens").mapInArrow(step, "tree int, node long, id long, pid long, joined boolean"), "branches")
         joined.append(told.where("joined and id != pid").select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")))
@@ -324,8 +331,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
         yield judged(node)
 
     further = by_node(open_, held, "text").mapInArrow(exact, "a long, b long").distinct()
-    merged = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further)
-    ends = connected_components(written(merged, "links"))
+    further = written(further, "links")
+    ends = found
+    if further.limit(1).count():
+        ends = connected_components(found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
     classes = sets.select("k1", "k2", "id").join(ends.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
     out = signed.join(classes, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))

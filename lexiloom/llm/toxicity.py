@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, kept_rows
 
 # Insults that count from the start, phrases in which such words mean something else, and the folding.
-SEED_WORDS = ("idiot", "imbecile", "moron", "stupid", "dumb", "scum", "trash", "loser", "clown", "pathetic", "disgusting", "worthless", "vermin", "dumm", "abschaum", "trottel", "connard", "crétin", "débile", "estúpido", "imbécil", "escoria")
-SEED_EXCEPTIONS = ("trash can", "trash bin", "clown fish", "dumb bell", "scum line")
+SEED_WORDS = ("idiot", "imbecile", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "disgusting", "worthless", "vermin", "abschaum", "trottel", "connard", "crétin", "débile", "estúpido", "imbécil", "escoria")
+SEED_EXCEPTIONS = ("trash can", "trash bin", "clown fish", "scum line")
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "ι": "i", "κ": "k", "χ": "x"}
 OWN_LETTERS = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "|": "i", "l": "i"}
@@ -213,10 +213,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), pa.array(entries, pa.list_(pa.string())), pa.array(phrases, pa.list_(pa.string()))], names=["y", "a", "b", "entries", "phrases"])
 
     schema = "y int, a double, b double, entries array<string>, phrases array<string>"
-    # an entry's weight from the words that no heavier entry takes; what is left without weight goes
+    # an entry's weight from the words that no heavier entry takes; entries that those words don't bear out go
     own = rows.mapInArrow(marks, schema).select("y", F.explode("entries").alias("e")).groupBy("e").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    again = {r["e"]: log_odds(r["pos"], r["neg"], p, n) for r in own.collect()}
-    model = ToxicityModel({e: again.get(e, w) for e, w in entries.items() if again.get(e, w) >= 1.0}, exceptions)
+    again = {r["e"]: (log_odds(r["pos"], r["neg"], p, n), _g2(r["pos"], r["neg"], p, n)) for r in own.collect()}
+    unseen = (SEED_WEIGHT, math.inf)
+    model = ToxicityModel({e: again.get(e, unseen)[0] for e in entries if again.get(e, unseen)[0] >= 2.0 and again.get(e, unseen)[1] >= 8.0}, exceptions)
     around = rows.mapInArrow(marks, schema).select("y", F.explode("phrases").alias("e")).groupBy("e").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     model.exceptions = sorted({*exceptions, *(r["e"] for r in around.where("neg >= 3 and neg >= 10 * pos").collect())})
     model._machine = None
