@@ -40,8 +40,10 @@ class PieceScan:
         self.id_of = {self.text_of[i]: i for i in plain}
         self.byte_id = {int(self.text_of[i][3:5], 16): i for i in range(len(self.text_of)) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        self.byte_of = {i: b for b, i in self.byte_id.items()}
-        self.control = {i for i in range(len(self.text_of)) if sp.is_control(i)}
+        self.bytes_of = [b"" if sp.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text_of)]
+        self.bytes_of[self.unknown] = " ⁇ ".encode()
+        for b, i in self.byte_id.items():
+            self.bytes_of[i] = bytes([b])
         self.longest = max(map(len, self.id_of))
         self.normalize = sp.normalize
         self.sp = sp
@@ -229,15 +231,7 @@ class PieceScan:
         return self.between(self.normal(text))
 
     def decode(self, ids: bytes) -> str:
-        raw = bytearray()
-        for i in array("I", ids):
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-            elif i == self.unknown:
-                raw += " ⁇ ".encode()
-            elif i not in self.control:
-                raw += self.text_of[i].encode()
-        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.bytes_of.__getitem__, array("I", ids))).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
