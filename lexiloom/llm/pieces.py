@@ -17,10 +17,11 @@ from .common import bounded_batches, shuffle_partitions
 
 SPACE = "▁"
 #: Characters of a chunk of a giant document; stretches that a worker remembers, and the longest of them.
-CHUNK, REMEMBERED, REMEMBERED_CHARS = 32_768, 400_000, 40
+CHUNK, REMEMBERED, REMEMBERED_CHARS = 65_536, 350_000, 40
 #: A boundary's state: (start of the token across it, relative to it; its end; the token). The text's edge has this one.
 State = tuple[int, int, str]
 EDGE: State = (0, 0, "")
+_NONE: dict[str, bool] = {}
 
 
 class PieceScan:
@@ -115,18 +116,23 @@ class PieceScan:
 
     def tokens(self, s: str) -> list[str]:
         """The path over a stretch whose left end has one state: then each place has at most one last token."""
-        n, pieces, begins, edge = len(s), self.id_of, self.begins, self.edge
+        n, longest, pieces, begins, edge, stands = len(s), self.longest, self.id_of, self.begins, self.edge, self.stands
         last: list[str | None] = ["", *[None] * n]
         for i in range(n):
             a = last[i]
             if a is None:
                 continue
-            for e in range(i + 1, min(i + self.longest, n) + 1):
+            tested = stands.get(a, _NONE)
+            for e in range(i + 1, min(i + longest, n) + 1):
                 t = s[i:e]
-                if last[e] is None and (t in pieces or e == i + 1) and edge(a, t):
-                    last[e] = t
-                elif t not in begins:
+                if t not in begins:
+                    if e == i + 1 and last[e] is None and edge(a, t):  # a character that is no piece
+                        last[e] = t
                     break
+                if last[e] is None and (t in pieces or e == i + 1):
+                    ok = tested.get(t)
+                    if ok or ok is None and edge(a, t):
+                        last[e] = t
         out = []
         while n:
             out.append(last[n])
