@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, shuffle_partitions, written
+from .common import bounded_batches, connected_components, drop_written, shuffle_partitions, written
 from .substrings import _mixed, _rolled
 
 #: Minwise tokens of a document: the coordinates among which paths choose, and the sketch that nodes compare.
@@ -250,7 +250,7 @@ def small_nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         most = NODE if level + 1 < DEEP else DEEP_NODE
         small.append(live.where(F.col("size") <= most).select("node", "id"))
         hot = live.where(F.col("size") > most).select("tree", "node", "id")
-    pairs = reduce(DataFrame.unionByName, joined) if joined else sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    pairs = reduce(DataFrame.unionByName, joined) if joined else sets.sparkSession.createDataFrame([], "a long, b long")
     return reduce(DataFrame.unionByName, small), pairs
 
 
@@ -335,6 +335,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     ends = found
     if further.limit(1).count():
         ends = connected_components(found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
+    drop_written(nodes, joined, pairs, held, links, open_, further)
     classes = sets.select("k1", "k2", "id").join(ends.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
     out = signed.join(classes, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
