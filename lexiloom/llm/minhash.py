@@ -17,15 +17,17 @@ from .substrings import _mixed, _rolled
 #: Minwise tokens of a document: the coordinates among which paths choose, and the sketch that nodes compare.
 TOKENS = 128
 #: Independent trees. A pair of similarity s that meets in a leaf of depth d is missed by all with (1 - s**d) ** TREES: under
-#: 3e-10 at depth 1 and 2e-6 at depth 2 for 0.75. Below that, on so many levels, every third node branches by two tokens:
-#: members then have 4/3 children on average, so a pair of 0.75 keeps one child in common on average, at any depth.
-TREES, DOUBLE_LEVELS = 16, 8
+#: 3e-10 at depth 1 and 2e-6 at depth 2 for 0.75. Below that every second node branches by two tokens: members have 3/2 children
+#: on average and a pair of 0.75 keeps 9/8 in common, so that it stays together in a tree with 4/9 of those it starts in at
+#: any depth, and is missed by all trees with (2/3) ** TREES, 0.0015, however large its group. Two tokens as long as unused ones are left.
+TREES, DOUBLE_LEVELS = 16, TOKENS // 2 - 1
+#: Members of a large node that each of its members is tried against before it branches.
+PIVOTS = 4
 #: Documents of a node up to which it is compared exhaustively; larger nodes branch on. From a depth of DEEP tokens in common on,
 #: branching hardly splits any more, and a node may be larger.
 NODE, DEEP, DEEP_NODE = 1024, 3, 4096
-#: Share of equal tokens from which a pair is confirmed on full sets (0.75 less four deviations), and from which a member of a
-#: large node counts as joined with its pivot (0.75 plus four).
-CANDIDATE, JOINED = 0.6, 0.9
+#: Share of equal tokens from which a pair is confirmed on full sets: 0.75 less four deviations.
+CANDIDATE = 0.6
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 32, TOKENS, np.uint32)
@@ -209,49 +211,74 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["id", "sketch"])
 
 
-def small_nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of all nodes small enough to compare, and (a, b) of the members of larger ones that a pivot joins.
+def _coordinate(tree: np.ndarray, level: int) -> np.ndarray:
+    """The token that a node of this level branches by: the path's, and once two-token levels are over, all of the path again."""
+    return PATHS[tree, level if level <= DOUBLE_LEVELS else level - DOUBLE_LEVELS]
 
-    sets: (id long, tokens binary), written, one row a distinct set. Level by level: nodes with one member end, small ones are done;
-    the members of larger ones are first joined to a pivot (the smallest id) where nearly equal, and branch by the next token of
-    their tree. A branch whose members all hang on one pivot ends. Members that agree on every token are equal to their pivot in
-    the sketch, so the last level leaves none over and no node is cut off. Only counts of rows left reach the driver.
+
+def small_nodes(sets: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """(node, id) of all nodes small enough to compare, and (id, component) of members of larger ones that links join, if any do.
+
+    sets: (id long, tokens binary), written, one row a distinct set. decide: the links among pairs (a, b), on full sets. Level by
+    level: nodes with one member end, small ones are done; each member of a larger one is first tried against the likeliest of the
+    node's PIVOTS, from CANDIDATE on and on full sets, and then branches by the next token of its tree (every second node: by two).
+    A branch whose members are all in one component ends: no pair of it can change any. Once a path has been through all tokens,
+    members agree on every token with the pivots they were tried against, so no node is cut off. Only counts of rows left reach the driver.
     """
     nodes = sets.select("id", "tokens").mapInArrow(_roots, "tree int, node long, id long")
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    live = written(nodes.join(sizes, "node"), "nodes")
-    small, joined = [live.where(F.col("size") <= NODE).select("node", "id")], []
-    hot = live.where(F.col("size") > NODE).select("tree", "node", "id")
+    live = written(nodes.join(sizes, "node").withColumn("component", F.col("id")), "nodes")
+    sketches = sets.select("id", "tokens").mapInArrow(_sketches, "id long, sketch binary")
+    small, found = [live.where(F.col("size") <= NODE).select("node", "id")], None
+    hot = live.where(F.col("size") > NODE).select("tree", "node", "id", "component")
     level = 0
-    while hot.limit(1).count():
+    while level < DOUBLE_LEVELS + TOKENS - 1 and hot.limit(1).count():
         level += 1
-        full = hot.join(sets.select("id", "tokens"), "id")
-        pivots = full.groupBy("node").agg(F.min_by(F.struct("id", "tokens"), "id").alias("p")).select("node", F.col("p.id").alias("pid"), F.col("p.tokens").alias("ptokens"))
+        # the same order in every node, so that a group's pivots are the same ones in most trees
+        drawn = hot.groupBy("node").agg(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+        drawn = drawn.select("node", F.posexplode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("k", "p")).select("node", "k", F.col("p.id").alias("id"), F.col("p.component").alias("pc"))
+        drawn = drawn.join(sketches, "id").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "id", "pc", "sketch"))).alias("p"))
+        pivots = drawn.select("node", F.col("p.id").alias("pid"), F.col("p.pc").alias("pc"), F.concat(*[F.col("p")[k]["sketch"] for k in range(PIVOTS)]).alias("psketch"))
 
         def step(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
-                tokens, pivot = _matrix(b.column(3)), _matrix(b.column(5))
-                near = (tokens == pivot).sum(1) >= JOINED * TOKENS
-                tree, node = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-                child = _branch(node, tokens[np.arange(len(tokens)), PATHS[tree, min(level, TOKENS - 1)]])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), b.column(2), b.column(4), pa.array(near)], names=["tree", "node", "id", "pid", "joined"])
-                two = np.flatnonzero(_mixed(node) % np.uint64(3) == 0) if level <= DOUBLE_LEVELS else []
+                tokens, tree, node, ids = _matrix(b.column(4)), b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+                pid, pc = (b.column(k).flatten().to_numpy().reshape(-1, PIVOTS) for k in (5, 6))
+                sketch = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, PIVOTS, TOKENS)
+                alike = (sketch == tokens.astype(np.uint8)[:, None, :]).sum(2)
+                alike[pc == b.column(3).to_numpy()[:, None]] = -1  # links within a component change nothing
+                at, best = np.arange(len(ids)), alike.argmax(1)
+                to = pa.array(pid[at, best], mask=alike[at, best] < CANDIDATE * TOKENS)
+                child = _branch(node, tokens[at, _coordinate(tree, level)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), b.column(2), to], names=["tree", "node", "id", "to"])
+                two = np.flatnonzero(_mixed(node) % np.uint64(2) == 0) if level <= DOUBLE_LEVELS else []
                 if len(two):
                     child = _branch(~node[two], tokens[two, PATHS[tree[two], TOKENS - level]])
                     at = pa.array(two)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(child), b.column(2).take(at), b.column(4).take(at), pa.array(near[two])], names=["tree", "node", "id", "pid", "joined"])
-
-        told = written(full.join(pivots, "node").select("tree", "node", "id", "tokens", "pid", "ptokens").mapInArrow(step, "tree int, node long, id long, pid long, joined boolean"), "branches")
-        joined.append(told.where("joined and id != pid").select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")))
-        sizes = told.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("joined")).alias("apart")).where("size > 1 and apart > 0")
-        live = written(told.select("tree", "node", "id").join(sizes, "node"), "nodes")
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(child), b.column(2).take(at), pa.nulls(len(two), pa.int64())], names=["tree", "node", "id", "to"])
+
+        full = hot.join(sets.select("id", "tokens"), "id").join(pivots, "node").select("tree", "node", "id", "component", "tokens", "pid", "pc", "psketch")
+        told = written(full.mapInArrow(step, "tree int, node long, id long, to long"), "branches")
+        tried = written(told.where("to is not null").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), "tried")
+        if tried.limit(1).count():
+            links = decide(tried)
+            before = found
+            if before is not None:
+                links = links.unionByName(before.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+            found = written(connected_components(links).withColumnRenamed("node", "id"), "components")
+            if before is not None:
+                drop_written(before)
+        named = told.select("tree", "node", "id")
+        named = named.withColumn("component", F.col("id")) if found is None else named.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("node", "size")
+        live = written(named.join(sizes, "node"), "nodes")
+        drop_written(told, tried)
         most = NODE if level + 1 < DEEP else DEEP_NODE
         small.append(live.where(F.col("size") <= most).select("node", "id"))
-        hot = live.where(F.col("size") > most).select("tree", "node", "id")
-    pairs = reduce(DataFrame.unionByName, joined) if joined else sets.sparkSession.createDataFrame([], "a long, b long")
-    return reduce(DataFrame.unionByName, small), pairs
+        hot = live.where(F.col("size") > most).select("tree", "node", "id", "component")
+    return reduce(DataFrame.unionByName, small), found
 
 
 def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -297,7 +324,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     signed = written(signatures(rows, words), "signatures")
     filled = signed.where("doc_id is not null and n > 0")
     sets = written(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("tokens", "doc_id").alias("tokens")), "sets")
-    nodes, joined = small_nodes(sets)
+    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+
+    def decide(pairs: DataFrame) -> DataFrame:
+        held = texts_of(pairs, texts)
+        links = written(confirmed(pairs, held, words, percent).distinct(), "links")
+        drop_written(held)
+        return links
+
+    nodes, joined = small_nodes(sets, decide)
     sketches = sets.select("id", "tokens").mapInArrow(_sketches, "id long, sketch binary")
     parts = shuffle_partitions(docs.sparkSession)
 
@@ -306,11 +341,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
 
     # 1. the likeliest link of each member of each node: most components come out of these, however many links they have
     likely = by_node(nodes.withColumn("component", F.col("id")), sketches, "sketch").mapInArrow(_likeliest, "a long, b long")
-    pairs = written(likely.unionByName(joined).distinct(), "pairs")
-    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    pairs = written(likely.distinct(), "pairs")
     held = texts_of(pairs, texts)
     links = written(confirmed(pairs, held, words, percent).distinct(), "links")
-    found = written(connected_components(links), "components")
+    known = links if joined is None else links.unionByName(joined.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+    found = written(connected_components(known), "components")
     # 2. members that still have candidates across two components: exact, node by node; pairs within one component can't change any
     members = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
     mixed = members.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("node")
@@ -335,7 +370,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     ends = found
     if further.limit(1).count():
         ends = connected_components(found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
-    drop_written(nodes, joined, pairs, held, links, open_, further)
+    drop_written(nodes, pairs, held, links, open_, further, *([] if joined is None else [joined]))
     classes = sets.select("k1", "k2", "id").join(ends.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
     out = signed.join(classes, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))

@@ -191,6 +191,20 @@ def test_near_duplicates_branch_and_stay_exact(spark, monkeypatch):
     assert near_rows(minhash.near_duplicates(docs(spark, rows)).toPandas()) == near_brute(rows)
 
 
+def test_near_duplicates_in_a_large_group(spark, monkeypatch):
+    """Copies with their own edit each, 0.81 alike (86 of 106 shingles), in nodes far larger than what is compared: one component."""
+    monkeypatch.setattr(minhash, "NODE", 16)
+    monkeypatch.setattr(minhash, "DEEP_NODE", 24)
+    r = random.Random(7)
+    rows = []
+    for i in range(1500):
+        t = [f"w{k}" for k in range(100)]
+        t[r.randint(4, 95)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    out = minhash.near_duplicates(docs(spark, rows)).toPandas()
+    assert len(out) == 1500 and (out.component_id == 0).all()
+
+
 def test_drop_near_duplicates(spark):
     rows = sample()
     kept = {i for i, *_, k in near_brute(rows) if k and i >= 0}
