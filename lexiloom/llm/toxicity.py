@@ -215,9 +215,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
     schema = "y int, a double, b double, entries array<string>, phrases array<string>"
     # an entry's weight from the words that no heavier entry takes; entries that those words don't bear out go
     own = rows.mapInArrow(marks, schema).select("y", F.explode("entries").alias("e")).groupBy("e").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    again = {r["e"]: (log_odds(r["pos"], r["neg"], p, n), _g2(r["pos"], r["neg"], p, n)) for r in own.collect()}
-    unseen = (SEED_WEIGHT, math.inf)
-    model = ToxicityModel({e: again.get(e, unseen)[0] for e in entries if again.get(e, unseen)[0] >= 2.0 and again.get(e, unseen)[1] >= 8.0}, exceptions)
+    seen = own.collect()
+    again = {r["e"]: (log_odds(r["pos"], r["neg"], p, n), _g2(r["pos"], r["neg"], p, n)) for r in seen}
+    # a seed that the labels say too little about keeps its weight: it takes three other documents to contradict it
+    kept = {r["e"] for r in seen if r["e"] not in learned and r["neg"] < 3 and again[r["e"]][1] < 8.0}
+    again |= {e: (SEED_WEIGHT, math.inf) for e in entries if e in kept or e not in again}
+    model = ToxicityModel({e: again[e][0] for e in entries if again[e][0] >= 2.0 and again[e][1] >= 8.0}, exceptions)
     around = rows.mapInArrow(marks, schema).select("y", F.explode("phrases").alias("e")).groupBy("e").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     model.exceptions = sorted({*exceptions, *(r["e"] for r in around.where("neg >= 3 and neg >= 10 * pos").collect())})
     model._machine = None

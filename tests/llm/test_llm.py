@@ -353,6 +353,15 @@ def test_toxicity(spark):
     assert toxicity.fit_toxicity(docs(spark, []), labels.limit(0)).entries
 
 
+def test_rare_seeds_stay(spark):
+    """A seed that one toxic document has stays; one that many clean documents have goes."""
+    rare, common = (toxicity.fold(w).strip() for w in ("idiot", "moron"))
+    texts = [(i, f"you {rare} there" if i == 0 else f"plain words {i}" + (f" {common}" if i >= 20 else "")) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 5)) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs(spark, texts), labels)
+    assert model.entries.get(rare) == toxicity.SEED_WEIGHT and common not in model.entries
+
+
 def test_exceptions_and_folding():
     m = toxicity.ToxicityModel({"trash": 3.0}, ["trash can"])
     assert m.hits(toxicity.fold("a TRASH c4n here")) == []
