@@ -12,34 +12,40 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these ASCII white-space characters; bytes.split() without arguments uses the same set.
 WORD_SPACES = " \t\n\v\f\r"
-#: Rows in an Arrow batch: texts reach 100 KB and more, so the default of 10,000 rows would not be bounded memory.
-BATCH_ROWS = 400
+#: Rows and bytes that an operator handles at once. Spark bounds the batches it sends by bytes (arrow.maxBytesPerBatch, 64 MB); these are slices of them.
+BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower (never raise) the rows of an Arrow batch in this session, so that a batch of long texts stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `size` bytes and at most `rows` rows, without copying; no setting of the session is touched."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Unset (tests on one machine): one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset on one machine (tests): one of our own; on a cluster: an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = tempfile.mkdtemp(prefix="lexiloom-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    elif not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, is computed once.
+
+    What drop_written() hasn't deleted before goes when the application ends: a lazy result may read it until then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,12 +60,14 @@ def drop_written(*frames: DataFrame) -> None:
 
 
 def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
-    """The rows of docs, all columns, whose texts keep() says yes to: one pass without a shuffle or a join on ids."""
+    """The rows of docs, all columns, whose texts keep() says yes to: one pass without a shuffle or a join on ids.
+
+    keep() gets null texts as None and decides on them; repeated rows are each decided alike; texts of any length come whole.
+    """
     at = docs.columns.index(text_col)
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -73,16 +81,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _with_least(x: DataFrame, salts: int) -> DataFrame:
+    """x (u, v) with m, the least v of each u, without bringing all of a hub's rows together: they meet by u and a salt of v."""
+    x = x.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts))).repartition("u", "s")
+    parts = x.groupBy("u", "s").agg(F.min("v").alias("m"))
+    low = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("s").alias("s")).select("u", "m", F.explode("s").alias("s"))
+    return x.join(low, ["u", "s"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links of comparable ids -> (node, component), component the smallest id reachable from node.
 
-    Alternating large-star and small-star rounds. A round only takes minima (combined before the shuffle) and joins against
-    one row per node, so a node with any number of links never has to fit into one task; the rounds needed grow with the
-    logarithm of the diameter. Each round is checkpointed; the driver sees one checksum row a round. Null ids and self-links
-    are dropped. No links: no rows.
+    Alternating large-star and small-star rounds. A node's links are dealt by node and a salt of the neighbour, and only one minimum
+    a salt meets by node: a hub with a third of all links spreads over as many tasks as there are shuffle partitions. The rounds
+    grow with the logarithm of the diameter; each is written to the shared folder, the one before deleted; the driver sees one
+    checksum row a round. Null ids and self-links are dropped. No links: no rows.
     """
-    shared_dir(edges.sparkSession)
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().checkpoint()
+    salts = shuffle_partitions(edges.sparkSession)
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
 
     def sum_of(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -90,13 +106,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = sum_of(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: neighbours above u hang on u's least
-        big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        big = _with_least(both, salts).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # small star: u and its neighbours below hang on u's least
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
-        e = small.select("p.u", "p.v").where("u > v").distinct().checkpoint()
+        small = _with_least(big, salts).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
+        old, e = e, written(small.select("p.u", "p.v").where("u > v").distinct(), "edges")
+        drop_written(old)
         after = sum_of(e)
         if after == before:
             break

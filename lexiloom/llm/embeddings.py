@@ -13,15 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, connected_components, written
-from .minhash import _signed
+from .common import connected_components, drop_written, slices, written
 
 #: Vectors that the codebooks are fitted on, at most; distinct vectors a cell should hold on average; most centroids of a half.
-SAMPLE, CELL, MOST_CENTROIDS = 20_000, 500, 1024
-#: Share of the pairs at exactly the threshold, the hardest ones, whose cell the traversal has to reach.
-RECALL = 0.997
+SAMPLE, CELL, MOST_CENTROIDS = 20_000, 100, 1024
+#: Share of the pairs at exactly the threshold, the hardest ones, of which at least one traversal has to reach the other's cell.
+RECALL = 0.998
 #: Rows of a block on either side: a cell of any size is compared block by block, so that no task gathers a hot cell.
-QUERY_BLOCK, BASE_BLOCK = 2048, 1024
+QUERY_BLOCK, BASE_BLOCK = 4096, 1024
+#: Steps of a unit in which vectors are placed. Distances are then sums of whole numbers under 2**53: exact, in whatever order they are added.
+GRID = float(1 << 15)
+
+
+def _placing(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * GRID)
 
 
 def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -40,7 +45,7 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10)
 
 @dataclass
 class MultiIndex:
-    """Codebooks of the two halves, and how far beyond the nearest cell a traversal goes (in squared distance)."""
+    """Codebooks of the two halves, and how far beyond the nearest cell a traversal goes (in squared distance), all on the placing grid."""
 
     left: np.ndarray
     right: np.ndarray
@@ -50,13 +55,18 @@ class MultiIndex:
     def half(self) -> int:
         return self.left.shape[1]
 
+    def both(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of placed vectors to the left and to the right centroids: exact whole numbers."""
+        return _distances(x[:, : self.half], self.left), _distances(x[:, self.half :], self.right)
+
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return _distances(x[:, : self.half], self.left).argmin(1) * len(self.right) + _distances(x[:, self.half :], self.right).argmin(1)
+        a, b = self.both(x)
+        return a.argmin(1) * len(self.right) + b.argmin(1)
 
     def visits(self, x: np.ndarray) -> Iterator[list[int]]:
         """Each row's cells in ascending distance, while within reach: the multi-sequence traversal of the product grid."""
-        a, b = _distances(x[:, : self.half], self.left), _distances(x[:, self.half :], self.right)
-        oa, ob = a.argsort(1), b.argsort(1)
+        a, b = self.both(x)
+        oa, ob = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
         sa, sb = np.take_along_axis(a, oa, 1), np.take_along_axis(b, ob, 1)
         n = len(self.right)
         for da, db, ia, ib in zip(sa.tolist(), sb.tolist(), oa.tolist(), ob.tolist()):
@@ -64,38 +74,47 @@ class MultiIndex:
             heap, out = [(da[0] + db[0], 0, 0)], []
             while heap:
                 d, i, j = heapq.heappop(heap)
-                if d > most:
-                    break
                 out.append(ia[i] * n + ib[j])
-                # each cell is pushed once: along its row, and down only from the first column
-                if j + 1 < len(db):
+                # each cell is pushed once: along its row, and down only from the first column; none beyond reach
+                if j + 1 < len(db) and da[i] + db[j + 1] <= most:
                     heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
-                if j == 0 and i + 1 < len(da):
+                if j == 0 and i + 1 < len(da) and da[i + 1] + db[0] <= most:
                     heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
             yield out
 
+    def meets(self, x: np.ndarray, homes: np.ndarray) -> np.ndarray:
+        """Whether each placed vector's traversal visits each of the cells: what visits() would say, exactly."""
+        a, b = self.both(x)
+        far = a[:, homes // len(self.right)] + b[:, homes % len(self.right)]
+        return far <= (a.min(1) + b.min(1) + self.reach)[:, None]
+
 
 def fit_index(sample: np.ndarray, total: int, cosine: float, recall: float = RECALL, seed: int = 11) -> MultiIndex:
     """Codebooks that grow with the square root of the number of vectors, and the reach that the target recall needs.
 
-    The reach is measured on partners made at exactly the threshold's angle in random directions from sampled vectors: real
-    links are at least as close, so their recall is at least that (tests measure it against brute force).
+    A pair is found if either of its traversals reaches the other's cell. The reach is measured on partners made at exactly the
+    threshold's angle in random directions from sampled vectors: real links are at least as close, so their recall is at least
+    that (tests measure it against brute force).
     """
     rng = np.random.default_rng(seed)
     half = sample.shape[1] // 2
     k = int(np.clip(round((total / CELL) ** 0.5), 1, min(MOST_CENTROIDS, len(sample))))
-    index = MultiIndex(_k_means(sample[:, :half], k, rng), _k_means(sample[:, half:], k, rng), 0.0)
-    x = sample[rng.permutation(len(sample))[:3000]]
-    x = x[rng.integers(0, len(x), 3000)]
+    index = MultiIndex(_placing(_k_means(sample[:, :half], k, rng)), _placing(_k_means(sample[:, half:], k, rng)), 0.0)
+    if k == 1:
+        return index
+    x = sample[rng.integers(0, len(sample), 4000)]
     side = rng.normal(size=x.shape)
     side -= (side * x).sum(1)[:, None] * x
     length = np.linalg.norm(side, axis=1)[:, None]
     y = cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * side / np.where(length > 0, length, 1)
-    a, b = _distances(x[:, :half], index.left), _distances(x[:, half:], index.right)
-    at = index.cells(y)
+    x, y = _placing(x), _placing(y)
     i = np.arange(len(x))
-    beyond = a[i, at // k] - a.min(1) + b[i, at % k] - b.min(1)
-    index.reach = float(np.quantile(beyond, recall)) + 1e-9
+
+    def beyond(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        (a, b), at = index.both(p), index.cells(q)
+        return a[i, at // k] - a.min(1) + b[i, at % k] - b.min(1)
+
+    index.reach = float(np.ceil(np.quantile(np.minimum(beyond(x, y), beyond(y, x)), recall)))
     return index
 
 
@@ -105,6 +124,16 @@ def _unit(rows: pa.Array, dtype: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _raw_vectors(lists: pa.ListArray, dtype: str) -> list[bytes | None]:
+    """Each vector's bytes; None where it is null, empty, zero or holds a null or a non-finite component."""
+    at, x = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)  # nulls come as NaN
+    x = (x + 0.0).astype(dtype)  # -0 is 0
+    bad, some = (np.concatenate(([0], np.cumsum(c))) for c in (~np.isfinite(x), x != 0))
+    fine = (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False)
+    raw, size = x.tobytes(), np.dtype(dtype).itemsize
+    return [raw[a * size : z * size] if ok else None for a, z, ok in zip(at[:-1].tolist(), at[1:].tolist(), fine.tolist())]
+
+
 def _spread(linked: np.ndarray, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The smallest id reachable within a block's links, for its query and base rows: few rows say what all links would."""
     big = np.iinfo(np.int64).max
@@ -119,86 +148,105 @@ def _spread(linked: np.ndarray, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
 def link_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row of vectors.
 
-    Equal vectors are one class, compared once and counted as often as it has rows. Each class visits the cells within reach; what
-    it meets there is verified in double precision, block by block, so a hot cell takes many small tasks; of a block only counts
-    and one link to the smallest reachable id a row leave it. Links with nothing, so n_links 0 and itself as component: vectors that
-    are null, empty, zero or hold a null or a non-finite component, and those of another length than the most frequent
-    one. Null ids get component null, are kept, and are linked with nothing. Rows that repeat an id count as other vectors to each
-    other but share its component. Other columns are not read; ids must be whole numbers.
+    Equal vectors are one class, compared once and counted as often as it has rows; vectors of each length have an index of their
+    own. Each class visits the cells within reach; what it meets there is verified in double precision, block by block, so a hot
+    cell takes many small tasks; of a block only counts and one link to the smallest reachable id a row leave it. A link counts at
+    both its ends, once each: a block counts its query rows, and those base rows whose own traversal doesn't come to the query
+    row's cell (where it does, another block counts them). Links with nothing, so n_links 0 and itself as component: vectors
+    that are null, empty, zero or hold a null or a non-finite component. Null ids get component null, are kept, and are linked
+    with nothing. Rows that repeat an id count as other vectors to each other but share its component. Other columns are not
+    read; ids must be whole numbers. An empty table gives no rows.
+
+    To the driver: a row for each vector length, and for each length with over CELL vectors a sample of at most SAMPLE of them.
     """
     spark = vectors.sparkSession
-    bounded_batches(spark, 2000)
     kind = vectors.schema[vec_col].dataType.elementType
     dtype = "<f4" if isinstance(kind, T.FloatType) else "<f8"
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), (vectors[vec_col] if dtype == "<f4" else vectors[vec_col].cast("array<double>")).alias("v"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, k1, k2, size = [], [], [], []
-            for v in b.column(1):
-                x = None if v.as_py() is None else v.values.to_numpy(zero_copy_only=False)
-                raw = None
-                if x is not None and len(x) and v.values.null_count == 0 and np.isfinite(x).all() and (x != 0).any():
-                    raw = (x + 0.0).astype(dtype).tobytes()  # -0 is 0
-                key = xxhash.xxh3_128_intdigest(raw or b"")
-                out.append(raw)
-                k1.append(_signed(key >> 64))
-                k2.append(_signed(key & (1 << 64) - 1))
-                size.append(len(raw) if raw else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int32()), pa.array(out, pa.binary())], names=["id", "k1", "k2", "size", "raw"])
+        for b in slices(batches, 2000):
+            out = _raw_vectors(b.column(1), dtype)
+            k = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw or b"") for raw in out), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array([len(raw or b"") for raw in out], pa.int32()), pa.array(out, pa.binary())], names=["id", "k1", "k2", "size", "raw"])
 
     read_rows = written(rows.mapInArrow(read, "id long, k1 long, k2 long, size int, raw binary"), "vectors")
-    usual = read_rows.where("id is not null and size > 0").groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
     result = lambda n, c: [F.col("id").alias(id_col), n.cast("long").alias("n_links"), c.alias("component_id"), F.coalesce(F.col("id") == c, F.lit(True)).alias("kept")]
-    if not usual:
-        return read_rows.select(*result(F.lit(0), F.col("id")))
-    fit = read_rows.where((F.col("size") == usual[0]["size"]) & F.col("id").isNotNull())
+    fit = read_rows.where("size > 0 and id is not null")
+    # equal bytes have equal lengths, so a class has one
     classes = written(fit.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.min_by("raw", "id").alias("raw")).withColumn("no", F.xxhash64("k1", "k2")), "classes")
-    total = classes.count()
-    sample = classes.orderBy("no").limit(SAMPLE).select("raw").collect()
-    index = fit_index(_unit(pa.array([bytes(r["raw"]) for r in sample], pa.binary()), dtype), total, cosine, recall)
-    sent = spark.sparkContext.broadcast(index)
+    lengths = {r["size"]: r["n"] for r in classes.groupBy(F.length("raw").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not lengths:
+        return read_rows.select(*result(F.lit(0), F.col("id")))
+    indexes: dict[int, MultiIndex] = {}
+    for size, total in sorted(lengths.items()):
+        if total > CELL:
+            sample = classes.where(F.length("raw") == size).orderBy("no").limit(SAMPLE).select("raw").collect()
+            indexes[size] = fit_index(_unit(pa.array([bytes(r["raw"]) for r in sample], pa.binary()), dtype), total, cosine, recall)
+        else:
+            d = size // np.dtype(dtype).itemsize
+            indexes[size] = MultiIndex(np.zeros((1, d // 2)), np.zeros((1, d - d // 2)), 0.0)
+    sent = spark.sparkContext.broadcast(indexes)
+    names = ["size", "cell", "asks", "home", "id", "no", "rows", "raw"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A base row in each vector's own cell, a query row in each cell that it visits."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _unit(b.column(4), dtype)
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.cells(x), pa.int64()), pa.array(np.zeros(len(x), bool)), *(b.column(k) for k in (0, 2, 3, 4))], names=["cell", "asks", "id", "no", "rows", "raw"])
-            seen = list(sent.value.visits(x))
-            at = pa.array(np.repeat(np.arange(len(x)), [len(s) for s in seen]))
-            cell = pa.array([c for s in seen for c in s], pa.int64())
-            yield pa.RecordBatch.from_arrays([cell, pa.array(np.ones(len(cell), bool)), *(b.column(k).take(at) for k in (0, 2, 3, 4))], names=["cell", "asks", "id", "no", "rows", "raw"])
-
-    placed = classes.select("id", "k1", "no", "rows", "raw").mapInArrow(place, "cell long, asks boolean, id long, no long, rows long, raw binary")
+        """A base row in each vector's own cell, a query row in each cell that it visits; home is its own cell."""
+        for whole in slices(batches, 2000):
+            sizes = np.array([len(r) for r in whole.column(3).to_pylist()])
+            for size in np.unique(sizes).tolist():
+                b = whole.take(pa.array(np.flatnonzero(sizes == size)))
+                index, x = sent.value[size], _placing(_unit(b.column(3), dtype))
+                home = index.cells(x)
+                for asks, seen in ((False, home[:, None].tolist()), (True, list(index.visits(x)))):
+                    n = [len(s) for s in seen]
+                    at = np.repeat(np.arange(len(x)), n)
+                    cell = np.fromiter((c for s in seen for c in s), np.int64, len(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(cell), pa.array(np.full(len(at), asks)), pa.array(home[at]), *(b.column(k).take(pa.array(at)) for k in range(4))], names=names)
+
+    placed = classes.select("id", "no", "rows", "raw").mapInArrow(place, "size int, cell long, asks boolean, home long, id long, no long, rows long, raw binary")
     # vectors aren't needed to count the cells' rows
-    sizes = placed.groupBy("cell").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("b")).where("q > 0 and b > 0")
-    sizes = sizes.select("cell", F.ceil(F.col("q") / QUERY_BLOCK).alias("qs"), F.ceil(F.col("b") / BASE_BLOCK).alias("bs"))
+    sizes = placed.groupBy("size", "cell").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("b")).where("q > 0 and b > 0")
+    sizes = sizes.select("size", "cell", F.ceil(F.col("q") / QUERY_BLOCK).alias("qs"), F.ceil(F.col("b") / BASE_BLOCK).alias("bs"))
     own = F.when(F.col("asks"), F.pmod("no", "qs")).otherwise(F.pmod("no", "bs"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("asks"), F.col("bs")).otherwise(F.col("qs")) - 1))
-    dealt = placed.join(sizes, "cell").withColumn("own", own).withColumn("other", others)
-    dealt = dealt.select("cell", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("bb"), "asks", "id", "no", "rows", "raw")
+    dealt = placed.join(sizes, ["size", "cell"]).withColumn("own", own).withColumn("other", others)
+    dealt = dealt.select(*names, F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("bb"))
 
     def verify(block: pa.Table) -> pa.Table:
         asks = block.column("asks").to_numpy()
-        id_, no, weight = (block.column(c).to_numpy() for c in ("id", "no", "rows"))
+        home, id_, no, weight = (block.column(c).to_numpy() for c in ("home", "id", "no", "rows"))
         x = _unit(block.column("raw").combine_chunks(), dtype)
-        linked = x[asks] @ x[~asks].T >= cosine
-        linked &= no[asks][:, None] != no[~asks][None, :]
-        counts = linked @ weight[~asks].astype(np.float64)
+        q, b = x[asks], x[~asks]
+        linked = q @ b.T >= cosine
+        linked &= (no[asks][:, None] != no[~asks][None, :]) | (id_[asks][:, None] != id_[~asks][None, :])
         some, met = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-        q, b = id_[asks][some], id_[~asks][met]
-        lq, lb = _spread(linked[np.ix_(some, met)], q, b)
-        node, least = np.concatenate((q, b)), np.concatenate((lq, lb))
+        linked = linked[np.ix_(some, met)]
+        qid, bid, qno, bno = id_[asks][some], id_[~asks][met], no[asks][some], no[~asks][met]
+        counts = linked @ weight[~asks][met].astype(np.float64)
+        if len(some):
+            homes, which = np.unique(home[asks][some], return_inverse=True)
+            comes = sent.value[int(block.column("size")[0].as_py())].meets(_placing(b[met]), homes)
+            back = weight[asks][some].astype(np.float64) @ (linked & ~comes[:, which].T)
+        else:
+            back = np.zeros(0)
+        lq, lb = _spread(linked, qid, bid)
+        node, least = np.concatenate((qid, bid)), np.concatenate((lq, lb))
         keep = node != least
-        n = len(some)
-        return pa.table({"no": pa.array(np.concatenate((no[asks][some], np.zeros(keep.sum(), np.int64)))), "n": pa.array(np.concatenate((counts[some].astype(np.int64), np.zeros(keep.sum(), np.int64)))), "a": pa.array(np.concatenate((np.zeros(n, np.int64), node[keep]))), "b": pa.array(np.concatenate((np.zeros(n, np.int64), least[keep]))), "link": pa.array(np.arange(n + keep.sum()) >= n)})
-
-    met = written(dealt.groupBy("cell", "qb", "bb").applyInArrow(verify, "no long, n long, a long, b long, link boolean"), "met")
-    found = met.where(~F.col("link")).groupBy("no").agg(F.sum("n").alias("n"))
+        number, named, n = np.concatenate((qno, bno[back > 0])), np.concatenate((qid, bid[back > 0])), np.concatenate((counts, back[back > 0])).astype(np.int64)
+        zeros = np.zeros(max(len(n), keep.sum()), np.int64)
+        return pa.table({
+            "no": pa.array(np.concatenate((number, zeros[: keep.sum()]))), "n": pa.array(np.concatenate((n, zeros[: keep.sum()]))),
+            "a": pa.array(np.concatenate((named, node[keep]))), "b": pa.array(np.concatenate((zeros[: len(n)], least[keep]))),
+            "link": pa.array(np.arange(len(n) + keep.sum()) >= len(n)),
+        })
+
+    met = written(dealt.groupBy("size", "cell", "qb", "bb").applyInArrow(verify, "no long, n long, a long, b long, link boolean"), "met")
+    found = met.where(~F.col("link")).groupBy("no", F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     links = connected_components(met.where("link").select("a", "b").distinct()).withColumnRenamed("node", "id")
-    about = classes.join(found, "no", "left").join(links, "id", "left").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
-    out = read_rows.join(about, ["k1", "k2"], "left")
+    about = classes.join(found, ["no", "id"], "left").join(links, "id", "left").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
+    about = written(about, "about")
+    drop_written(classes, met)
+    out = read_rows.select("id", "k1", "k2", "size").join(about, ["k1", "k2"], "left")
+    known = F.col("id").isNotNull() & (F.col("size") > 0)
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
-    return out.select(*result(F.when(F.col("id").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0), component))
+    return out.select(*result(F.when(known, F.coalesce("n", F.lit(0))).otherwise(0), component))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept_rows
+from .common import kept_rows, slices
 
 #: Bins of the hashed n-grams of 1, 2 and 3 letters: the kernel is defined on which bins a text has.
 BINS = (1024, 4096, 8192)
@@ -100,7 +100,6 @@ def fit_language(docs: DataFrame, per_language: int = 400, landmarks: int = 160,
     `landmarks` numbers reach the driver, and the texts of the landmarks themselves. Landmarks are dealt evenly to the languages.
     No row to learn from: a model that answers `und`.
     """
-    bounded_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -123,7 +122,7 @@ def fit_language(docs: DataFrame, per_language: int = 400, landmarks: int = 160,
     model = LanguageModel(sorted(taken), np.stack(marks, 1), np.zeros((len(marks), len(taken)), np.float32))
 
     def kernel_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             k, has = model.kernel(b.column(1).to_pylist())
             rows = [r.tobytes() for r in k[has].astype("<f4")]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(has)), pa.array(rows, pa.binary())], names=["lang", "k"])
@@ -147,11 +146,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     are neither read nor returned. The model (a few MB, whatever the data) goes out with the tasks.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lang, score = sent.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, drop_written, shuffle_partitions, written
+from .common import connected_components, drop_written, shuffle_partitions, slices, written
 from .substrings import _mixed, _rolled
 
 #: Minwise tokens of a document: the coordinates among which paths choose, and the sketch that nodes compare.
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, k1, k2, tokens): set size, 128 bits that stand for the set, minwise tokens (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, k1, k2, tokens = [], [], [], []
             for text in b.column(1):
                 s = shingle_set(text.as_py(), words)
@@ -303,7 +303,7 @@ def confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> Da
                 known[i] = (text, shingle_set(text, words))
             return known[i][1]
 
-        for b in batches:
+        for b in slices(batches):
             a, z = b.column(0).to_pylist(), b.column(1).to_pylist()
             ok = [similar(of(x, t.as_py()), of(y, u.as_py()), percent) for x, y, t, u in zip(a, z, b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -319,7 +319,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     and links with nothing; a null id gets component null and is kept; rows that repeat an id are each judged by their own
     text; other columns are not read. Ids must be whole numbers.
     """
-    bounded_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signed = written(signatures(rows, words), "signatures")
     filled = signed.where("doc_id is not null and n > 0")
@@ -357,7 +356,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
         now, node = None, []
-        for b in batches:
+        for b in slices(batches):
             for n, i, c, text in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if n != now:
                     yield judged(node)

@@ -10,16 +10,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .common import bounded_batches, shuffle_partitions, written
+from .common import shuffle_partitions, slices, written
 from .tokens import PIECES, _byte_names
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
+#: Characters of one kind in a row from which a text goes to the tokenizers library: the faster one runs out of stack on about a million spaces.
+LONG_RUN = 10_000
+_long_run = regex.compile(r"\s{%d}|\p{L}{%d}|\p{N}{%d}|[^\s\p{L}\p{N}]{%d}" % (LONG_RUN, LONG_RUN, LONG_RUN, LONG_RUN))
+
 _encodings: dict[str, tiktoken.Encoding] = {}
+_libraries: dict[str, Tokenizer] = {}
 
 
 def encoding(path: str) -> tiktoken.Encoding:
@@ -40,6 +47,17 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _encodings[path]
 
 
+def token_ids(text: str | None, path: str) -> np.ndarray:
+    """The ids of a whole text of any length, as the tokenizers library gives them; null: none."""
+    if not text:
+        return np.empty(0, np.uint32)
+    if len(text) >= LONG_RUN and _long_run.search(text):
+        if path not in _libraries:
+            _libraries[path] = Tokenizer.from_file(path)
+        return np.array(_libraries[path].encode(text, add_special_tokens=False).ids, np.uint32)
+    return encoding(path).encode_to_numpy(text, allowed_special="all")
+
+
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of n ids: whole ones of the capacity, the shorter rest in front, which leaves one piece to fit."""
     start, length = 0, n % capacity or capacity
@@ -49,15 +67,13 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, piece, start, length, ids_crc32): the pieces of every row's ids and end_id. Null texts count as empty."""
-    bounded_batches(docs.sparkSession)
+    """(id_col, piece, start, length, ids_crc32): the pieces of every row's ids and end_id. Null texts count as empty; texts of any length are read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             at, rows = [], []
             for k, text in enumerate(b.column(1).to_pylist()):
-                ids = np.append(enc.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32), np.uint32(end_id)).astype("<u4")
+                ids = np.append(token_ids(text, vocabulary), np.uint32(end_id)).astype("<u4")
                 for p, (start, length) in enumerate(cut(len(ids), capacity)):
                     at.append(k)
                     rows.append((p, start, length, zlib.crc32(ids[start : start + length])))

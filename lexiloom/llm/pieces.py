@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, shuffle_partitions
+from .common import shuffle_partitions, slices
 
 SPACE = "▁"
 #: Characters of a chunk of a giant document; stretches that a worker remembers, and the longest of them.
@@ -291,14 +291,13 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
     no shuffle. Longer ones are dealt out chunk by chunk; a document's matrices (a few states each) meet in one task, its text
     never does before its ids are put together. Null and empty texts have no ids; equal rows each get theirs; null ids stay.
     """
-    bounded_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     giant = F.length("text") > chunk
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scan(model)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s.encode(t) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "text", "ids"])
 
     short = rows.where(F.coalesce(~giant, F.lit(True))).mapInArrow(small, f"id {kind}, text string, ids binary")
@@ -306,7 +305,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scan(model)
-        for b in batches:
+        for b in slices(batches):
             for i, key, text in zip(b.column(0), b.column(1), b.column(2)):
                 t = s.normal(text.as_py())
                 n = -(-len(t) // chunk)
@@ -319,7 +318,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scan(model)
-        for b in batches:
+        for b in slices(batches):
             m = [pickle.dumps(s.matrix(t, a, z, k == 0, last)) for k, last, t, a, z in zip(*(b.column(c).to_pylist() for c in range(2, 7)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(m, pa.binary())], names=["id", "key", "k", "m"])
 
@@ -335,7 +334,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scan(model)
-        for b in batches:
+        for b in slices(batches):
             ids = [s.path(t, a, z, *pickle.loads(e)) for t, a, z, e in zip(*(b.column(c).to_pylist() for c in range(3, 7)))]  # noqa: S301
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.binary())], names=["id", "key", "k", "ids"])
 
@@ -352,7 +351,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scan(model)
-        for b in batches:
+        for b in slices(batches):
             texts = [None if x is None else s.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, shuffle_partitions
+from .common import shuffle_partitions, slices
 
 #: Words of the m-mers whose hashes compete to be a window's minimiser.
 MINIMISER_WORDS = 5
@@ -191,7 +191,6 @@ def repeated_stretches(docs: DataFrame, window: int = 50) -> DataFrame:
     compression, whatever the window, since consecutive windows travel together.
     """
     buckets = BUCKETS_A_PARTITION * shuffle_partitions(docs.sparkSession)
-    bounded_batches(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(window, buckets)
@@ -200,7 +199,7 @@ def repeated_stretches(docs: DataFrame, window: int = 50) -> DataFrame:
             for bucket, blob in sender.flush():
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
-        for b in batches:
+        for b in slices(batches):
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 sender.add(doc, key, text.as_py())
                 if sender.size >= FLUSH_BYTES:
@@ -244,7 +243,7 @@ def remove_repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     joined = rows.join(found, ["doc_id", "_key"], "left").select("doc_id", "text", F.col("cuts.from").alias("a"), F.col("cuts.to").alias("z"), "rest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, removed, kept = [], [], []
             for text, a, z in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 words = text.as_py().split()

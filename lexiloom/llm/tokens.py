@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import slices
 
 #: The byte-level vocabularies' rule for pieces within which merges happen (a fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -149,11 +149,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     id stays null; repeated rows are each counted; other columns, whatever their names, are neither read nor returned. Memory: one
     Arrow batch of bounded rows and at most REMEMBERED short stretches a worker.
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             n = [c.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept_rows
+from .common import kept_rows, slices
 
 # Insults that count from the start, phrases in which such words mean something else, and the folding.
 SEED_WORDS = ("idiot", "imbecile", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "disgusting", "worthless", "vermin", "abschaum", "trottel", "connard", "crétin", "débile", "estúpido", "imbécil", "escoria")
@@ -157,7 +157,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
     a sampled document reach the driver. Without labels of both kinds: the seed words with a default curve.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     ids = labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     chosen = [(r["id"], int(r["y"] > 0)) for r in ids.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     seeds = {fold(w).strip(): SEED_WEIGHT for w in SEED_WORDS}
@@ -177,7 +176,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
             counts[0].clear(), counts[1].clear()
             return b
 
-        for b in batches:
+        for b in slices(batches):
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = set(fold(text).split())
                 counts[y].update({w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {""})
@@ -197,7 +196,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each sampled document's features, the entries it has, and the two-word phrases around its hits."""
-        for b in batches:
+        for b in slices(batches):
             y, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             phrases, entries = [], []
             for t in texts:
@@ -238,11 +237,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     read nor returned.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = [sent.value.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["id", "score", "predicted"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import slices
 
 ALLOW, BLOCK = "allow", "block"
 #: Names whose segmentation a Python worker remembers.
@@ -148,14 +148,13 @@ def judge_urls(pages: DataFrame, rules: list[Rule], model: UrlModel, id_col: str
     verdicts the method allows (blocks) everything.
     """
     spark = pages.sparkSession
-    bounded_batches(spark, 5000)
     sent = spark.sparkContext.broadcast((model, {r.name: r.verdict for r in rules}))
     rows = _ruled(pages, rules, id_col, url_col)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, by_rule = sent.value
-        for b in batches:
+        for b in slices(batches, 5000):
             v = [m.verdict(h, p) if r is None else by_rule[r] for h, p, r in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v, pa.string())], names=[*b.schema.names, "verdict"])
 

@@ -87,6 +87,15 @@ def test_packing(spark, tokenizer):
     assert packing.pack_documents(docs(spark, []), BPE).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "a", "\n" * 2_000_000, "ab" * 1_000_000, "12" * 1_000_000], ids=["spaces", "line breaks", "letters", "digits"])
+def test_packing_long_runs(spark, tokenizer, text):
+    got = packing.pack_documents(docs(spark, [(1, text), (2, "short"), (1, text)]), BPE).toPandas()
+    ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+    want = sorted((p, a, n, zlib.crc32(ids[a : a + n].tobytes())) for p, (a, n) in enumerate(packing.cut(len(ids), 1024)) for _ in range(2))
+    one = got[got.doc_id == 1]
+    assert sorted(zip(one.piece, one.start, one.length, one.ids_crc32)) == want
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_packing_plan(seed):
     r = random.Random(seed)
@@ -218,46 +227,95 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    r = random.Random(2)
+    edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(260)] + [(7, k) for k in range(1000, 1600)] + [(k, 5000) for k in range(1300, 1900)]
+    component = {i: i for e in edges for i in e}
+    for _ in range(60):
+        for a, b in edges:
+            component[a] = component[b] = min(component[a], component[b])
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: c for i, c in component.items() if any(i in e and e[0] != e[1] for e in edges)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def vectors_brute(rows, cosine=0.9):
+    """vec_id -> (n_links, component) for rows of unique ids, by all products within each length."""
+    out, by_size = {i: [0, i] for i, _ in rows}, {}
+    for i, v in rows:
+        if v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v) and any(v):
+            by_size.setdefault(len(v), []).append((i, v))
+    for group in by_size.values():
+        ids = np.array([i for i, _ in group])
+        x = np.array([v for _, v in group], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        links = [np.flatnonzero(row >= cosine) for a in range(0, len(x), 1000) for row in x[a : a + 1000] @ x.T]
+        component, old = ids.copy(), None
+        while old is None or (component != old).any():
+            old, component = component, np.array([component[j].min() for j in links])
+        for i, j, c in zip(ids.tolist(), links, component.tolist()):
+            out[i] = [len(j) - 1, c]
+    return out
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(600, 16)).astype(np.float32)
     x[100:160] = x[:60] + 0.1 * r.normal(size=(60, 16))
     x[200:230] = x[5]
     x[300:340] = x[7] + 0.12 * r.normal(size=(40, 16))
-    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    odd = [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 16, 1), (1003, [float("nan")] + [1.0] * 15, 1), (1004, [None] + [1.0] * 15, 1), (1005, [1.0, 2.0], 1), (1006, [float("inf")] * 16, 1), (None, x[5].tolist(), 1)]
-    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, n_links int")
-    got = embeddings.link_vectors(frame).toPandas().set_index("vec_id")
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
-    linked = u @ u.T >= 0.9
-    component = np.arange(600)
-    for _ in range(50):
-        component = np.where(linked, component[None, :], 9999).min(1)
-    mine = got.loc[range(600)]
-    assert (mine.n_links.to_numpy() <= linked.sum(1) - 1).all()
-    assert mine.n_links.sum() >= 0.99 * (linked.sum() - 600)
-    assert (mine.component_id.to_numpy() == component).mean() > 0.99
-    for i in range(1000, 1007):
-        assert tuple(got.loc[i][["n_links", "component_id", "kept"]]) == (0, i, True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(2000, [1.0, 2.0]), (2001, [1.0, 2.0]), (2002, [2.0, 4.1]), (2003, [-1.0, -2.0]), (2004, [3.0]), (2005, [7.0]), (2006, [-7.0])]
+    rows += [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [float("nan")] + [1.0] * 15), (1004, [None] + [1.0] * 15), (1006, [float("inf")] * 16), (1007, [-0.0] * 3)]
+    rows += [(3000 + i, [float(c) for c in r.normal(size=24)]) for i in range(300)]
+    rows += [(3500 + i, rows[-300 + i][1][:-1] + [rows[-300 + i][1][-1] + 0.2]) for i in range(60)]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows] + [(None, x[5].tolist(), 1)], "vec_id long, embedding array<float>, n_links int")
+    got = {None if pd.isna(i) else int(i): [n, None if pd.isna(c) else int(c), bool(k)] for i, n, c, k in embeddings.link_vectors(frame).toPandas().itertuples(index=False)}
+    assert got.pop(None) == [0, None, True]
+    assert got == {i: [n, c, c == i] for i, (n, c) in vectors_brute(rows).items()}
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert embeddings.link_vectors(empty).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    """Rows that repeat an id count as other vectors and share its component, whatever their vectors."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.02, 1.0])]
+    got = sorted(tuple(r) for r in embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False)]
+
+
+def test_vectors_at_the_threshold(spark):
+    """Links of 0.90 to 0.92 among 15,000 vectors: counted at both ends, and at least the stated share of them found."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = r.normal(size=(3000, 64))
+    side -= (side * x[:3000]).sum(1)[:, None] * x[:3000]
+    cos = r.uniform(0.901, 0.92, (3000, 1))
+    y = cos * x[:3000] + np.sqrt(1 - cos**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    rows = list(enumerate(np.concatenate((x, y)).astype(np.float32).tolist()))
+    got = embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
+    want = vectors_brute(rows)
+    total = sum(n for n, _ in want.values())
+    assert total >= 6000 and got.n_links.sum() % 2 == 0
+    assert all(n <= want[i][0] for i, n in zip(got.vec_id, got.n_links)) and got.n_links.sum() >= 0.997 * total
+    size = got.groupby("component_id").vec_id.transform("size")
+    assert ((got.n_links > 0) == (size > 1)).all()
+
+
 def test_multi_sequence_visits_in_order():
     r = np.random.default_rng(1)
     x = r.normal(size=(50, 8))
     index = embeddings.fit_index(x, 50_000, 0.9)
-    index.reach = 5.0
+    index.reach = 5.0 * embeddings.GRID**2
+    x = embeddings._placing(x)
     n = len(index.right)
     a, b = embeddings._distances(x[:, :4], index.left), embeddings._distances(x[:, 4:], index.right)
     for k, seen in enumerate(index.visits(x)):
         d = [a[k, c // n] + b[k, c % n] for c in seen]
         whole = a[k][:, None] + b[k][None, :]
         assert d == sorted(d) and len(set(seen)) == len(seen)
-        assert set(seen) == set(np.flatnonzero(whole.ravel() <= whole.min() + 5.0).tolist())
+        assert set(seen) == set(np.flatnonzero(whole.ravel() <= whole.min() + index.reach).tolist())
+        assert (index.meets(x[k : k + 1], np.arange(n * n))[0] == np.isin(np.arange(n * n), seen)).all()
 
 
 URLS = [("http://www.Example.com/en/1?x", "allow"), ("http://a.www.example.com/en/", "allow"), ("http://m.example.com/en/9#t", "block"), ("https://x.example.net/es/1", "block"), ("http://notexample.com/en/", "allow"), ("http://x.com", None), ("http://example.com/EN/", "allow"), ("ftp://a.net/fr/x", "block"), (None, None), ("no scheme", None), ("http://", None), ("http://ünï.org/de/", None)]
