@@ -137,14 +137,41 @@ def cut_brute(rows, w):
     return sorted(out)
 
 
-@pytest.mark.parametrize("window", [3, 50])
-def test_substrings(spark, window):
+@pytest.mark.parametrize(("window", "light"), [(3, 100), (50, 100), (3, -1), (50, -1)])
+def test_substrings(spark, monkeypatch, window, light):
+    """light -1 and one bucket for each minimiser: any that occurs twice is heavy, so its windows travel by themselves."""
+    monkeypatch.setattr(substrings, "LIGHT", light)
+    monkeypatch.setattr(substrings, "BUCKETS_A_PARTITION", 8 if light > 0 else 1000)
     rows = [*sample(), (0, "another text under the id nought " * 12)]
     got = substrings.remove_repeated(docs(spark, rows), window).toPandas()
     assert sorted(zip(got.doc_id.fillna(-1).astype(int), got.n_words, got.n_removed, got.kept)) == cut_brute(rows, window)
     assert substrings.remove_repeated(docs(spark, []), window).count() == 0
 
 
+def test_substrings_spread_a_common_phrase(spark):
+    """3,000 documents with one 30-word phrase in different surroundings, and one 60-word passage: no bucket holds much more than others."""
+    r = random.Random(1)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    phrase, passage = [word() for _ in range(30)], [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(60)] + phrase + [word() for _ in range(60)] + passage + [word() for _ in range(40)]).encode() for _ in range(3000)]
+    frame = spark.createDataFrame([(t.decode(),) for t in texts], "text string").select(F.col("text").cast("binary"))
+    heavy = substrings.heavy_minimisers(frame, 50, 64)
+    assert 0 < len(heavy) <= 64
+    sender = substrings._Sender(50, 64, heavy)
+    for i, t in enumerate(texts):
+        sender.add(i, 0, t)
+    sizes = sorted(len(blob) for _, blob in sender.flush())
+    assert len(sizes) == 64 and sizes[-1] < 1.5 * sizes[32]
+
+
+def test_substrings_keep_white_space(spark):
+    passage = " ".join(f"p{k}" for k in range(55))
+    rows = [(1, passage), (2, f"line one\n\n  indented line\n\t{passage}\n  end\n\nlast "), (3, "  as it\n is "), (4, passage + "\n")]
+    got = substrings.remove_repeated(docs(spark, rows), 50, carry=("lang", "n_chars"), respace=False).toPandas().set_index("doc_id")
+    assert list(got.kept) == [passage, "line one\n\n  indented line\n\tend\n\nlast ", "  as it\n is ", ""]
+    assert list(got.n_chars) == [len(t) for _, t in rows]
+
+
 def test_substrings_tell_collisions_apart(monkeypatch):
     monkeypatch.setattr(substrings, "_rolled", lambda x, n: np.zeros(len(x) - n + 1, np.uint64))
     which, inner = substrings.repeated(np.array([1, 2, 3]), [b"a b c", b"b c d", b"b c e"], 2)
