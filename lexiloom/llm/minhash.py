@@ -26,6 +26,8 @@ PIVOTS = 4
 #: Documents of a node up to which it is compared exhaustively; larger nodes branch on. From a depth of DEEP tokens in common on,
 #: branching hardly splits any more, and a node may be larger.
 NODE, DEEP, DEEP_NODE = 1024, 3, 4096
+#: Shingles that a worker holds at once when members of a node are compared exactly, a longer single text aside.
+HELD = 2_000_000
 #: Share of equal tokens from which a pair is confirmed on full sets: 0.75 less four deviations.
 CANDIDATE = 0.6
 
@@ -216,6 +218,19 @@ def _coordinate(tree: np.ndarray, level: int) -> np.ndarray:
     return PATHS[tree, level if level <= DOUBLE_LEVELS else level - DOUBLE_LEVELS]
 
 
+def with_sizes(rows: DataFrame) -> DataFrame:
+    """rows (node, id, component, ...) of nodes that members of two components are in, with size, their members.
+
+    Rows are dealt by node and a salt of the id, and only one count a salt meets by node: a very common token's node, with a third
+    of all documents, is spread over as many tasks as there are shuffle partitions.
+    """
+    salts = shuffle_partitions(rows.sparkSession)
+    dealt = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(salts))).repartition("node", "s")
+    parts = dealt.groupBy("node", "s").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    sizes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("s").alias("s")).where("lo != hi")
+    return dealt.join(sizes.select("node", "size", F.explode("s").alias("s")), ["node", "s"]).drop("s")
+
+
 def small_nodes(sets: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """(node, id) of all nodes small enough to compare, and (id, component) of members of larger ones that links join, if any do.
 
@@ -223,14 +238,13 @@ def small_nodes(sets: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tu
     level: nodes with one member end, small ones are done; each member of a larger one is first tried against the likeliest of the
     node's PIVOTS, from CANDIDATE on and on full sets, and then branches by the next token of its tree (every second node: by two).
     A branch whose members are all in one component ends: no pair of it can change any. Once a path has been through all tokens,
-    members agree on every token with the pivots they were tried against, so no node is cut off. Only counts of rows left reach the driver.
+    members agree on every token with the pivots they were tried against, so no node is cut off. decide gets pairs (a, b, part): b is a pivot. Only counts of rows left reach the driver.
     """
     nodes = sets.select("id", "tokens").mapInArrow(_roots, "tree int, node long, id long")
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    live = written(nodes.join(sizes, "node").withColumn("component", F.col("id")), "nodes")
+    live = written(with_sizes(nodes.withColumn("component", F.col("id"))), "nodes")
     sketches = sets.select("id", "tokens").mapInArrow(_sketches, "id long, sketch binary")
     small, found = [live.where(F.col("size") <= NODE).select("node", "id")], None
-    hot = live.where(F.col("size") > NODE).select("tree", "node", "id", "component")
+    hot = live.where(F.col("size") > NODE)
     level = 0
     while level < DOUBLE_LEVELS + TOKENS - 1 and hot.limit(1).count():
         level += 1
@@ -238,7 +252,10 @@ def small_nodes(sets: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tu
         drawn = hot.groupBy("node").agg(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
         drawn = drawn.select("node", F.posexplode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("k", "p")).select("node", "k", F.col("p.id").alias("id"), F.col("p.component").alias("pc"))
         drawn = drawn.join(sketches, "id").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "id", "pc", "sketch"))).alias("p"))
-        pivots = drawn.select("node", F.col("p.id").alias("pid"), F.col("p.pc").alias("pc"), F.concat(*[F.col("p")[k]["sketch"] for k in range(PIVOTS)]).alias("psketch"))
+        # a node's pivots go to each of its parts of about NODE members
+        shares = lambda size: F.ceil(size / NODE)
+        pivots = drawn.join(hot.groupBy("node").agg(F.first("size").alias("size")), "node")
+        pivots = pivots.select("node", F.explode(F.sequence(F.lit(0).cast("long"), shares(F.col("size")) - 1)).alias("part"), F.col("p.id").alias("pid"), F.col("p.pc").alias("pc"), F.concat(*[F.col("p")[k]["sketch"] for k in range(PIVOTS)]).alias("psketch"))
 
         def step(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -252,16 +269,17 @@ def small_nodes(sets: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tu
                 at, best = np.arange(len(ids)), alike.argmax(1)
                 to = pa.array(pid[at, best], mask=alike[at, best] < CANDIDATE * TOKENS)
                 child = _branch(node, tokens[at, _coordinate(tree, level)])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), b.column(2), to], names=["tree", "node", "id", "to"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), b.column(2), to, b.column(8)], names=["tree", "node", "id", "to", "part"])
                 two = np.flatnonzero(_mixed(node) % np.uint64(2) == 0) if level <= DOUBLE_LEVELS else []
                 if len(two):
                     child = _branch(~node[two], tokens[two, PATHS[tree[two], TOKENS - level]])
                     at = pa.array(two)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(child), b.column(2).take(at), pa.nulls(len(two), pa.int64())], names=["tree", "node", "id", "to"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(child), b.column(2).take(at), pa.nulls(len(two), pa.int64()), b.column(8).take(at)], names=["tree", "node", "id", "to", "part"])
 
-        full = hot.join(sets.select("id", "tokens"), "id").join(pivots, "node").select("tree", "node", "id", "component", "tokens", "pid", "pc", "psketch")
-        told = written(full.mapInArrow(step, "tree int, node long, id long, to long"), "branches")
-        tried = written(told.where("to is not null").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), "tried")
+        parted = hot.withColumn("part", F.pmod(F.xxhash64("id"), shares(F.col("size"))))
+        full = parted.join(sets.select("id", "tokens"), "id").join(pivots, ["node", "part"]).select("tree", "node", "id", "component", "tokens", "pid", "pc", "psketch", "part")
+        told = written(full.mapInArrow(step, "tree int, node long, id long, to long, part long"), "branches")
+        tried = written(told.where("to is not null").groupBy(F.col("id").alias("a"), F.col("to").alias("b")).agg(F.min("part").alias("part")), "tried")
         if tried.limit(1).count():
             links = decide(tried)
             before = found
@@ -272,12 +290,11 @@ def small_nodes(sets: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tu
                 drop_written(before)
         named = told.select("tree", "node", "id")
         named = named.withColumn("component", F.col("id")) if found is None else named.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("node", "size")
-        live = written(named.join(sizes, "node"), "nodes")
+        live = written(with_sizes(named), "nodes")
         drop_written(told, tried)
         most = NODE if level + 1 < DEEP else DEEP_NODE
         small.append(live.where(F.col("size") <= most).select("node", "id"))
-        hot = live.where(F.col("size") > most).select("tree", "node", "id", "component")
+        hot = live.where(F.col("size") > most)
     return reduce(DataFrame.unionByName, small), found
 
 
@@ -289,9 +306,16 @@ def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; held: (id, text binary)."""
+    """The pairs (a, b) whose full shingle sets are similar enough; held: (id, text binary).
+
+    pairs may have a part: b, a pivot of very many, then has its text sent once a part, and no task gets all of its pairs.
+    """
     first, second = (held.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")).hint("merge") for x in "ab")
-    both = pairs.join(first, "a").join(second, "b")
+    on = ["b"]
+    if "part" in pairs.columns:
+        on = ["b", "part"]
+        second = second.join(pairs.select(*on).distinct().hint("merge"), "b").hint("merge")
+    both = pairs.join(first, "a").join(second, on)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[bytes, np.ndarray]] = {}
@@ -317,12 +341,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     Documents with equal sets are one class, represented by its smallest id; classes are joined by chosen paths, links confirmed
     on full sets, components made from the links. Copies are never expanded into pairs. A null or empty text has an empty set
     and links with nothing; a null id gets component null and is kept; rows that repeat an id are each judged by their own
-    text; other columns are not read. Ids must be whole numbers.
+    text; texts of any length are read whole; other columns are not read. Ids must be whole numbers.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signed = written(signatures(rows, words), "signatures")
     filled = signed.where("doc_id is not null and n > 0")
-    sets = written(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("tokens", "doc_id").alias("tokens")), "sets")
+    sets = written(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("tokens", "doc_id").alias("tokens"), F.first("n").alias("n")), "sets")
     texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def decide(pairs: DataFrame) -> DataFrame:
@@ -357,14 +381,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
 
         now, node = None, []
         for b in slices(batches):
-            for n, i, c, text in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if n != now:
+            for n, i, c, text, x, y in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if (n, x, y) != now:
                     yield judged(node)
-                    now, node = n, []
+                    now, node = (n, x, y), []
                 node.append((i, c, shingle_set(text, words)))
         yield judged(node)
 
-    further = by_node(open_, held, "text").mapInArrow(exact, "a long, b long").distinct()
+    # a node whose sets are too many for a worker is dealt in blocks, and every two blocks meet in a group of their own
+    sized = open_.join(sets.groupBy("id").agg(F.max("n").alias("n")), "id")
+    blocks = sized.groupBy("node").agg(F.ceil(2 * F.sum("n") / HELD).alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    sized = sized.join(blocks, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks") - 1, F.lit(0)))))
+    sized = sized.select("node", "id", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    further = sized.join(held, "id").select("node", "id", "component", "text", "x", "y").repartition(parts, "node", "x", "y").sortWithinPartitions("node", "x", "y").mapInArrow(exact, "a long, b long").distinct()
     further = written(further, "links")
     ends = found
     if further.limit(1).count():

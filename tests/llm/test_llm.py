@@ -213,6 +213,7 @@ def test_near_duplicates_branch_and_stay_exact(spark, monkeypatch):
     """With tiny nodes every group has to branch; a chain of edits holds together though its ends differ."""
     monkeypatch.setattr(minhash, "NODE", 16)
     monkeypatch.setattr(minhash, "DEEP_NODE", 24)
+    monkeypatch.setattr(minhash, "HELD", 1500)  # exact comparison in blocks of a few documents
     r = random.Random(3)
     base = [f"w{r.randint(0, 9999)}" for _ in range(120)]
     rows = []
