@@ -19,8 +19,9 @@ from .common import connected_components, drop_written, slices, written
 SAMPLE, CELL, MOST_CENTROIDS = 20_000, 100, 1024
 #: Share of the pairs at exactly the threshold, the hardest ones, of which at least one traversal has to reach the other's cell.
 RECALL = 0.998
-#: Rows of a block on either side: a cell of any size is compared block by block, so that no task gathers a hot cell.
-QUERY_BLOCK, BASE_BLOCK = 4096, 1024
+#: Components and rows of a block on either side: a row of the grid is compared block by block, so that no task gathers a hot cell;
+#: within a block, tiles of so many rows are multiplied at once.
+BLOCK_SIZE, BLOCK_ROWS, TILE = 1 << 22, 8192, 1024
 #: Steps of a unit in which vectors are placed. Distances are then sums of whole numbers under 2**53: exact, in whatever order they are added.
 GRID = float(1 << 15)
 
@@ -149,8 +150,8 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = RECALL
     """(id_col, n_links, component_id, kept) of every row of vectors.
 
     Equal vectors are one class, compared once and counted as often as it has rows; vectors of each length have an index of their
-    own. Each class visits the cells within reach; what it meets there is verified in double precision, block by block, so a hot
-    cell takes many small tasks; of a block only counts and one link to the smallest reachable id a row leave it. A link counts at
+    own. Each class visits the cells within reach, a line of the grid at a time; what it meets there is verified in double
+    precision, block by block, so a hot cell takes many small tasks; of a tile only counts and one link to the smallest reachable id a row leave it. A link counts at
     both its ends, once each: a block counts its query rows, and those base rows whose own traversal doesn't come to the query
     row's cell (where it does, another block counts them). Links with nothing, so n_links 0 and itself as component: vectors
     that are null, empty, zero or hold a null or a non-finite component. Null ids get component null, are kept, and are linked
@@ -187,60 +188,84 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = RECALL
             d = size // np.dtype(dtype).itemsize
             indexes[size] = MultiIndex(np.zeros((1, d // 2)), np.zeros((1, d - d // 2)), 0.0)
     sent = spark.sparkContext.broadcast(indexes)
-    names = ["size", "cell", "asks", "home", "id", "no", "rows", "raw"]
+    names = ["size", "line", "asks", "home", "id", "no", "rows", "raw", "rights"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A base row in each vector's own cell, a query row in each cell that it visits; home is its own cell."""
+        """A base row in each vector's own line of the grid (a left centroid's cells), a query row in each line that it visits.
+
+        home is the vector's own cell, rights are the right centroids of the visited cells in the line: neighbouring cells
+        share a vector's trip, so trips grow with the visited lines only.
+        """
         for whole in slices(batches, 2000):
             sizes = np.array([len(r) for r in whole.column(3).to_pylist()])
             for size in np.unique(sizes).tolist():
                 b = whole.take(pa.array(np.flatnonzero(sizes == size)))
                 index, x = sent.value[size], _placing(_unit(b.column(3), dtype))
-                home = index.cells(x)
+                home, width = index.cells(x), len(index.right)
                 for asks, seen in ((False, home[:, None].tolist()), (True, list(index.visits(x)))):
-                    n = [len(s) for s in seen]
-                    at = np.repeat(np.arange(len(x)), n)
+                    at = np.repeat(np.arange(len(x)), [len(s) for s in seen])
                     cell = np.fromiter((c for s in seen for c in s), np.int64, len(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(cell), pa.array(np.full(len(at), asks)), pa.array(home[at]), *(b.column(k).take(pa.array(at)) for k in range(4))], names=names)
-
-    placed = classes.select("id", "no", "rows", "raw").mapInArrow(place, "size int, cell long, asks boolean, home long, id long, no long, rows long, raw binary")
-    # vectors aren't needed to count the cells' rows
-    sizes = placed.groupBy("size", "cell").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("b")).where("q > 0 and b > 0")
-    sizes = sizes.select("size", "cell", F.ceil(F.col("q") / QUERY_BLOCK).alias("qs"), F.ceil(F.col("b") / BASE_BLOCK).alias("bs"))
+                    order = np.lexsort((cell, at))
+                    at, line, right = at[order], cell[order] // width, cell[order] % width
+                    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (line[1:] != line[:-1]))))
+                    rights = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(right, pa.int32()))
+                    at = at[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(line[first]), pa.array(np.full(len(at), asks)), pa.array(home[at]), *(b.column(k).take(pa.array(at)) for k in range(4)), rights], names=names)
+
+    placed = classes.select("id", "no", "rows", "raw").mapInArrow(place, "size int, line long, asks boolean, home long, id long, no long, rows long, raw binary, rights array<int>")
+    # vectors aren't needed to count the lines' rows
+    sizes = placed.groupBy("size", "line").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("b")).where("q > 0 and b > 0")
+    block = F.greatest(F.lit(256), F.least(F.lit(BLOCK_ROWS), F.expr(f"{BLOCK_SIZE * np.dtype(dtype).itemsize} div size")))
+    sizes = sizes.select("size", "line", F.ceil(F.col("q") / block).alias("qs"), F.ceil(F.col("b") / block).alias("bs"))
     own = F.when(F.col("asks"), F.pmod("no", "qs")).otherwise(F.pmod("no", "bs"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("asks"), F.col("bs")).otherwise(F.col("qs")) - 1))
-    dealt = placed.join(sizes, ["size", "cell"]).withColumn("own", own).withColumn("other", others)
+    dealt = placed.join(sizes, ["size", "line"]).withColumn("own", own).withColumn("other", others)
     dealt = dealt.select(*names, F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("bb"))
 
     def verify(block: pa.Table) -> pa.Table:
         asks = block.column("asks").to_numpy()
         home, id_, no, weight = (block.column(c).to_numpy() for c in ("home", "id", "no", "rows"))
         x = _unit(block.column("raw").combine_chunks(), dtype)
-        q, b = x[asks], x[~asks]
-        linked = q @ b.T >= cosine
-        linked &= (no[asks][:, None] != no[~asks][None, :]) | (id_[asks][:, None] != id_[~asks][None, :])
-        some, met = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-        linked = linked[np.ix_(some, met)]
-        qid, bid, qno, bno = id_[asks][some], id_[~asks][met], no[asks][some], no[~asks][met]
-        counts = linked @ weight[~asks][met].astype(np.float64)
-        if len(some):
-            homes, which = np.unique(home[asks][some], return_inverse=True)
-            comes = sent.value[int(block.column("size")[0].as_py())].meets(_placing(b[met]), homes)
-            back = weight[asks][some].astype(np.float64) @ (linked & ~comes[:, which].T)
-        else:
-            back = np.zeros(0)
-        lq, lb = _spread(linked, qid, bid)
-        node, least = np.concatenate((qid, bid)), np.concatenate((lq, lb))
-        keep = node != least
-        number, named, n = np.concatenate((qno, bno[back > 0])), np.concatenate((qid, bid[back > 0])), np.concatenate((counts, back[back > 0])).astype(np.int64)
-        zeros = np.zeros(max(len(n), keep.sum()), np.int64)
+        index = sent.value[int(block.column("size")[0].as_py())]
+        lists = block.column("rights").combine_chunks()
+        row, right = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        order = np.argsort(right, kind="stable")
+        row, right = row[order], right[order]
+        edges = np.flatnonzero(np.concatenate(([True], right[1:] != right[:-1], [True])))
+        counts = np.zeros(len(x), np.int64)
+        links = []
+
+        def tile(q: np.ndarray, b: np.ndarray) -> None:
+            linked = x[q] @ x[b].T >= cosine
+            linked &= (no[q][:, None] != no[b][None, :]) | (id_[q][:, None] != id_[b][None, :])
+            some, met = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+            if not len(some):
+                return
+            linked, q, b = linked[np.ix_(some, met)], q[some], b[met]
+            counts[q] += (linked @ weight[b].astype(np.float64)).astype(np.int64)
+            homes, which = np.unique(home[q], return_inverse=True)
+            comes = index.meets(_placing(x[b]), homes)
+            counts[b] += (weight[q].astype(np.float64) @ (linked & ~comes[:, which].T)).astype(np.int64)
+            lq, lb = _spread(linked, id_[q], id_[b])
+            links.append((np.concatenate((id_[q], id_[b])), np.concatenate((lq, lb))))
+
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            here = row[lo:hi]
+            q, b = here[asks[here]], here[~asks[here]]
+            for i in range(0, len(q) if len(b) else 0, TILE):
+                for j in range(0, len(b), TILE):
+                    tile(q[i : i + TILE], b[j : j + TILE])
+        node, least = (np.concatenate([p[k] for p in links]) if links else np.empty(0, np.int64) for k in (0, 1))
+        node, least = np.unique(np.stack((node, least))[:, node != least], axis=1)
+        some = counts > 0
+        n = int(some.sum())
+        zeros = np.zeros(max(n, len(node)), np.int64)
         return pa.table({
-            "no": pa.array(np.concatenate((number, zeros[: keep.sum()]))), "n": pa.array(np.concatenate((n, zeros[: keep.sum()]))),
-            "a": pa.array(np.concatenate((named, node[keep]))), "b": pa.array(np.concatenate((zeros[: len(n)], least[keep]))),
-            "link": pa.array(np.arange(len(n) + keep.sum()) >= len(n)),
+            "no": pa.array(np.concatenate((no[some], zeros[: len(node)]))), "n": pa.array(np.concatenate((counts[some], zeros[: len(node)]))),
+            "a": pa.array(np.concatenate((id_[some], node))), "b": pa.array(np.concatenate((zeros[:n], least))), "link": pa.array(np.arange(n + len(node)) >= n),
         })
 
-    met = written(dealt.groupBy("size", "cell", "qb", "bb").applyInArrow(verify, "no long, n long, a long, b long, link boolean"), "met")
+    met = written(dealt.groupBy("size", "line", "qb", "bb").applyInArrow(verify, "no long, n long, a long, b long, link boolean"), "met")
     found = met.where(~F.col("link")).groupBy("no", F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     links = connected_components(met.where("link").select("a", "b").distinct()).withColumnRenamed("node", "id")
     about = classes.join(found, ["no", "id"], "left").join(links, "id", "left").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
