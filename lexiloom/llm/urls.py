@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import drop_written, slices, written
 
 ALLOW, BLOCK = "allow", "block"
-#: Names whose segmentation a Python worker remembers.
-REMEMBERED = 200_000
-_WORD = re.compile(r"[a-z]+")
+#: Names whose scores go out with the tasks, the most frequent ones, and the longest such name; all others are looked up by a join.
+FREQUENT, FREQUENT_LETTERS = 50_000, 100
+#: Copies of a looked-up table among which a very common key's rows are dealt.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,51 +55,51 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def url_words(name: str) -> list[str]:
-    return _WORD.findall(name.lower())
+def names_in(text: str) -> Column:
+    """The runs of letters a-z of a column in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
+
+
+def segments(name: str, known: list[tuple[int, int, float]], total: float) -> list[str]:
+    """The likeliest split of a name into words: Viterbi over unigrams.
+
+    known: (start, length, log probability) of each known word in it. Any other stretch costs 1 / total and a factor of ten a
+    letter. Among equally likely splits the one whose last word is longest. Linear in the name and its known words.
+    """
+    by_end: dict[int, list[tuple[int, float]]] = {}
+    for i, n, p in known:
+        by_end.setdefault(i + n, []).append((i, p))
+    ten, new = math.log(10), -math.log(total)
+    best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+    opened, opened_at = 0.0, 0  # the best start of an unknown stretch: what its letters cost counted from the name's start
+    for i in range(1, len(name) + 1):
+        best[i], back[i] = opened + new - ten * i, opened_at
+        for j, p in sorted(by_end.get(i, ())):
+            if best[j] + p > best[i]:
+                best[i], back[i] = best[j] + p, j
+        if best[i] + ten * i > opened:
+            opened, opened_at = best[i] + ten * i, i
+    out, i = [], len(name)
+    while i:
+        out.append(name[back[i] : i])
+        i = back[i]
+    return out[::-1]
+
+
+def _looked_up(rows: DataFrame, by: str, salt: str, other: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined with other (one row a key), a very common key's rows dealt among SALTS copies by a hash of the salt column."""
+    dealt = rows.withColumn("_s", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
+    copies = other.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, (F.col(by) == F.col(key)) & (F.col("_s") == F.col("_t")), how).drop("_s", "_t")
 
 
 @dataclass
 class UrlModel:
-    """log probabilities of words; for each word its log odds of block against allow; the prior log odds."""
-
-    words: dict[str, float]
-    total: float
-    odds: dict[str, float] = field(default_factory=dict)
-    prior: float = 0.0
-    _known: dict[str, list[str]] = field(default_factory=dict)
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_known": {}}
-
-    def segments(self, name: str) -> list[str]:
-        """The likeliest split of a run of letters into words: Viterbi over unigrams; an unknown word costs a factor of ten a letter."""
-        out = self._known.get(name)
-        if out is None:
-            best, back, longest = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1), max(24, 1)
-            for i in range(1, len(name) + 1):
-                for j in range(max(0, i - longest), i):
-                    w = name[j:i]
-                    p = self.words.get(w)
-                    p = best[j] + (p if p is not None else -math.log(self.total) - math.log(10) * (i - j))
-                    if p > best[i]:
-                        best[i], back[i] = p, j
-            out, i = [], len(name)
-            while i:
-                out.append(name[back[i] : i])
-                i = back[i]
-            out.reverse()
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            self._known[name] = out
-        return out
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Segmented words of host and path, told apart by a mark."""
-        return ["h:" + s for w in url_words(host) for s in self.segments(w)] + ["p:" + s for w in url_words(path) for s in self.segments(w)]
-
-    def verdict(self, host: str, path: str) -> str:
-        return BLOCK if self.prior + sum(self.odds.get(t, 0.0) for t in self.tokens(host, path)) > 0 else ALLOW
+    """scores: (name, h, p), what a name adds to the log odds of block against allow in a host and in a path; the most frequent ones also at hand."""
+
+    prior: float
+    scores: DataFrame
+    frequent: dict[str, tuple[float, float]]
 
 
 def _ruled(pages: DataFrame, rules: list[Rule], id_col: str, url_col: str) -> DataFrame:
@@ -108,54 +108,113 @@ def _ruled(pages: DataFrame, rules: list[Rule], id_col: str, url_col: str) -> Da
     return rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
 
 
-def fit_urls(pages: DataFrame, rules: list[Rule], sample: int = 50_000, most_words: int = 50_000, id_col: str = "page_id", url_col: str = "url") -> UrlModel:
+def segmented(words: DataFrame) -> DataFrame:
+    """(name, parts) of each of words (w, n): every name split by all names that more than one host has, with n as their frequency.
+
+    A name's substrings of the lengths that known words have are looked up by a join: the dictionary may be of any size.
+    """
+    total = float(words.agg(F.sum("n")).first()[0] or 1)
+    known = words.where("n > 1").select("w", F.log(F.col("n") / total).alias("lp"))
+    lengths = sorted(r[0] for r in known.select(F.length("w")).distinct().collect())
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
+            for name in b.column(0).to_pylist():
+                for n in lengths:
+                    if n > len(name):
+                        break
+                    for lo in range(0, len(name) - n + 1, 50_000):
+                        at = range(lo, min(len(name) - n + 1, lo + 50_000))
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array([name[i : i + n] for i in at])], names=["name", "at", "part"])
+
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in stretches(batches):
+            held.append(b)
+            rows += b.num_rows
+            if rows > 20_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    parts = words.select("w").mapInArrow(batched, "name string, at int, part string")
+    found = _looked_up(parts, "part", "name", known, "w", "inner")
+    found = found.groupBy("name").agg(F.collect_list(F.struct("at", F.length("part").alias("n"), "lp")).alias("known"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1000):
+            names = b.column(0).to_pylist()
+            out = [segments(name, [(k["at"], k["n"], k["lp"]) for k in known or ()], total) for name, known in zip(names, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.list_(pa.string()))], names=["name", "parts"])
+
+    return words.select(F.col("w").alias("name")).join(found, "name", "left").select("name", "known").mapInArrow(split, "name string, parts array<string>")
+
+
+def fit_urls(pages: DataFrame, rules: list[Rule], sample: int = 50_000, id_col: str = "page_id", url_col: str = "url") -> UrlModel:
     """Words from all urls; naive Bayes from urls that a rule decides.
 
-    A word counts once for each different host that has it, so that a host with a third of all pages doesn't make its whole
-    name a word; path words count by their different hosts too. The most_words most frequent words make the model (its size is
-    bounded). Naive Bayes learns from at most `sample` urls with a rule, those with the smallest hash.
+    A word counts once for each different host that has it, in host or path, so that a host with a third of all pages doesn't make
+    its whole name a word. All words count, however many and however long; they stay tables. Naive Bayes learns from at most
+    `sample` urls with a rule, those with the smallest hash. The driver sees sums and the FREQUENT scores.
     """
     rows = _ruled(pages, rules, id_col, url_col)
-    pair = rows.select("host", F.explode(F.concat(F.regexp_extract_all(F.lower("host"), F.lit("([a-z]+)"), 1), F.regexp_extract_all(F.lower("path"), F.lit("([a-z]+)"), 1))).alias("w")).distinct()
-    counts = pair.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where(F.length("w") <= 24).orderBy(F.desc("n"), "w").limit(most_words).collect()
-    total = float(sum(r["n"] for r in top)) or 1.0
-    # a single host's word is no more likely than its letters: left to the unknown-word cost unless short
-    model = UrlModel({r["w"]: math.log(r["n"] / total) for r in top if r["n"] > 1}, total)
-    verdict = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.verdict)])[F.col("rule")] if rules else F.lit(None).cast("string")
-    learn = rows.where("rule is not null").select("host", "path", verdict.alias("v")).orderBy(F.xxhash64("host", "path", "id")).limit(sample).collect()
-    seen: dict[str, list[int]] = {}
-    n = [0, 0]
-    for host, path, v in learn:
-        k = int(v == BLOCK)
-        n[k] += 1
-        for t in model.tokens(host, path):
-            seen.setdefault(t, [0, 0])[k] += 1
-    if min(n):
-        sums = [sum(c[k] for c in seen.values()) for k in (0, 1)]
-        model.prior = math.log(n[1] / n[0])
-        model.odds = {t: math.log((c[1] + 1) / (sums[1] + len(seen))) - math.log((c[0] + 1) / (sums[0] + len(seen))) for t, c in seen.items()}
-    elif n[1]:
-        model.prior = 1.0
-    return model
+    each = rows.select("host", F.explode(F.concat(names_in("host"), names_in("path"))).alias("w")).groupBy("host", "w").agg(F.count(F.lit(1)).alias("c"))
+    words = written(each.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("times")), "words")
+    named = written(segmented(words), "segments")
+    verdict = F.create_map(*[F.lit(x) for r in rules for x in (r.name, int(r.verdict == BLOCK))])[F.col("rule")] if rules else F.lit(None).cast("int")
+    ruled = written(rows.where("rule is not null").select("host", "path", verdict.alias("y")).orderBy(F.xxhash64("host", "path", "id")).limit(sample), "ruled")
+    n = {r["y"]: r["n"] for r in ruled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    both = F.concat(F.transform(names_in("host"), lambda w: F.struct(F.lit("h").alias("place"), w.alias("w"))), F.transform(names_in("path"), lambda w: F.struct(F.lit("p").alias("place"), w.alias("w"))))
+    seen = _looked_up(ruled.select("y", "host", "path", F.explode(both).alias("x")).select("y", "x.place", "x.w", F.concat("host", "path").alias("url")), "w", "url", named, "name", "inner")
+    counts = written(seen.select("y", "place", F.explode("parts").alias("part")).groupBy("place", "part").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "counts")
+    pos, neg, different = counts.agg(F.sum("pos"), F.sum("neg"), F.count(F.lit(1))).first()
+    if n.get(0) and n.get(1):
+        odds = F.log((F.col("pos") + 1) / (pos + different)) - F.log((F.col("neg") + 1) / (neg + different))
+        prior = math.log(n[1] / n[0])
+    else:
+        odds, prior = F.lit(0.0), 1.0 if n.get(1) else 0.0
+    at = lambda place: F.max(F.when(F.col("place") == place, odds))
+    by_part = counts.groupBy("part").agg(at("h").alias("h"), at("p").alias("p")).withColumnRenamed("part", "_part")
+    pieces = _looked_up(named.select("name", F.explode("parts").alias("part")), "part", "name", by_part, "_part", "left")
+    scores = written(pieces.groupBy("name").agg(F.sum(F.coalesce("h", F.lit(0.0))).alias("h"), F.sum(F.coalesce("p", F.lit(0.0))).alias("p")), "scores")
+    top = words.where(F.length("w") <= FREQUENT_LETTERS).orderBy(F.desc("times"), "w").limit(FREQUENT).join(scores, F.col("w") == F.col("name")).select("name", "h", "p")
+    frequent = {r["name"]: (r["h"], r["p"]) for r in top.collect()}
+    drop_written(words, named, ruled, counts)
+    return UrlModel(prior, scores, frequent)
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], model: UrlModel, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id_col, host, path, rule, verdict) of every row: one pass without a shuffle.
+    """(id_col, host, path, rule, verdict) of every row.
 
-    A url that is null or has no :// has an empty host and path, fits no rule and is judged by the prior alone; rules tie only if
-    they are equal; null ids and repeated rows are judged like any other; other columns are not read. Without rules of both
-    verdicts the method allows (blocks) everything.
+    Rules and urls with frequent names only are decided in one pass; urls with other names look these up by a join, once for each
+    different host and path. A url that is null or has no :// has an empty host and path, fits no rule and is judged by the prior
+    alone; urls of any length are read whole; rules tie only if they are equal; null ids and repeated rows are judged like any
+    other; other columns are not read. Without rules of both verdicts the method allows (blocks) everything.
     """
     spark = pages.sparkSession
-    sent = spark.sparkContext.broadcast((model, {r.name: r.verdict for r in rules}))
-    rows = _ruled(pages, rules, id_col, url_col)
+    sent = spark.sparkContext.broadcast((model.prior, model.frequent, {r.name: r.verdict for r in rules}))
+    rows = _ruled(pages, rules, id_col, url_col).withColumn("h", F.when(F.col("rule").isNull(), names_in("host"))).withColumn("p", F.when(F.col("rule").isNull(), names_in("path")))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, by_rule = sent.value
-        for b in slices(batches, 5000):
-            v = [m.verdict(h, p) if r is None else by_rule[r] for h, p, r in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v, pa.string())], names=[*b.schema.names, "verdict"])
+        prior, known, by_rule = sent.value
 
-    return rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+        def of(rule: str | None, h: list[str], p: list[str]) -> str | None:
+            if rule is not None:
+                return by_rule[rule]
+            x, y = [known.get(w) for w in h], [known.get(w) for w in p]
+            return None if None in x or None in y else BLOCK if round(prior + sum(s[0] for s in x) + sum(s[1] for s in y), 9) > 0 else ALLOW
+
+        for b in slices(batches, 5000):
+            v = [of(*x) for x in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(v, pa.string())], names=[*b.schema.names[:4], "verdict"])
+
+    judged = written(rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string"), "judged")
+    left = judged.where("verdict is null").select("host", "path").distinct()
+    one = lambda place: F.transform(names_in("host" if place == "h" else "path"), lambda w: F.struct(w.alias("w"), F.lit(place).alias("place")))
+    looked = _looked_up(left.select("host", "path", F.concat("host", "path").alias("url"), F.explode(F.concat(one("h"), one("p"))).alias("x")).select("host", "path", "url", "x.w", "x.place"), "w", "url", model.scores, "name", "left")
+    total = F.lit(float(model.prior)) + F.sum(F.coalesce(F.when(F.col("place") == "h", F.col("h")).otherwise(F.col("p")), F.lit(0.0)))
+    late = looked.groupBy("host", "path").agg(F.when(F.round(total, 9) > 0, BLOCK).otherwise(ALLOW).alias("late"))
+    out = judged.where("verdict is not null").unionByName(judged.where("verdict is null").drop("verdict").join(late, ["host", "path"]).withColumnRenamed("late", "verdict").select("id", "host", "path", "rule", "verdict"))
+    return out.withColumnRenamed("id", id_col)

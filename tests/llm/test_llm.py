@@ -1,5 +1,6 @@
 """Each operator against brute force or the library it has to agree with, and on nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
 
+import math
 import os
 import random
 import zlib
@@ -363,10 +364,90 @@ def test_urls(spark):
     assert urls.judge_urls(empty, URL_RULES, urls.fit_urls(empty, URL_RULES)).count() == 0
 
 
+def splits(name):
+    """All ways to split a name."""
+    for bits in range(1 << max(0, len(name) - 1)):
+        out, a = [], 0
+        for k in range(1, len(name)):
+            if bits >> (k - 1) & 1:
+                out.append(name[a:k])
+                a = k
+        yield [*out, name[a:]]
+
+
 def test_segmentation():
-    m = urls.UrlModel({w: np.log(p) for w, p in {"casino": 0.1, "win": 0.1, "free": 0.1, "bets": 0.1, "be": 0.05}.items()}, 1000.0)
-    assert m.segments("casinowin") == ["casino", "win"] and m.segments("freebets") == ["free", "bets"]
-    assert "".join(m.segments("qqxyz")) == "qqxyz" and m.segments("") == []
+    known = {w: math.log(n / 60) for w, n in {"casino": 6, "win": 6, "free": 6, "bets": 6, "be": 3, "a": 2, "ab": 9, "in": 4}.items()}
+
+    def cost(parts):
+        return sum(known.get(w, -math.log(60) - math.log(10) * len(w)) for w in parts)
+
+    def mine(name):
+        found = [(i, n, known[name[i : i + n]]) for n in {len(w) for w in known} for i in range(len(name) - n + 1) if name[i : i + n] in known]
+        return urls.segments(name, found, 60.0)
+
+    r = random.Random(4)
+    for name in ["casinowin", "freebets", "qqxyz", "winqqwin", "z", *("".join(r.choice(["casino", "win", "a", "b", "be", "in", "q"]) for _ in range(4))[:14] for _ in range(40))]:
+        got = mine(name)
+        assert "".join(got) == name and cost(got) == pytest.approx(max(map(cost, splits(name))))
+    assert mine("casinowin") == ["casino", "win"] and mine("") == []
+    assert len(mine("qcasino" * 20_000)) == 40_000
+
+
+def urls_brute(rows, rules):
+    """page id -> (host, path, rule, verdict), in plain Python, splitting names by dynamic programming over every known word."""
+    import re
+
+    parsed = {}
+    for i, u in rows:
+        host = path = ""
+        if u is not None and "://" in u:
+            rest = u.partition("://")[2]
+            host = re.match(r"[^/?#]*", rest, re.S).group().translate({c: c + 32 for c in range(65, 91)})
+            path = re.match(r"[^?#]*", rest[len(host) :], re.S).group()
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        parsed[i] = host, path, max(fits, key=lambda r: len(r.name), default=None)
+    letters = lambda t: re.findall("[a-z]+", t.lower())
+    hosts = {}
+    for host, path, _ in parsed.values():
+        for w in letters(host) + letters(path):
+            hosts.setdefault(w, set()).add(host)
+    total = sum(map(len, hosts.values()))
+    known = {w: math.log(len(h) / total) for w, h in hosts.items() if len(h) > 1}
+
+    def split(name):
+        best = [(0.0, [])]
+        for i in range(1, len(name) + 1):
+            best.append(max(((best[j][0] + known.get(name[j:i], -math.log(total) - math.log(10) * (i - j)), best[j][1] + [name[j:i]]) for j in range(i)), key=lambda x: x[0]))
+        return best[-1][1]
+
+    tokens_of = lambda host, path: [("h", s) for w in letters(host) for s in split(w)] + [("p", s) for w in letters(path) for s in split(w)]
+    counts, n = {}, [0, 0]
+    for host, path, rule in parsed.values():
+        if rule:
+            k = int(rule.verdict == "block")
+            n[k] += 1
+            for t in tokens_of(host, path):
+                counts.setdefault(t, [0, 0])[k] += 1
+    sums = [sum(c[k] for c in counts.values()) + len(counts) for k in (0, 1)]
+    odds = {t: math.log((c[1] + 1) / sums[1]) - math.log((c[0] + 1) / sums[0]) for t, c in counts.items()}
+    judge = lambda host, path: "block" if math.log(n[1] / n[0]) + sum(odds.get(t, 0.0) for t in tokens_of(host, path)) > 1e-9 else "allow"
+    return {i: (host, path, rule.name if rule else None, rule.verdict if rule else judge(host, path)) for i, (host, path, rule) in parsed.items()}
+
+
+@pytest.mark.parametrize("frequent", [50_000, 5])
+def test_urls_against_plain_python(spark, monkeypatch, frequent):
+    """With five names at hand, nearly all urls take the join."""
+    monkeypatch.setattr(urls, "FREQUENT", frequent)
+    r = random.Random(9)
+    words = ["casino", "win", "garden", "calm", "news", "free", "bets", "en", "es", "shop", "averyveryverylongwordofthirtyfour"]
+    rows = [(i, f"http{r.choice(['', 's'])}://{''.join(r.choices(words, k=r.randint(1, 3)))}{r.choice(['', '-x'])}.{r.choice(['example.com', 'site.net', 'a.org', 'B.ORG', 'c.de'])}/{r.choice(['en', 'es', 'fr', 'de'])}/{''.join(r.choices(words, k=2))}/{i % 7}?q=1") for i in range(400)]
+    rows += [(1000 + i, u) for i, (u, _) in enumerate(URLS)] + [(2000, "http://x.org/" + "longpath" * 3), (2001, "http://" + "A" * 90 + ".org")]
+    frame = spark.createDataFrame([(i, u, "h", "r") for i, u in [*rows, rows[0], (None, "http://freebets.a.org/en/")]], "page_id long, url string, host string, rule string")
+    got = urls.judge_urls(frame, URL_RULES, urls.fit_urls(frame, URL_RULES)).collect()
+    assert len(got) == len(rows) + 2
+    want = urls_brute([*rows, (None, "http://freebets.a.org/en/")], URL_RULES)
+    assert {x["page_id"]: tuple(x)[1:] for x in got} == want
+    assert len({v[3] for v in want.values() if v[2] is None}) == 2
 
 
 @pytest.fixture(scope="module")
