@@ -16,6 +16,8 @@ from .common import kept_rows, slices
 BINS = (1024, 4096, 8192)
 #: Weight of each n-gram length in the blended kernel.
 BLEND = (0.2, 0.3, 0.5)
+#: Letters of a stretch. Presence saturates in long texts, so a text is taken as stretches of about this length, whose kernel values are averaged.
+STRETCH = 2000
 #: Texts whose kernel rows are multiplied with the landmarks' weights at once.
 BATCH = 64
 UNDETERMINED = "und"
@@ -46,11 +48,7 @@ def letters(text: str) -> np.ndarray:
     return x if len(x) > 1 else x[:0]
 
 
-def presence(text: str | None) -> np.ndarray | None:
-    """Which bins the whole text's n-grams fall into, each length's bins divided by the root of their number; None without a letter."""
-    x = letters(text) if text else np.empty(0, np.uint32)
-    if not len(x):
-        return None
+def _bins(x: np.ndarray) -> np.ndarray:
     out = np.zeros(sum(BINS), np.float32)
     base = 0
     for n, bins in enumerate(BINS, 1):
@@ -66,6 +64,22 @@ def presence(text: str | None) -> np.ndarray | None:
     return out
 
 
+def presence(text: str | None) -> np.ndarray | None:
+    """Which bins the n-grams fall into, each length's bins divided by the root of their number; None without a letter.
+
+    A text of several stretches gets their mean, so that its kernel with a landmark is the mean over all its stretches.
+    """
+    x = letters(text) if text else np.empty(0, np.uint32)
+    if not len(x):
+        return None
+    parts = max(1, round(len(x) / STRETCH))
+    edges = np.linspace(0, len(x), parts + 1).astype(int).tolist()
+    out = _bins(x[: edges[1] + 2])
+    for a, z in zip(edges[1:-1], edges[2:]):
+        out += _bins(x[a : z + 2])
+    return out / np.float32(parts) if parts > 1 else out
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -142,8 +156,8 @@ def fit_language(docs: DataFrame, per_language: int = 400, landmarks: int = 160,
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score) of every row, from its whole text alone, in one pass without a shuffle.
 
-    `und` with score 0 for texts that are null or have no letter; equal texts get equal answers; null ids stay null; other columns
-    are neither read nor returned. The model (a few MB, whatever the data) goes out with the tasks.
+    `und` with score 0 for texts that are null or have no letter; equal texts, repeated rows too, get equal answers; very long texts
+    are read whole, in stretches whose kernel values are averaged; null ids stay null; other columns are neither read nor returned. The model (a few MB, whatever the data) goes out with the tasks.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)

@@ -92,7 +92,15 @@ class ToxicityModel:
                 spared.append((begin, end))
             elif begin not in at or w > at[begin][0]:
                 at[begin] = (w, folded[begin + 1 : end + 1])
-        return [(p, *x) for p, x in sorted(at.items()) if not any(a <= p < z for a, z in spared)]
+        out, k, until = [], 0, -1
+        spared.sort()
+        for p, x in sorted(at.items()):
+            while k < len(spared) and spared[k][0] <= p:
+                until = max(until, spared[k][1])
+                k += 1
+            if p >= until:
+                out.append((p, *x))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
@@ -233,8 +241,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, predicted) of every row, from its whole text alone, in one pass without a shuffle.
 
-    A null or empty text scores as one without hits; equal texts get equal scores; null ids stay null; other columns are neither
-    read nor returned.
+    A null or empty text scores as one without hits; equal texts, repeated rows too, get equal scores; very long texts are read
+    whole, in time linear in their length; null ids stay null; other columns are neither read nor returned.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
