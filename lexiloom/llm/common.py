@@ -81,6 +81,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_sizes(rows: DataFrame) -> DataFrame:
+    """rows (node, id, component, ...) of nodes that members of two components are in, with size, their members.
+
+    Rows are dealt by node and a salt of the id, and only one count a salt meets by node: a very common token's or key's node, with a
+    third of all rows, is spread over as many tasks as there are shuffle partitions.
+    """
+    salts = shuffle_partitions(rows.sparkSession)
+    dealt = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(salts))).repartition("node", "s")
+    parts = dealt.groupBy("node", "s").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    sizes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("s").alias("s")).where("lo != hi")
+    return dealt.join(sizes.select("node", "size", F.explode("s").alias("s")), ["node", "s"]).drop("s")
+
+
 def _with_least(x: DataFrame, salts: int) -> DataFrame:
     """x (u, v) with m, the least v of each u, without bringing all of a hub's rows together: they meet by u and a salt of v."""
     x = x.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts))).repartition("u", "s")

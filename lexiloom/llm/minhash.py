@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_written, shuffle_partitions, slices, written
+from .common import connected_components, drop_written, shuffle_partitions, slices, with_sizes, written
 from .substrings import _mixed, _rolled
 
 #: Minwise tokens of a document: the coordinates among which paths choose, and the sketch that nodes compare.
@@ -218,19 +218,6 @@ def _coordinate(tree: np.ndarray, level: int) -> np.ndarray:
     return PATHS[tree, level if level <= DOUBLE_LEVELS else level - DOUBLE_LEVELS]
 
 
-def with_sizes(rows: DataFrame) -> DataFrame:
-    """rows (node, id, component, ...) of nodes that members of two components are in, with size, their members.
-
-    Rows are dealt by node and a salt of the id, and only one count a salt meets by node: a very common token's node, with a third
-    of all documents, is spread over as many tasks as there are shuffle partitions.
-    """
-    salts = shuffle_partitions(rows.sparkSession)
-    dealt = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(salts))).repartition("node", "s")
-    parts = dealt.groupBy("node", "s").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    sizes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("s").alias("s")).where("lo != hi")
-    return dealt.join(sizes.select("node", "size", F.explode("s").alias("s")), ["node", "s"]).drop("s")
-
-
 def small_nodes(sets: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """(node, id) of all nodes small enough to compare, and (id, component) of members of larger ones that links join, if any do.
 

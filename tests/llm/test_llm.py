@@ -545,25 +545,69 @@ def pgm(x):
     return b"P5\n%d %d\n255\n" % x.shape[::-1] + x.tobytes()
 
 
-def png(x):
+def png(x, ways=(0, 1, 2, 3, 4)):
+    """A PNG whose rows take turns with the filters."""
     import struct
 
-    x = (np.clip(x, 0, 1) * 255).round().astype(np.uint8)
-    raw = b"".join(b"\x02" + ((row.astype(int) - x[i - 1]) % 256).astype(np.uint8).tobytes() if i % 2 else b"\x00" + row.tobytes() for i, row in enumerate(x))
+    x = (np.clip(x, 0, 1) * 255).round().astype(int)
+    raw = b""
+    for i, row in enumerate(x):
+        up = x[i - 1] if i else np.zeros_like(row)
+        left, corner = np.append(0, row[:-1]), np.append(0, up[:-1])
+        e = left + up - corner
+        near = [min((a, b, c), key=lambda v: abs(p - v)) for a, b, c, p in zip(left.tolist(), up.tolist(), corner.tolist(), e.tolist())]
+        way = ways[i % len(ways)]
+        raw += bytes([way]) + ((row - [0 * row, left, up, (left + up) // 2, np.array(near)][way]) % 256).astype(np.uint8).tobytes()
     part = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", x.shape[1], x.shape[0], 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
+def test_png_filters():
+    x = textured(5, (33, 47))
+    want, _ = media.grey(pgm(x))
+    for ways in [(0,), (1,), (2,), (3,), (4,), (0, 1, 2, 3, 4)]:
+        assert (media.grey(png(x, ways))[0] == want).all()
+
+
 def test_images(spark):
     a, b = textured(1), textured(2)
-    rows = [(0, pgm(a)), (1, pgm(a[10:110, 15:130])), (2, png(np.clip(a * 0.7 + 0.2, 0, 1))), (3, pgm(np.rot90(a))), (4, pgm(b)), (5, pgm(b)), (6, pgm(textured(3))), (7, None), (8, b"junk"), (9, b""), (10, pgm(np.full((60, 60), 0.5))), (None, pgm(a)), (11, b"\x89PNG\r\n\x1a\nbroken")]
-    frame = spark.createDataFrame([(i, x, 1) for i, x in rows], "image_id long, image binary, n_links int")
-    got = media.link_images(frame).toPandas().dropna(subset="image_id").set_index("image_id")
-    assert list(got.component_id.loc[range(12)].astype(int)) == [0, 0, 0, 0, 4, 4, 6, 7, 8, 9, 10, 11]
+    rows = [(0, pgm(a)), (1, pgm(a[10:110, 15:130])), (2, png(np.clip(a * 0.7 + 0.2, 0, 1))), (3, pgm(np.rot90(a))), (4, pgm(b)), (5, pgm(b)), (6, pgm(textured(3))), (7, None), (8, b"junk"), (9, b""), (10, pgm(np.full((60, 60), 0.5))), (None, pgm(a)), (11, b"\x89PNG\r\n\x1a\nbroken"), (12, b"\xff\xd8\xff\xe0 JFIF"), (13, pgm(textured(8, (31, 500))))]
+    frame = spark.createDataFrame([(i, x, 1) for i, x in [*rows, rows[6]]], "image_id long, image binary, component_id int")
+    got = media.link_images(frame).toPandas().dropna(subset="image_id").drop_duplicates("image_id").set_index("image_id")
+    assert list(got.component_id.loc[range(14)].astype(int)) == [0, 0, 0, 0, 4, 4, 6, 7, 8, 9, 10, 11, 12, 13]
     assert list(got.kept.loc[[0, 1, 4, 5, 6, 8]]) == [True, False, True, False, True, True]
+    assert got.problem[12] == "JPEG is not read" and got.problem[7] == "no image" and pd.isna(got.problem[10]) and got.problem[8] and got.problem[11]
     assert media.link_images(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
+def test_images_against_all_pairs(spark, monkeypatch):
+    """Groups of cropped, scaled, turned and noisy copies: components as from comparing all pairs; halves and quarters are found again."""
+    monkeypatch.setattr(media, "SMALL", 4)
+    r = np.random.default_rng(3)
+    images, base = [], []
+    for g in range(12):
+        x = textured(100 + g, (128, 160))
+        half, quarter = x[10:100, 20:132], x[:64, 40:120]
+        for copy in (x, half, quarter, np.clip(x + 0.02 * r.normal(size=x.shape), 0, 1), np.clip(x**1.2, 0, 1), media._resized(x, 110, 137), x[:, ::-1]):
+            images.append(copy)
+            base.append(g)
+    rows = [(i, pgm(x)) for i, x in enumerate(images)]
+    got = media.link_images(spark.createDataFrame(rows, "image_id long, image binary")).toPandas().set_index("image_id").component_id
+    points = media.described([media.grey(raw)[0] for _, raw in rows])
+    component = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if media.agreeing(points[j], points[i]) >= media.LEAST_AGREEING:
+                a, b = component[i], component[j]
+                component = [min(a, b) if c in (a, b) else c for c in component]
+    want = np.array(component)
+    mine = got.loc[range(len(rows))].to_numpy()
+    assert all(base[i] == base[c] for i, c in enumerate(mine))  # none wrong
+    assert (mine == want).mean() > 0.95
+    first = 7 * np.arange(12)
+    assert (mine[first + 1] == first).mean() > 0.9 and (mine[first + 3] == first).all() and (mine[first + 2] == first).mean() > 0.9
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
