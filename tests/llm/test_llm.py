@@ -608,19 +608,66 @@ def test_images_against_all_pairs(spark, monkeypatch):
     assert (mine[first + 1] == first).mean() > 0.9 and (mine[first + 3] == first).all() and (mine[first + 2] == first).mean() > 0.9
 
 
-def test_pipeline_stages(spark, tmp_path):
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Each stage's output on sf0.001, in order."""
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
-    frame = spark.read.parquet(f"{sf}/documents.parquet")
-    ids = {r[0] for r in frame.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, frame, sf)
+    folder, sf = tmp_path_factory.mktemp("stages"), "/root/testdata/sf0.001"
+    frames = [("documents", spark.read.parquet(f"{sf}/documents.parquet"))]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, frames[-1][1], sf).write.parquet(f"{folder}/{name}")
+        frames.append((name, spark.read.parquet(f"{folder}/{name}")))
+    return frames
+
+
+def test_pipeline_stages(stages):
+    """Each stage against brute force on what the one before kept."""
+    frame, ids = stages[0][1], None
+    for name, out in stages[1:-1]:
         assert out.columns == frame.columns and [f.dataType for f in out.schema] == [f.dataType for f in frame.schema], name
-        out.write.parquet(f"{tmp_path}/{name}")
-        frame = spark.read.parquet(f"{tmp_path}/{name}")
-        got = {r[0] for r in frame.select("doc_id").collect()}
-        assert got <= ids and len(got) > 0.7 * len(ids), name
+        got = {r[0] for r in out.select("doc_id").collect()}
+        assert ids is None or (got <= ids and len(got) > 0.7 * len(ids)), name
         ids = got
-    packed = corpus_pipeline.STAGES[-1][1](spark, frame, sf).toPandas()
-    assert set(packed.doc_id) == ids
+    kept = {name: sorted((r["doc_id"], r["text"]) for r in out.collect()) for name, out in stages[:-1]}
+    assert [i for i, _ in kept["near_duplicates"]] == [i for i, *_, k in near_brute(kept["language"]) if k]
+    assert [(i, " ".join(t.split())) for i, t in kept["substrings"]] == [(i, t) for i, _, _, t in cut_brute(kept["near_duplicates"], 50)]
+    assert {r[0] for r in stages[-1][1].select("doc_id").collect()} == ids
+
+
+def test_pipeline_runs(spark, stages):
+    import corpus_pipeline
+
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    rows = lambda f: sorted(map(tuple, f.select(*cols).collect()))
+    assert rows(corpus_pipeline.run(spark, "/root/testdata/sf0.001")) == rows(stages[-1][1])
+
+
+LONG = {"spaces": " " * 1_200_000 + "a", "letters": "ab" * 600_000, "digits": "12" * 600_000, "words": "one two three " * 100_000}
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stage_on_odd_rows(spark, k):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, no rows: nothing breaks, columns stay, clean rows stay."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    sf = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("text").first()[0]
+    rows = [(1, plain), (1, plain), (2, None), (3, ""), (None, plain + " end"), (None, None), *((10 + i, t) for i, t in enumerate(LONG.values()))]
+    extra = lambda f: f.withColumn("n_words", F.lit(1)).withColumn("_key", F.lit("k")).withColumn("rest", F.lit(2)).withColumn("class", F.lit(None).cast("string")).withColumn("component", F.lit(5))
+    frame = extra(docs(spark, rows))
+    out = stage(spark, frame, sf)
+    if k < 4:
+        assert out.columns == frame.columns and [f.dataType for f in out.schema] == [f.dataType for f in frame.schema]
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in out.select("doc_id").distinct().collect())
+    assert 1 in got
+    if name in ("substrings", "packing"):
+        assert got == [-1, 1, 2, 3, 10, 11, 12, 13]
+    if name == "near_duplicates":
+        assert got == [-1, 1, 2, 3, 10, 11, 12, 13] and out.where("doc_id = 1").count() == 1
+    if name == "language":
+        assert 2 not in got and 3 not in got and 12 not in got
+    if name == "toxicity":
+        assert {2, 3, 10, 12} <= set(got)
+    assert stage(spark, frame.limit(0), sf).count() == 0
