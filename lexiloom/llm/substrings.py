@@ -340,7 +340,10 @@ def remove_repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
                     stay = np.cumsum(gone)[:-1] == 0
                 n.append(len(words))
                 removed.append(len(words) - int(stay.sum()))
-                kept.append(b" ".join(w for w, s in zip(words, stay.tolist()) if s) if respace else _without(text, stay) if removed[-1] else text)
+                if respace:
+                    kept.append(b" ".join(words if not removed[-1] else [words[i] for i in np.flatnonzero(stay).tolist()]))
+                else:
+                    kept.append(_without(text, stay) if removed[-1] else text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), b.column(4)], names=["doc_id", "n_words", "n_removed", "kept", "rest"])
 
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string").add("rest", joined.schema["rest"].dataType)
