@@ -19,14 +19,17 @@ DROPPED_BESIDES_MAIN = frozenset("header footer".split())
 DROPPED_IN_AUDIT = frozenset("script style noscript nav header footer".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li ol p pre section table td th tr ul".split())
-#: Words after whose full stop a French sentence goes on.
-FRENCH_SHORT = frozenset("M MM Mme Mmes Mlle Mgr Dr Pr St Ste cf p pp vol t n no fig chap art éd ed coll ms mss fol f ibid op cit sq sqq ss suiv av apr env etc trad vers".split())
+# French short forms after whose full stop a sentence goes on.
+FRENCH_SHORT = frozenset("""p pp cf fol fols ch chap n nn no nos t vol vols éd éds ed edd dir op cit ca s.v sv ibid id art doc docs ms mss fasc col coll
+loc trad suppl sq sqq ss st ste mgr av apr env corp soppr dipl proc reg cod fig pl tav tab cap lib can sec saec not vv cfr
+réf rééd mm mme mlle dr prof s.d s.l a.c j.-c ann app""".split())
 #: A language's most frequent words.
 STOPWORDS = {
     "en": frozenset("the of and to in is that was for it with as on are this be by from at or not".split()),
     "fr": frozenset("le la les de des du et un une est que qui dans pour sur par pas au aux elle en".split()),
     "de": frozenset("der die das und ist von den mit zu im ein eine nicht auf für sich auch dem des als".split()),
-    "es": frozenset("el la los las de del y que en un una es por con para se lo no su al como".split()),
+    "it": frozenset("il lo la gli le di del della che e un una in per con non si al alla dei nel sono come più anche".split()),
+    "la": frozenset("et in est ad cum non ut quod qui quae ex sed ab per esse sunt de hoc enim autem atque nec ac".split()),
 }
 
 
@@ -101,21 +104,32 @@ def html_text(column: str | Column, main_only: bool) -> Column:
     return run(column)
 
 
-def sentence_ends(text: str) -> list[int]:
-    """Where French sentences end: .!?… and closing marks before white space and an opening letter; not after short forms, initials, ordinals or inside « »."""
+#: What may follow a French sentence's end: white space, then a capital, maybe in quotes or brackets.
+_FRENCH_END = re.compile(r"(?P<stop>[.!?…]+)[»”\"’)\]]*(?=\s+[«“\"(\[]?\s?[A-ZÀ-ÖØ-Þ])|(?P<open>«)|(?P<close>»)")
+_ROMAN = re.compile(r"[IVXLCDM]+(?:er|re|e)?")
+#: French and Italian words that are spelled like Roman numerals, a fixed value.
+_NOT_ROMAN = frozenset("Le De Ce Me Mi Di Ci Li Vi Mille".split())
+
+
+def _goes_on(word: str) -> bool:
+    """Whether a full stop after the word belongs to it: a short form, an initial, letters with stops or a hyphen, an ordinal."""
+    bare = word.lower().rstrip(".")
+    initials = re.fullmatch(r"[^\W\d_]|(?:\w\.)+\w|\w\.?-\w", bare)
+    return bool(initials) or bare in FRENCH_SHORT or bool(_ROMAN.fullmatch(word)) and word not in _NOT_ROMAN
+
+
+def sentence_ends(text: str, inside_quotes: bool = False) -> list[int]:
+    """Where French sentences end, closing marks included; not after short forms, and not inside « » unless asked."""
     out, depth = [], 0
-    for m in re.finditer(r"[«»]|[.!?…]+[)\]\"”]*(?=\s)", text):
-        if m.group() == "«":
-            depth += 1
-        elif m.group() == "»":
-            depth = max(0, depth - 1)
-        elif not depth:
-            before = re.search(r"([^\s(«]+)$", text[: m.start()])
-            word = before.group(1) if before else ""
-            short = m.group() == "." and (word in FRENCH_SHORT or len(word) == 1 and word.isupper() or re.fullmatch(r"[IVXLCDM]+|\d+", word))
-            after = text[m.end() :].lstrip()[:1]
-            if not short and (not after or not after.islower()):
+    for m in _FRENCH_END.finditer(text):
+        if m["stop"]:
+            # closing marks that the end takes along count before it is judged
+            deep = depth - m.group().count("»")
+            if (inside_quotes or deep <= 0) and not (m["stop"][0] == "." and _goes_on(re.search(r"\S*$", text[max(0, m.start() - 80) : m.start()]).group().lstrip("([«“\""))):
                 out.append(m.end())
+            depth = deep
+        else:
+            depth += 1 if m["open"] else -1
     return out
 
 
@@ -163,16 +177,21 @@ def hashed_embedding(column: str | Column, dimensions: int) -> Column:
     return run(column)
 
 
-@F.pandas_udf(T.StringType())
-def paragraph_location(label: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
-    """`label, ¶a–b` in 70 characters: the label loses words at its end, the range never."""
+def shortened_label(label: str, place: str, most: int = 70) -> str:
+    """`label, place` within so many characters: the label loses words at its end, but never its first, and the place nothing."""
+    joint = ", " if place.startswith("¶") else ""
+    fits = lambda x: len(x) + (len(joint) if x else 0) + len(place) <= most
+    words = label.split(" ")
+    shorter = (" ".join(words[:k]).rstrip(" ,;:") + "…" for k in range(len(words) - 1, 0, -1))
+    out = label if fits(label) or len(words) == 1 else next((x for x in shorter if fits(x)), words[0].rstrip(" ,;:") + "…")
+    return out + (joint if out else "") + place
+
+
+def paragraphs_place(a: int, b: int) -> str:
+    return (f"¶{a}" if a == b else f"¶{a}–{b}") if a else ""
 
-    def one(lab: str | None, a: int, b: int) -> str:
-        place = f", ¶{a}" + (f"–{b}" if b != a else "") if a else ""
-        words, out = (lab or "").split(), lab or ""
-        while len(out) + len(place) > 70 and words:
-            words.pop()
-            out = " ".join(words) + "…"
-        return out + place
 
-    return pd.Series([one(x, int(a), int(b)) for x, a, b in zip(label, first, last)])
+@F.pandas_udf(T.StringType())
+def paragraph_location(label: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+    """`label, ¶a–b` in 70 characters."""
+    return pd.Series([shortened_label(x or "", paragraphs_place(int(a), int(b))) for x, a, b in zip(label, first, last)])

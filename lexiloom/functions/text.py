@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Letters that are a Latin letter with marks, and that letter; the table follows from Unicode's decompositions.
+_MARKED = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if (d := unicodedata.normalize("NFD", c))[0].isascii() and len(d) > 1}
+
+
+def folded(c: str | Column) -> Column:
+    """Lower case, Latin letters without their marks, whether written as one character or two: stays inside the JVM."""
+    low = F.regexp_replace(F.lower(c), r"[\u0300-\u036f]+", "")
+    return F.translate(low, "".join(_MARKED), "".join(_MARKED.values()))
+
+
+def fold_text(text: str) -> str:
+    """folded() of one text."""
+    return re.sub(r"[\u0300-\u036f]+", "", text.lower()).translate(str.maketrans(_MARKED))
+
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
@@ -26,6 +43,11 @@ def clean_text_inline(c: Column) -> Column:
     return squeeze(F.regexp_replace(c, "\u00ac", ""))
 
 
+def joined_lines(lines: Column) -> Column:
+    """Lines of a column as one text: a word that a hyphen or not-sign breaks at a line's end goes on if the next line begins with a small letter."""
+    return squeeze(F.regexp_replace(F.array_join(lines, "\n"), r"(\p{L})[-\x{AC}]\n(\p{Ll})", "$1$2"))
+
+
 def nonws_len(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"\s", "")).cast("long")
 
@@ -88,14 +110,32 @@ def pdf_date_iso(raw: Column) -> Column:
     return F.when(raw.rlike(r"^D?:?[0-9]{14}"), time).when(raw.rlike(r"^D?:?[0-9]{8}"), day).otherwise(raw)
 
 
-def page_of(location: Column, printed: Column, page: Column) -> Column:
-    """What a citation says of the place: a text's own location, the printed page, else the file's page."""
-    return F.when(location != "", location).when(printed != "", F.concat(F.lit("p. "), printed)).when(page > 0, F.concat(F.lit("PDF p. "), page.cast("string"))).otherwise("")
+def page_of(source_type: Column, location: Column, printed: Column, page: Column) -> Column:
+    """What a citation says of the place: a text file's location or printed page; else the printed page or the file's page.
+
+    Snapshots, bibliographic records and chunks without a page say nothing; a printed page may bring its own `p.`.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    p = lambda c: F.when(c != "", F.concat(F.lit("p. "), c))
+    of_file = F.when(text(location) != "", location).otherwise(F.coalesce(p(text(printed)), F.lit("")))
+    own = F.regexp_replace(text(printed), r"^p+\.\s*", "")
+    paged = F.coalesce(p(own), F.concat(F.lit("PDF p. "), page.cast("string")))
+    nowhere = source_type.isin("snapshot", "metadata") | (F.coalesce(page, F.lit(0)) == 0)
+    return F.when(source_type == "text_file", of_file).when(nowhere, "").otherwise(paged)
+
+
+def voice(source_type: Column, text: Column) -> Column:
+    """Whose words a chunk holds, by its kind and, for the reader's marks, by how its text begins."""
+    fixed = F.create_map(*[F.lit(x) for x in (
+        "pdf_text", "author", "snapshot", "author", "text_file", "edition", "metadata", "record", "child_note", "my note",
+    )])
+    quoted = F.when(text.contains("My comment:"), "my highlight with comment").otherwise("my highlight")
+    return F.coalesce(fixed[source_type], F.when(text.startswith("Highlighted:"), quoted).otherwise("my comment"))
 
 
 def strip_header(c: Column) -> Column:
-    """Without a first line in brackets, if there is more."""
-    return F.regexp_replace(c, r"^\[[^\]\n]*\]\n+(?=[\s\S])", "")
+    """Without a first line that opens with [ and ends in ], if there is more; only its own line break goes."""
+    return F.regexp_replace(c, r"^\[[^\n]*\]\n(?=[\s\S])", "")
 
 
 def split_tags(c: Column) -> Column:
@@ -118,10 +158,10 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def md_plain(c: Column) -> Column:
-    """Without note calls, emphasis marks and escapes."""
-    c = F.regexp_replace(c, r"\[\^[0-9]+-[0-9]+\]", "")
-    c = F.regexp_replace(c, r"\*\*?([^*]+)\*\*?", "$1")
-    return squeeze(F.regexp_replace(c, r"\\([*_\[\]#])", "$1"))
+    """Without note calls and asterisks that nothing escapes; escaped asterisks, underscores and backslashes as themselves."""
+    c = F.regexp_replace(c, r"\[\^[\p{L}\p{N}_-]+\]", "")
+    c = F.regexp_replace(c, r"(?<!\\)\*", "")
+    return squeeze(F.regexp_replace(c, r"\\([\\*_])", "$1"))
 
 
 def ellipsis(c: Column, most: int) -> Column:
@@ -135,7 +175,7 @@ def first_words(c: Column, n: int) -> Column:
 
 def rubric_location(year: Column, rubric: Column, most: int = 70) -> Column:
     """`a. YEAR, Rubric`: sentence case, without a closing full stop, cut with an ellipsis."""
-    r = F.regexp_replace(F.trim(rubric), r"\.$", "")
+    r = F.trim(F.regexp_replace(F.trim(rubric), r"\.+$", ""))
     r = F.when(F.coalesce(r, F.lit("")) != "", F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 10_000))))
     return ellipsis(F.concat_ws(", ", F.when(year > 0, F.concat(F.lit("a. "), year.cast("string"))), r), most)
 

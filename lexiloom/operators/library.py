@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_list
+from ..functions.python_text import fold_accents
 
 
 def metadata_filter(chunks: DataFrame, types: Sequence[str] = (), languages: Sequence[str] = (), items: Sequence[str] = (), tags: Sequence[str] = (), year_from: int = 0, year_to: int = 0, known_types: Sequence[str] = ()) -> DataFrame:
@@ -31,14 +34,14 @@ def metadata_filter(chunks: DataFrame, types: Sequence[str] = (), languages: Seq
 
 
 def matches_all_words(hay: Column, query: str) -> Column:
-    """Every word of the query is a word of hay, or, from four letters on, part of it."""
-    words = [w for w in query.lower().split() if w]
-    have = word_list(hay)
-    out = F.lit(True)
-    for w in words:
-        one = F.array_contains(have, w)
-        out = out & ((one | F.lower(hay).contains(w)) if len(w) >= 4 else one)
-    return out
+    """Every word of the query is a word of hay, or, from four letters on, part of it; case and accents don't matter."""
+    plain = fold_accents(hay)
+    words = re.findall(r"\w+", "".join(c for c in unicodedata.normalize("NFKD", query) if not unicodedata.combining(c)).lower())
+    if not words:
+        raise ValueError("give an author, a title word, a year or a publication to look for")
+    have = F.split(plain, r"[^\p{L}\p{N}_]+")
+    each = [F.array_contains(have, w) | (plain.contains(w) if len(w) >= 4 else F.lit(False)) for w in words]
+    return reduce(lambda a, b: a & b, each)
 
 
 def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -60,12 +63,12 @@ def capped(rows: DataFrame, order: Sequence[Column], group: Sequence[str], text:
 
 def collection_paths(spark: SparkSession, nodes: DataFrame, root: str) -> DataFrame:
     """(key, path, depth) of a forest (key, name, parent) below root: names joined by ` / `, the root's own not among them."""
-    nodes.createOrReplaceTempView("_collections")
     return spark.sql(
         """WITH RECURSIVE tree(key, path, depth) AS (
-             SELECT key, concat('(', name, ' root)'), 0 FROM _collections WHERE key = :root
+             SELECT key, concat('(', name, ' root)'), 0 FROM {nodes} WHERE key = :root
              UNION ALL
-             SELECT c.key, CASE WHEN t.depth = 0 THEN c.name ELSE concat(t.path, ' / ', c.name) END, t.depth + 1 FROM _collections c JOIN tree t ON c.parent = t.key)
+             SELECT c.key, CASE WHEN t.depth = 0 THEN c.name ELSE concat(t.path, ' / ', c.name) END, t.depth + 1 FROM {nodes} c JOIN tree t ON c.parent = t.key)
            SELECT key, path, depth FROM tree""",
         args={"root": root},
+        nodes=nodes,
     )

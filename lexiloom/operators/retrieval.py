@@ -7,50 +7,24 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import fold_text
 from .chunking import overlap_len
+from .index import KeywordIndex
 
-K1, B = 1.2, 0.75
-#: A term in more than half of the rows counts this little, never nothing or less.
-LEAST_IDF = 1e-6
 #: Constant of reciprocal rank fusion; candidates of each retriever.
 RRF, CANDIDATES = 60, 50
-#: Most common words of five languages that a hybrid query leaves out, a fixed value.
-STOPWORDS = frozenset("a an and are as at by for from in is it of on or that the this to was with e il la le lo di del per un una et au aux de des du en les que qui der die das ein und mit von zu ad cum ex non sed ut".split())
-
-
-def postings(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, id, tf, positions): terms are runs of letters and numbers, in lower case."""
-    words = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    one = rows.select(F.col(id_col).alias("id"), F.posexplode(words).alias("position", "term"))
-    return one.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-
-
-def bm25(rows: DataFrame, terms: Sequence[str], k: int = CANDIDATES, candidates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of the k best rows for any of the terms.
-
-    Statistics are over all rows; candidates (id) only drops rows from the ranking. Each row is reduced to its length and the few
-    terms' counts before anything is aggregated, so no posting of another term is ever made or shuffled.
-    """
-    words = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    equals = lambda t: lambda w: w == F.lit(t)
-    each = rows.select(F.col(id_col).alias("id"), words.alias("w"))
-    counted = each.select("id", F.size("w").cast("double").alias("length"), *[F.size(F.filter("w", equals(t))).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))])
-    with_stats = counted.join(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))).otherwise(0.0)
-    found = with_stats.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").select("id", score.alias("score"))
-    if candidates is not None:
-        found = found.join(candidates, "id", "left_semi")
-    return found.orderBy(F.desc("score"), "id").limit(k)
+# Common words of English, Italian, Latin, French and German that a hybrid query leaves out.
+STOPWORDS = frozenset("""
+a an and are as at be by for from in into is it its of on or that the this to was were with what which who
+il lo la i gli le un una di da del della dei delle nel nella e ed che per con non si al alla sul
+et in est ad cum de qui quae quod non sed ut
+le la les un une des du de et en que qui dans pour sur au aux
+der die das und in den von zu mit sich des auf ist im dem nicht ein eine
+""".split())
 
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int = CANDIDATES, candidates: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -84,23 +58,30 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], number: st
 
 
 def query_terms(query: str, drop: bool = True) -> list[str]:
-    """A natural query's terms: without stop words and single characters, unless nothing else is there."""
-    words = re.findall(r"\w+", query.lower())
+    """A natural query's terms, folded: without stop words and single characters, unless nothing else is there."""
+    words = [fold_text(w) for w in re.findall(r"\w+", query)]
     kept = [w for w in words if len(w) > 1 and w not in STOPWORDS] if drop else words
-    return list(dict.fromkeys(kept or words))
+    return list(dict.fromkeys(t for w in kept or words for t in re.findall(r"[^\W_]+", w)))
 
 
-@F.pandas_udf(T.StringType())
-def stitched(text: pd.Series, following: pd.Series) -> pd.Series:
-    """Two chunks as one text, without what the second repeats (16 to 2000 characters); else a blank line between them."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def term_lists(query: pd.Series) -> pd.Series:
+    """query_terms() of a column of queries."""
+    return query.map(lambda q: query_terms(q or ""))
 
-    def one(a: str | None, b: str | None) -> str | None:
-        if a is None or b is None:
-            return a if b is None else b
-        n = overlap_len(a, b, within=2000, probe=16)
-        return a + b[n:] if n >= 16 else f"{a}\n\n{b}"
 
-    return pd.Series([one(a, b) for a, b in zip(text, following)])
+def joined_parts(parts: Sequence[str]) -> str:
+    """Chunks as one text: each goes on after what it repeats of the text before it (16 to 2000 characters), else after a blank line."""
+    out = ""
+    for k, part in enumerate(parts):
+        n = overlap_len(out, part, within=2000, probe=16) if k else 0
+        out += part[n:] if n >= 16 else f"\n\n{part}" if k else part
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def stitched_all(parts: pd.Series) -> pd.Series:
+    return parts.map(lambda p: None if p is None else joined_parts([x for x in p if x is not None]))
 
 
 # the keyword language
@@ -161,7 +142,7 @@ def parse(query: str) -> object:
 
     def words_of(t: tuple[str, str]) -> tuple[str, ...]:
         text = t[1][1:-1].replace('""', '"') if t[0] == "string" else t[1]
-        return tuple(re.findall(r"[^\W_]+", text.lower()))
+        return tuple(re.findall(r"[^\W_]+", fold_text(text)))
 
     def phrase() -> Phrase:
         first = peek() == ("sign", "^")
@@ -229,22 +210,24 @@ def parse(query: str) -> object:
     return tree
 
 
-def matches(spark: SparkSession, tree: object, index: DataFrame) -> DataFrame:
-    """(id) of the rows that a parsed query matches, from postings (term, id, tf, positions)."""
+def matches(tree: object, index: KeywordIndex) -> DataFrame:
+    """(id) of the rows that a parsed query matches; only the postings of its words are read."""
 
     def starts(p: Phrase) -> DataFrame:
         """(id, s): where the phrase begins."""
         if not p.words:
-            return index.select("id", F.lit(0).alias("s")).limit(0)
+            return index.postings.select("id", F.lit(0).alias("s")).limit(0)
         out = None
         for i, w in enumerate(p.words):
-            last = p.prefix and i == len(p.words) - 1
-            hit = index.where(F.col("term").startswith(w) if last else F.col("term") == w).select("id", F.explode("positions").alias("s")).select("id", (F.col("s") - i).alias("s"))
+            hit = index.starting(w) if p.prefix and i == len(p.words) - 1 else index.of([w])
+            hit = hit.select("id", F.explode("positions").alias("s")).select("id", (F.col("s") - i).alias("s"))
             out = hit if out is None else out.join(hit, ["id", "s"], "left_semi")
         return out.where("s = 0") if p.first else out
 
     def of(t: object) -> DataFrame:
         if isinstance(t, Phrase):
+            if len(t.words) == 1 and not t.prefix and not t.first:
+                return index.of(list(t.words)).select("id")  # a word has one posting a row
             return starts(t).select("id").distinct()
         if isinstance(t, Near):
             out = None
@@ -263,13 +246,28 @@ def matches(spark: SparkSession, tree: object, index: DataFrame) -> DataFrame:
     return of(tree)
 
 
-def keyword_search(spark: SparkSession, query: str, index: DataFrame) -> tuple[DataFrame, str]:
-    """(id) and a note: a query that can't be read is taken as all of its words."""
+def as_words(query: str) -> object:
+    """A query that can't be read, as all of its words."""
+    words = query_terms(query, drop=False)
+    tree: object = Phrase((words[0],)) if words else Phrase(())
+    for w in words[1:]:
+        tree = Op("AND", tree, Phrase((w,)))
+    return tree
+
+
+def words_in(tree: object) -> list[str]:
+    """The words that a parsed query scores by: those of a NOT's right side don't count."""
+    if isinstance(tree, Phrase):
+        return list(tree.words)
+    if isinstance(tree, Near):
+        return [w for p in tree.phrases for w in p.words]
+    return words_in(tree.left) + ([] if tree.kind == "NOT" else words_in(tree.right))
+
+
+def keyword_search(query: str, index: KeywordIndex) -> tuple[DataFrame, list[str], str]:
+    """(id) of the matches, the words to score them by, and a note if the query had to be taken as all of its words."""
     try:
-        return matches(spark, parse(query), index), ""
+        tree, note = parse(query), ""
     except QuerySyntaxError as e:
-        words = query_terms(query, drop=False)
-        tree: object = Phrase((words[0],)) if words else Phrase(())
-        for w in words[1:]:
-            tree = Op("AND", tree, Phrase((w,)))
-        return matches(spark, tree, index), f"read as its words: {e}"
+        tree, note = as_words(query), f"syntax error ({e}); searched as plain terms instead: {' '.join(query_terms(query, drop=False))}"
+    return matches(tree, index), words_in(tree), note

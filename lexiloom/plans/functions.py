@@ -83,12 +83,13 @@ def pdf_date_iso(spark, sf):
     return e.select("event_id", T.pdf_date_iso(raw).alias("iso"))
 
 
-@query(f"select chunk_id, case when source_type = 'text_file' then concat('fol. ', cast(pdf_page as varchar)) when doc_id % 2 = 0 and pdf_page > 0 then concat('p. ', cast(pdf_page + 10 as varchar)) when pdf_page > 0 then concat('PDF p. ', cast(pdf_page as varchar)) else '' end AS place from ({CHUNKS})")
+@query(f"select chunk_id, case when source_type = 'text_file' then case when doc_id % 3 = 0 then concat('fol. ', cast(pdf_page as varchar)) when doc_id % 2 = 0 and pdf_page > 0 then concat('p. ', case when doc_id % 4 = 0 then 'p. ' else '' end, cast(pdf_page + 10 as varchar)) else '' end when source_type in ('snapshot', 'metadata') or pdf_page = 0 then '' when doc_id % 2 = 0 then concat('p. ', cast(pdf_page + 10 as varchar)) else concat('PDF p. ', cast(pdf_page as varchar)) end AS place from ({CHUNKS})")
 def page_of(spark, sf):
+    """Every kind of source; printed pages of some bring their own `p.`."""
     c = chunks(spark, sf)
-    location = F.when(F.col("source_type") == "text_file", F.concat(F.lit("fol. "), "pdf_page")).otherwise("")
-    printed = F.when((F.col("doc_id") % 2 == 0) & (F.col("pdf_page") > 0), (F.col("pdf_page") + 10).cast("string")).otherwise("")
-    return c.select("chunk_id", T.page_of(location, printed, F.col("pdf_page")).alias("place"))
+    location = F.when((F.col("source_type") == "text_file") & (F.col("doc_id") % 3 == 0), F.concat(F.lit("fol. "), "pdf_page")).otherwise("")
+    printed = F.when((F.col("doc_id") % 2 == 0) & (F.col("pdf_page") > 0), F.concat(F.when(F.col("doc_id") % 4 == 0, "p. ").otherwise(""), (F.col("pdf_page") + 10).cast("string"))).otherwise("")
+    return c.select("chunk_id", T.page_of(F.col("source_type"), location, printed, F.col("pdf_page")).alias("place"))
 
 
 @query(f"select ann_key, array_to_string(list_sort(list_filter(list_transform(string_split(tags, ';'), lambda t: lower(trim(t))), lambda t: t <> '')), '|') AS tag_list from ({ANNOTATIONS})")
@@ -96,9 +97,11 @@ def split_tags(spark, sf):
     return annotations(spark, sf).select("ann_key", F.array_join(F.array_sort(T.split_tags(F.col("tags"))), "|").alias("tag_list"))
 
 
-@query("select doc_id, text AS body from documents")
+@query("select doc_id, case doc_id % 3 when 0 then concat(chr(10), text) when 1 then text else concat('[no header', chr(10), text) end AS body from documents")
 def strip_header(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.strip_header(F.concat(F.lit("[Author 1900 · Title]\n\n"), "text")).alias("body"))
+    """Headers, one with a bracket inside; a line that only opens one; a blank line after a header stays."""
+    head = F.element_at(F.array(F.lit("[Author 1900 · Title]\n\n"), F.lit("[Author [ed.] 1900]\n"), F.lit("[no header\n")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", T.strip_header(F.concat(head, "text")).alias("body"))
 
 
 @query(f"select ann_key, concat_ws(chr(10), case when body <> '' then concat('Highlighted: ', body) end, case when remark <> '' then concat('My comment: ', remark) end, case when tags <> '' then concat('Tags: ', tags) end) AS chunk from ({ANNOTATIONS})")
@@ -122,9 +125,10 @@ def fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.fingerprint(F.col("doc_id"), F.col("lang"), F.col("n_chars")).alias("fp"))
 
 
-@query(r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat('**', lang, '** \[x\] [^12-3] ', text), '\[\^[0-9]+-[0-9]+\]', '', 'g'), '\*\*?([^*]+)\*\*?', '\1', 'g'), '\\([*_\[\]#])', '\1', 'g'), '\s+', ' ', 'g')) AS plain from documents where doc_id % 5 = 0 or doc_id % 5 <> 0")
+@query(r"select doc_id, concat(lang, ' *x* snake_case ', trim(regexp_replace(replace(text, '*', ''), '\s+', ' ', 'g'))) AS plain from documents")
 def md_plain(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.md_plain(F.concat(F.lit("**"), "lang", F.lit("** \\[x\\] [^12-3] "), "text")).alias("plain"))
+    """Emphasis, escapes, note calls and underscores inside words."""
+    return table(spark, sf, "documents").select("doc_id", T.md_plain(F.concat(F.lit("**"), "lang", F.lit("** \\*x\\* *snake_case* [^12-3] [^a_b]"), F.lit(" "), "text")).alias("plain"))
 
 
 @query("select n_nationkey, r_name || ', ' || n_name AS names, concat(substr(n_name, 1, 1), '.') AS initial from nation join region on n_regionkey = r_regionkey")

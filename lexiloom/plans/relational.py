@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import library as L
+from ..operators.index import word_counts
 from .register import ANNOTATIONS, ATTACHMENTS, CHUNKS, ITEMS, MINE, SOURCE_TYPES, annotations, attachments, chunks, items, query, table
 
 _MINE = ", ".join(f"'{m}'" for m in MINE)
@@ -56,10 +57,11 @@ def search_result_projection(spark, sf):
     return chunks(spark, sf).select("chunk_id", "source_type", "item_key", F.when(F.col("source_type") == "pdf_text", F.col("pdf_page")).otherwise(0).alias("page"), F.nullif("yr", F.lit("")).alias("year"))
 
 
-@query(f"select chunk_id, case when source_type = 'metadata' then 'record' when source_type = 'highlight' then 'author, highlighted' when source_type in ({_MINE}) then 'reader' else 'author' end AS voice from ({CHUNKS})")
+@query(f"select chunk_id, case when source_type in ('pdf_text', 'snapshot') then 'author' when source_type = 'text_file' then 'edition' when source_type = 'metadata' then 'record' when source_type = 'child_note' then 'my note' when doc_id % 3 = 0 then 'my highlight' when doc_id % 3 = 1 then 'my highlight with comment' else 'my comment' end AS voice from ({CHUNKS})")
 def voice_class(spark, sf):
-    kind = F.col("source_type")
-    return chunks(spark, sf).select("chunk_id", F.when(kind == "metadata", "record").when(kind == "highlight", "author, highlighted").when(kind.isin(*MINE), "reader").otherwise("author").alias("voice"))
+    """By kind, and for marks by what their text begins with."""
+    mark = F.element_at(F.array(F.lit("Highlighted: a"), F.lit("Highlighted: a\nMy comment: b"), F.lit("My comment: b")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return chunks(spark, sf).select("chunk_id", T.voice(F.col("source_type"), mark).alias("voice"))
 
 
 @query(f"select item_id, coalesce(nullif(yr, ''), nullif(surname, ''), title) AS first_known, title, surname from ({ITEMS})")
@@ -138,10 +140,10 @@ def ocr_substitution(spark, sf):
     return a.join(copies, "att_id", "left").select("att_id", F.coalesce("copy", F.concat(F.lit("storage/"), "att_id")).alias("path"), F.col("copy").isNotNull().alias("ocr"))
 
 
-@query(f"select chunk_id, length(text) AS n from ({CHUNKS}) where doc_id % 50 = 3")
+@query(f"select chunk_id, length(text) AS n from ({CHUNKS}) where doc_id % 50 = 0")
 def texts_by_ids(spark, sf):
     c = chunks(spark, sf)
-    wanted = table(spark, sf, "documents").select("doc_id").where("doc_id % 50 = 3")
+    wanted = table(spark, sf, "documents").select("doc_id").where("doc_id % 50 = 0")
     return c.join(wanted, "doc_id", "left_semi").select("chunk_id", F.length("text").cast("long").alias("n"))
 
 
@@ -187,12 +189,14 @@ def audit_summary(spark, sf):
 
 @query(r"with w as (select source, doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{3,}')) word from documents), df as (select source, word, count(distinct doc_id) n from w group by all) select source, doc_id, round(avg(case when n - 1 >= 3 then 1.0 else 0.0 end), 6) AS score from w join df using (source, word) group by all")
 def page_vocab_score(spark, sf):
-    w = table(spark, sf, "documents").select("source", "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1)).alias("word"))
-    # a page's words are summed up before anything is shuffled twice
-    each = w.groupBy("source", "doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = each.groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+
+    # a page's words are counted within its row, so only distinct words of a page are ever shuffled, once
+    words = table(spark, sf, "documents").select(F.struct("source", "doc_id").alias("page"), F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1).alias("w"))
+    each = word_counts(words, "page", "w").select("page.source", "page.doc_id", "term", "tf")
+    spread = F.count(F.lit(1)).over(Window.partitionBy("source", "term"))
     shared = F.sum(F.when(F.col("n") - 1 >= 3, F.col("tf")).otherwise(0)) / F.sum("tf")
-    return each.join(df, ["source", "word"]).groupBy("source", "doc_id").agg(F.round(shared, 6).alias("score"))
+    return each.withColumn("n", spread).groupBy("source", "doc_id").agg(F.round(shared, 6).alias("score"))
 
 
 @query("with s as (select source, lang, sum(n_chars) n from documents group by all), t as (select *, round(100.0 * n / sum(n) over (partition by source)) pct, row_number() over (partition by source order by n desc, lang) k from s) select source, string_agg(concat(lang, ' ', cast(cast(pct as int) as varchar), '%'), ', ' order by k) AS shares from t where k <= 2 group by 1")
@@ -233,9 +237,9 @@ def ann_markdown(spark, sf):
     return a.groupBy("attachment_key").agg(lines.alias("lines")).select("attachment_key", F.concat(F.lit("## "), F.col("attachment_key"), F.lit("\n"), F.array_join("lines", "\n")).alias("markdown"))
 
 
-@query(f"select split_part(source_type, '_', 1) AS kind, item_key, count(*) AS n from ({CHUNKS}) where doc_id % 7 = 0 group by all")
+@query(f"select split_part(source_type, '_', 1) AS kind, item_key, count(*) AS n from ({CHUNKS}) group by all")
 def preview_counts(spark, sf):
-    return chunks(spark, sf).where("doc_id % 7 = 0").groupBy(F.split_part("source_type", F.lit("_"), F.lit(1)).alias("kind"), "item_key").agg(F.count(F.lit(1)).alias("n"))
+    return chunks(spark, sf).groupBy(F.split_part("source_type", F.lit("_"), F.lit(1)).alias("kind"), "item_key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"select item_key, string_agg(distinct source_type, '; ' order by source_type) AS types from ({CHUNKS}) group by 1")
@@ -305,14 +309,11 @@ def src_paged_items(spark, sf):
     return spark.read.format("paged_items").option("total", 389).load()
 
 
-@query(f"with k as (select ann_key, attachment_key, page, body, length(ann_key) n from ({ANNOTATIONS})), s as (select *, sum(n + 40) over (partition by attachment_key order by page, ann_key) run from k) select attachment_key, count(*) AS n_kept from s where run <= 2000 group by 1")
+@query("with k as (select source, doc_id, text, length(concat('{\"source\":\"', source, '\",\"doc_id\":', cast(doc_id as varchar), ',\"body\":\"', repeat('x', least(n_chars, 6000)), '\"}')) size from documents), s as (select *, sum(size) over (partition by source order by doc_id rows unbounded preceding) run, row_number() over (partition by source order by doc_id) no from k) select source, doc_id, case when size > 4000 then concat(repeat('x', greatest(500, least(length(text), 6000) - (size - 4000))), ' […]') else repeat('x', least(length(text), 6000)) end AS body from s where run <= 4000 or no = 1")
 def capped_results(spark, sf):
-    a = annotations(spark, sf).select("attachment_key", "page", "ann_key")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("attachment_key").orderBy("page", "ann_key")
-    run = F.sum(F.length("ann_key") + 40).over(w)
-    return a.withColumn("run", run).where("run <= 2000").groupBy("attachment_key").agg(F.count(F.lit(1)).alias("n_kept"))
+    """The rows of each source whose JSON stays within 4,000 characters together; a first row that is too long alone is cut."""
+    rows = table(spark, sf, "documents").select("source", "doc_id", F.repeat(F.lit("x"), F.least(F.col("n_chars"), F.lit(6000)).cast("int")).alias("body"))
+    return L.capped(rows, [F.col("doc_id")], ["source"], "body", 4000)
 
 
 @query(f"with m as (select att_id, item_id, 1 v from ({ATTACHMENTS}) where att_id % 4 = 0), n as (select att_id, item_id, 2 v from ({ATTACHMENTS}) where att_id % 6 = 0) select * from n union all select * from m where att_id not in (select att_id from n)")
@@ -323,7 +324,7 @@ def manifest_upsert(spark, sf):
     return upsert(a.where("att_id % 4 = 0").withColumn("v", F.lit(1)), a.where("att_id % 6 = 0").withColumn("v", F.lit(2)), ["att_id"])
 
 
-@query(f"select item_id, title, nullif(yr, '') AS year, n_att AS n_attachments, n_pdf, total_size from ({ITEMS}) join (select item_id, count(*) n_att, count(*) filter (where mime = 'application/pdf') n_pdf, round(sum(size), 2) total_size from ({ATTACHMENTS}) group by 1) using (item_id) where item_id % 100 = 1")
+@query(f"select item_id, title, nullif(yr, '') AS year, n_att AS n_attachments, n_pdf, total_size from ({ITEMS}) join (select item_id, count(*) n_att, count(*) filter (where mime = 'application/pdf') n_pdf, round(sum(size), 2) total_size from ({ATTACHMENTS}) group by 1) using (item_id)")
 def get_item(spark, sf):
     a = attachments(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_attachments"), F.count_if(F.col("mime") == "application/pdf").alias("n_pdf"), F.round(F.sum("size"), 2).alias("total_size"))
-    return items(spark, sf).where("item_id % 100 = 1").join(a, "item_id").select("item_id", "title", F.nullif("yr", F.lit("")).alias("year"), "n_attachments", "n_pdf", "total_size")
+    return items(spark, sf).join(a, "item_id").select("item_id", "title", F.nullif("yr", F.lit("")).alias("year"), "n_attachments", "n_pdf", "total_size")

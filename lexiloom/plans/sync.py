@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sync as S
+from ..operators.index import shared_root
 from .register import query, table
 
 _NOW = "select concat('text:', cast(doc_id as varchar)) source_id, concat(cast(n_chars as varchar), case when doc_id % 7 = 0 then 'x' else '' end) content_fp, concat(lang, case when doc_id % 5 = 0 then 'x' else '' end) meta_fp from documents where doc_id % 11 <> 0"
@@ -44,10 +45,31 @@ def sync_delete(spark, sf):
     return old.join(S.diff(now, old).where(F.col("class") == S.GONE), "source_id", "left_anti").select("source_id")
 
 
-@query(f"select source_id, false AS recorded from ({_NOW}) n where not exists (select 1 from ({_OLD}) o where o.source_id = n.source_id) and right(source_id, 1) = '3' union all select source_id, true from ({_NOW}) n where not exists (select 1 from ({_OLD}) o where o.source_id = n.source_id) and right(source_id, 1) <> '3'")
-def sync_retry(spark, sf):
-    """New sources; one that fails isn't recorded, so the next run sees it as new again."""
+def _synced(spark, sf, *versions, failing=lambda w: F.lit(False)):
+    """A fresh store after syncing the versions one after another; chunks of a source are its id's last digit plus one."""
+    store = S.Snapshots(spark, shared_root(spark, "sync"), buckets=4)
+
+    def build(work):
+        n = F.right("source_id", F.lit(1)).cast("int") % 2 + 1
+        rows = work.withColumn("seq", F.explode(F.sequence(F.lit(1), n)))
+        return rows.select("source_id", "seq", F.concat("source_id", F.lit(" "), "content_fp", F.lit(" of "), "meta_fp").alias("chunk"), F.col("meta_fp").alias("language"), F.when(failing(work), "unreadable").alias("error"))
+
+    counts = [S.sync(store, v, build) for v in versions]
+    return store, counts
+
+
+@query(f"select n.source_id, seq, case when o.content_fp = n.content_fp then concat(n.source_id, ' ', n.content_fp, ' of ', o.meta_fp) else concat(n.source_id, ' ', n.content_fp, ' of ', n.meta_fp) end AS chunk, n.meta_fp AS language from ({_NOW}) n left join ({_OLD}) o using (source_id), range(1, 3) r(seq) where seq <= cast(right(n.source_id, 1) as int) % 2 + 1")
+def sync_twice(spark, sf):
+    """The store after the old version and then the new one: changed texts are built again, changed metadata alone leaves texts as they were, gone sources go."""
     now, old = _versions(spark, sf)
-    new = now.join(S.diff(now, old).where(F.col("class") == S.NEW), "source_id", "left_semi")
-    error = F.when(F.right("source_id", F.lit(1)) == "3", "unreadable")
-    return new.select("source_id", error.isNull().alias("recorded"))
+    store, _ = _synced(spark, sf, old, now)
+    return store.read("chunks").select("source_id", F.col("seq").cast("long").alias("seq"), "chunk", "language")
+
+
+@query(f"select source_id, false AS recorded from ({_NOW}) n where right(source_id, 1) = '3' union all select source_id, true from ({_NOW}) n where right(source_id, 1) <> '3'")
+def sync_retry(spark, sf):
+    """Sources that can't be read aren't recorded, so the next run sees them as new again."""
+    now, _ = _versions(spark, sf)
+    store, _ = _synced(spark, sf, now, failing=lambda w: F.right("source_id", F.lit(1)) == "3")
+    again = S.diff(now, store.read("known"))
+    return again.select("source_id", (F.col("class") == S.SAME).alias("recorded"))

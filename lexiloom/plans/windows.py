@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import ordered as O
 from .register import CHUNKS, chunks, query, table
 
@@ -83,9 +84,9 @@ def line_pitch_class(spark, sf):
     return o.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("line"), F.round(med, 4).alias("pitch"), F.coalesce(med > 20000, F.lit(False)).alias("wide"))
 
 
-@query("with p as (select o_custkey g, cast(o_orderkey % 1000 as double) x, o_totalprice y from orders where o_custkey % 4 = 0), s as (select a.g, quantile_cont((b.x - a.x) / (b.y - a.y), 0.5) slope from p a join p b on a.g = b.g and b.y - a.y > 200 group by 1) select g, round(any_value(slope), 9) AS slope, round(quantile_cont(x - slope * y, 0.25), 4) AS intercept from p join s using (g) group by 1")
+@query("with p as (select o_custkey g, cast(o_orderkey % 1000 as double) x, o_totalprice y from orders), s as (select a.g, quantile_cont((b.x - a.x) / (b.y - a.y), 0.5) slope from p a join p b on a.g = b.g and b.y - a.y > 200 group by 1) select g, round(any_value(slope), 9) AS slope, round(quantile_cont(x - slope * y, 0.25), 4) AS intercept from p join s using (g) group by 1")
 def theil_sen_edge(spark, sf):
-    p = table(spark, sf, "orders").where("o_custkey % 4 = 0").select(F.col("o_custkey").alias("g"), (F.col("o_orderkey") % 1000).cast("double").alias("x"), F.col("o_totalprice").alias("y"))
+    p = table(spark, sf, "orders").select(F.col("o_custkey").alias("g"), (F.col("o_orderkey") % 1000).cast("double").alias("x"), F.col("o_totalprice").alias("y"))
     return O.theil_sen(p, ["g"], "x", "y", 200).select("g", F.round("slope", 9).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
@@ -127,16 +128,17 @@ def sidecar_pages(spark, sf):
     return d.select("doc_id", pages.alias("pages"), F.size(F.flatten(ranges)).alias("skipped"), (pages - F.size(F.flatten(ranges))).alias("recognised"))
 
 
-@query("select conv_id, string_agg(text, '' order by turn) AS joined from (select conv_id, turn, concat(substr(text, 1, 12), '|') text from conversations) group by 1")
+@query(r"select conv_id, trim(regexp_replace(regexp_replace(string_agg(concat(text, case when turn % 2 = 0 then '-' else '' end), chr(10) order by turn, text), '(\p{L})[-¬]\n(\p{Ll})', '\1\2', 'g'), '\s+', ' ', 'g')) AS joined from conversations group by 1")
 def join_lines(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 12), F.lit("|")).alias("t"))
+    """A column's lines as one text: turns stand for lines, every second one ends in a hyphen."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.when(F.col("turn") % 2 == 0, "-").otherwise("")).alias("t"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"])
-    return c.groupBy("conv_id").agg(F.aggregate(lines, F.lit(""), lambda acc, x: F.concat(acc, x)).alias("joined"))
+    return c.groupBy("conv_id").agg(T.joined_lines(lines).alias("joined"))
 
 
-@query(f"select a.chunk_id, b.chunk_id AS neighbour, b.doc_id - a.doc_id AS distance from ({CHUNKS}) a join ({CHUNKS}) b on a.item_key = b.item_key and a.lang = b.lang and b.doc_id between a.doc_id - 40 and a.doc_id + 40 where a.doc_id % 100 = 0")
+@query(f"select a.chunk_id, b.chunk_id AS neighbour, b.doc_id - a.doc_id AS distance from ({CHUNKS}) a join ({CHUNKS}) b on a.item_key = b.item_key and a.lang = b.lang and b.doc_id between a.doc_id - 40 and a.doc_id + 40 where a.doc_id % 50 = 0")
 def context_neighbors(spark, sf):
     from ..operators.retrieval import band_join
 
     c = chunks(spark, sf).select("item_key", "lang", "doc_id", "chunk_id")
-    return band_join(c.where("doc_id % 100 = 0"), c, ["item_key", "lang"], "doc_id", 40, 40, {"chunk_id": "neighbour"}).select("chunk_id", "neighbour", F.col("distance"))
+    return band_join(c.where("doc_id % 50 = 0"), c, ["item_key", "lang"], "doc_id", 40, 40, {"chunk_id": "neighbour"}).select("chunk_id", "neighbour", F.col("distance"))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import sync as S
@@ -16,30 +17,88 @@ def test_classes(spark):
     assert {r[0]: r[1] for r in S.diff(now, old, force=F.lit(True)).collect()}["d"] == S.CHANGED
 
 
-def test_sync_retries_and_replaces(spark, tmp_path):
-    store, known = S.Snapshots(spark, str(tmp_path / "chunks")), S.Snapshots(spark, str(tmp_path / "known"))
+def build(failing=()):
+    return lambda work: work.select("source_id", F.lit(0).alias("seq"), F.concat("content_fp", F.lit("-text")).alias("chunk"), F.col("meta_fp").alias("meta"), F.when(F.col("source_id").isin(*failing), "broken").alias("error"))
+
+
+def stored(store):
+    return {(r["source_id"], r["chunk"], r["meta"]) for r in store.read("chunks").collect()}
 
-    def build(failing):
-        return lambda work: work.select("source_id", F.concat("content_fp", F.lit("-text")).alias("chunk"), F.when(F.col("source_id").isin(*failing), "broken").alias("error"))
 
+def test_sync_retries_and_replaces(spark, tmp_path):
+    store = S.Snapshots(spark, str(tmp_path / "store"), buckets=4)
     one = spark.createDataFrame([("a", "1", "1"), ("b", "1", "1")], SCHEMA)
-    assert S.sync(store, known, one, build(["b"])) == {S.NEW: 2}
-    assert [r[0] for r in store.read().select("source_id").collect()] == ["a"]
+    assert S.sync(store, one, build(["b"])) == {S.NEW: 2}
+    assert stored(store) == {("a", "1-text", "1")}
     two = spark.createDataFrame([("a", "2", "1"), ("b", "1", "1")], SCHEMA)
-    assert S.sync(store, known, two, build(["-"])) == {S.CHANGED: 1, S.NEW: 1}
-    assert {tuple(r) for r in store.read().collect()} == {("a", "2-text"), ("b", "1-text")}
-    assert S.sync(store, known, two.where("source_id = 'a'"), build(["-"])) == {S.SAME: 1, S.GONE: 1}
-    assert store.read().count() == 1
+    assert S.sync(store, two, build()) == {S.CHANGED: 1, S.NEW: 1}
+    assert stored(store) == {("a", "2-text", "1"), ("b", "1-text", "1")}
+    assert S.sync(store, two.where("source_id = 'a'"), build()) == {S.SAME: 1, S.GONE: 1}
+    assert stored(store) == {("a", "2-text", "1")}
+
+
+def test_sync_applies_metadata(spark, tmp_path):
+    """A source whose metadata alone changed gets its new metadata and keeps its stored text; then it is up to date."""
+    store = S.Snapshots(spark, str(tmp_path / "store"), buckets=4)
+    S.sync(store, spark.createDataFrame([("a", "1", "m1"), ("b", "1", "m1")], SCHEMA), build())
+    changed = spark.createDataFrame([("a", "1", "m2"), ("b", "1", "m1")], SCHEMA)
+    other_text = lambda work: build()(work).withColumn("chunk", F.lit("not to be stored"))
+    assert S.sync(store, changed, other_text) == {S.META: 1, S.SAME: 1}
+    assert stored(store) == {("a", "1-text", "m2"), ("b", "1-text", "m1")}
+    assert S.sync(store, changed, build()) == {S.SAME: 2}
+
+
+def test_a_writer_that_dies_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    store = S.Snapshots(spark, str(tmp_path / "store"), buckets=4)
+    one = spark.createDataFrame([("a", "1", "1"), ("b", "1", "1")], SCHEMA)
+    S.sync(store, one, build())
+
+    class Dies:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, *_):
+            raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_fs", Dies(store._fs))
+        with pytest.raises(RuntimeError):
+            S.sync(store, spark.createDataFrame([("a", "2", "1")], SCHEMA), build())
+    assert stored(store) == {("a", "1-text", "1"), ("b", "1-text", "1")} and store.version()[0] == 1
+    late = S.Snapshots(spark, str(tmp_path / "store"), buckets=4)
+    monkeypatch.setattr(late, "version", lambda: (0, {}))  # read before the other writer's version
+    with pytest.raises(OSError):
+        S.sync(late, one, build())
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    store = S.Snapshots(spark, str(tmp_path / "store"), buckets=16)
+    rows = [(f"s{i}", "1", "1") for i in range(60)]
+    S.sync(store, spark.createDataFrame(rows, SCHEMA), build())
+    before = store.version()[1]["chunks"]["folders"]
+    S.sync(store, spark.createDataFrame([("s0", "2", "1"), *rows[1:]], SCHEMA), build())
+    after = store.version()[1]["chunks"]["folders"]
+    assert sum(before[b] != after[b] for b in before) == 1 and len(stored(store)) == 60
+    store.clean(1)
+    assert len(stored(store)) == 60 and store.version()[0] == 2
+
+
+def test_new_chunker_version_changes_fingerprints(spark):
+    one = spark.range(1).select(*[S.content_fingerprint(F.lit("text"), version=v).alias(f"v{v}") for v in (1, 2)]).first()
+    assert one[0] != one[1] and len(one[0]) == 16
 
 
 def test_stream_follows_files(spark, tmp_path):
-    store = S.Snapshots(spark, str(tmp_path / "chunks"))
-    source = str(tmp_path / "in")
+    store = S.Snapshots(spark, str(tmp_path / "chunks"), buckets=4)
+    source, schema = str(tmp_path / "in"), "source_id string, chunk string, ts int"
     for k in range(2):
-        spark.createDataFrame([("a", f"v{k}"), (f"b{k}", "x")], "source_id string, chunk string").write.mode("append").parquet(source)
-        stream = spark.readStream.schema("source_id string, chunk string").parquet(source)
+        spark.createDataFrame([("a", "stale", 0), ("a", f"v{k}", 1), (f"b{k}", "x", 0)], schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
         follow(stream, store, lambda rows: rows, str(tmp_path / "check")).awaitTermination()
-    assert {tuple(r) for r in store.read().collect()} == {("a", "v1"), ("b0", "x"), ("b1", "x")}
+    assert {tuple(r)[:2] for r in store.read("chunks").collect()} == {("a", "v1"), ("b0", "x"), ("b1", "x")}
 
 
 def test_windows_of_changes(spark, tmp_path):

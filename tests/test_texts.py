@@ -1,3 +1,4 @@
+import json
 import random
 import sqlite3
 
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from lexiloom.operators import chunking as C
 from lexiloom.operators import formats as X
 from lexiloom.operators import retrieval as R
+from lexiloom.operators.index import KeywordIndex
+from lexiloom.operators.serve import Library, capped
 from lexiloom.sources import tei
 
 
@@ -105,41 +108,164 @@ def test_tei():
         tei.drama(play.replace('n="3"', 'n="5"'))
 
 
-ROWS = ["one two three four", "Écerinis of the town", "a one b c d two", "n’est pas", "straße und strasse", "two one", "prefixed words", "one two one two three", ""]
+ROWS = ["Café crème", "CAFE\u0301 NOIR à Łódź", "Ἀθῆναι ταχύς", "naïveté coöperate ﬁne", "one two three four", "Écerinis of the town", "a one b c d two", "n’est pas", "straße und strasse", "two one", "prefixed words", "one two one two three", ""]
 
 
-@pytest.mark.parametrize("q", ["one two", '"one two"', "one NOT three", "one OR prefixed", "one NOT two three", "pre*", "NEAR(one two, 1)", "NEAR(one two, 4)", "^two", "one + two", "(one OR town) AND two", '""', "two AND one"])
-def test_keyword_language_against_fts5(spark, q):
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    return KeywordIndex.build(spark.createDataFrame(list(enumerate(ROWS)), "doc_id int, text string"), str(tmp_path_factory.mktemp("index") / "one"), buckets=4)
+
+
+@pytest.mark.parametrize("q", ["one two", '"one two"', "one NOT three", "one OR prefixed", "one NOT two three", "pre*", "NEAR(one two, 1)", "NEAR(one two, 4)", "^two", "one + two", "(one OR town) AND two", '""', "two AND one", "cafe", "CAFÉ", '"cafe creme"', "lodz", "łodz", "naivete", "coop*", "caf* NOT creme", "fine", "ﬁne"])
+def test_keyword_language_against_fts5(index, q):
     con = sqlite3.connect(":memory:")
     con.execute("create virtual table t using fts5(text, tokenize='unicode61 remove_diacritics 2')")
     con.executemany("insert into t(rowid, text) values (?, ?)", list(enumerate(ROWS)))
     want = sorted(r[0] for r in con.execute("select rowid from t where t match ?", [q]))
-    index = R.postings(spark.createDataFrame(list(enumerate(ROWS)), "doc_id int, text string"))
-    assert sorted(r[0] for r in R.matches(spark, R.parse(q), index).collect()) == want
+    assert sorted(r[0] for r in R.matches(R.parse(q), index).collect()) == want
 
 
 @pytest.mark.parametrize("q", ["Vat. Lat. 2962", "(one OR town) two", '"open', "(one", "one AND", "a-b", "NOT one", ""])
-def test_broken_queries_fall_back_to_words(spark, q):
+def test_broken_queries_fall_back_to_words(index, q):
     with pytest.raises(R.QuerySyntaxError):
         R.parse(q)
-    index = R.postings(spark.createDataFrame(list(enumerate(ROWS)), "doc_id int, text string"))
-    found, note = R.keyword_search(spark, q, index)
+    found, _, note = R.keyword_search(q, index)
     found.collect()
     assert note
 
 
-def test_bm25_against_fts5(spark):
-    docs = [words(30 + i, i) for i in range(12)] + ["alpha only", "rare"]
+def test_bm25_against_fts5(spark, tmp_path):
+    docs = [words(30 + i, i) for i in range(12)] + ["alpha only", "rare", "", None]
     con = sqlite3.connect(":memory:")
     con.execute("create virtual table t using fts5(text)")
     con.executemany("insert into t(rowid, text) values (?, ?)", list(enumerate(docs)))
     want = {r[0]: -r[1] for r in con.execute("select rowid, bm25(t) from t where t match 'alpha OR rare'")}
-    got = {r["id"]: r["score"] for r in R.bm25(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string"), ["alpha", "rare"]).collect()}
+    index = KeywordIndex.build(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string"), str(tmp_path / "index"), buckets=3)
+    got = {r["id"]: r["score"] for r in index.bm25(["alpha", "rare"]).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = index.of(["alpha"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters" in plan
+    assert KeywordIndex.open(spark, str(tmp_path / "index")).rows == len(docs)
+
+
+def test_terms_of_queries():
+    assert R.query_terms("Che cosa è nel Café?") == ["cosa", "cafe"]
+    assert R.query_terms("the of") == ["the", "of"] and R.query_terms("") == []
+
+
+@pytest.fixture(scope="module")
+def library(spark, tmp_path_factory):
+    page = "word{} of the page goes on here, "
+    rows = [(f"pdf:a1:c{k}", "i1", "a1", "pdf_text", 1 + k // 2, f"[Rossi 1990 · T]\n{page.format(k)}" + ("x" * 20 + f" end {k}" if k % 2 else ""), "", k) for k in range(8)]
+    rows += [("txt:c1", "i2", "a2", "text_file", 0, "first verses", "", 1), ("txt:c2", "i2", "a2", "text_file", 0, "second verses", "", 2), ("meta:i1", "i1", "", "metadata", 0, "Rossi record", "", 0)]
+    rows += [(f"ann:{k:03d}", "i1", "a1", "highlight", 3, f"Highlighted: passage {k}" + ("\nMy comment: mine" if k % 2 else ""), "Method; Città" if k % 3 == 0 else "", 0) for k in range(60)]
+    rows += [("note:n1:c1", "i1", "", "child_note", 0, "my note", "", 0)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, item_key string, attachment_key string, source_type string, pdf_page int, text string, annotation_tags string, chunk_seq int").withColumn("yr", F.when(F.col("item_key") == "i1", "1990").otherwise("")).withColumn("lang", F.lit("Italian"))
+    items = spark.createDataFrame([("i1", "Rossi, Niccolò", "La città: una storia di molte parole che non finisce mai più", "1990"), ("i2", "Bianchi, A.", "Versi", "1800")], "item_key string, authors string, title string, yr string")
+    index = KeywordIndex.build(chunks, str(tmp_path_factory.mktemp("index") / "chunks"), "chunk_id", buckets=2)
+    vectors = chunks.select("chunk_id", F.array(F.when(F.col("source_type") == "pdf_text", 1.0).otherwise(0.0), F.when(F.col("source_type") == "pdf_text", 0.0).otherwise(1.0)).alias("embedding"))
+    return Library(chunks, items, index, vectors, lambda q: [1.0, 0.0])
+
+
+def test_search_modes(library):
+    both = json.loads(library.search("word3", n=3))
+    assert both["hits"]["semantic"] == 50 and both["results"][0]["chunk_id"] == "pdf:a1:c3" and "keyword #1" in both["results"][0]["match"]
+    top = both["results"][0]
+    assert top["citation"] == "Rossi 1990, La città: una storia di molte parole che non finisce…, PDF p. 2" and top["voice"] == "author" and top["text"].startswith("word3")
+    plain = json.loads(library.search("word3", mode="keyword", item_keys="i1", languages="it", year_from=1980))
+    assert [r["chunk_id"] for r in plain["results"]] == ["pdf:a1:c3"] and plain["filters"]["languages"] == "it"
+    assert json.loads(library.search("verses", mode="keyword", year_from=1700))["note"].startswith("No matching chunks")
+    broken = json.loads(library.search("word3 (", mode="keyword"))
+    assert broken["results"] and "syntax error" in broken["note"]
+    assert [r["source_type"] for r in json.loads(library.search("x", mode="semantic", n=99, tags=["CITTÀ"]))["results"]] == ["highlight"] * 20
+    for bad in ({"mode": "both"}, {"source_types": ["book"]}):
+        with pytest.raises(ValueError):
+            library.search("x", **bad)
+
+
+def test_context(library):
+    pages = json.loads(library.get_context("pdf:a1:c3", before=1, after=99))["pages"]
+    assert [p["pdf_page"] for p in pages] == [1, 2, 3, 4] and [p["is_hit_page"] for p in pages] == [False, True, False, False]
+    assert pages[1]["text"].count("word2") == 1 and "word3" in pages[1]["text"]
+    near = json.loads(library.get_context("txt:c1"))["neighboring_chunks"]
+    assert [(r["chunk_id"], r["is_hit"]) for r in near] == [("txt:c1", True), ("txt:c2", False)]
+    assert [r["chunk_id"] for r in json.loads(library.get_context("meta:i1"))["chunks"]] == ["meta:i1"]
+    assert [r["chunk_id"] for r in json.loads(library.get_context("note:n1:c1"))["neighboring_chunks"]] == ["note:n1:c1"]
+    with pytest.raises(ValueError):
+        library.get_context("nothing")
+
+
+def test_item_record_and_lists(library):
+    item = json.loads(library.get_item("i1", offset=10))
+    assert item["my_annotations_and_notes_total"] == 61 and len(item["annotations_and_notes"]) == 51 and "next_offset" not in item
+    pdf = next(a for a in item["attachments"] if a["attachment_key"] == "a1")
+    assert pdf["pdf_pages_with_text"] == 4 and pdf["indexed_chunks"] == {"highlight": 60, "pdf_text": 8}
+    some = json.loads(library.list_annotations(tag="method", has_comment=True, limit=5, offset=2))
+    assert some["total_matching"] == 10 and len(some["annotations"]) == 5 and some["next_offset"] == 7
+    assert json.loads(library.list_annotations(has_comment=False))["total_matching"] == 30
+    assert [i["item_key"] for i in json.loads(library.find_items("niccolo citt"))["items"]] == ["i1"]
+    assert json.loads(library.find_items("nobody"))["note"]
+    with pytest.raises(ValueError):
+        library.find_items(" ?")
+
+
+def test_capped():
+    rows = [{"text": "t" * 400, "k": k} for k in range(200)]
+    text = capped({"results": rows}, "results", 25_000)
+    shown = json.loads(text)
+    assert len(text) <= 25_000 and 50 <= len(shown["results"]) < 62 and shown["truncated"].startswith(f"{200 - len(shown['results'])} more")
+    one = json.loads(capped({"results": [{"text": "t" * 40_000}]}, "results", 25_000))
+    assert len(one["results"]) == 1 and one["results"][0]["text"].endswith(" […]")
+    assert capped({"results": []}, "results") == json.dumps({"results": []}, indent=1)
+
+
+def brute_tail(units, count, overlap):
+    kept = []
+    while len(kept) < len(units) and sum(n for _, n in units[len(units) - len(kept) - 1 :]) <= overlap:
+        kept = units[len(units) - len(kept) - 1 :]
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_of_units(seed):
+    """Chunks against a plain fold over the units."""
+    r = random.Random(seed)
+    parts = [(" ".join(f"{k}-{j}" for j in range(n)), n) for k, n in enumerate(r.choice([1, 5, 20, 59, 60, 61, 150, 400, 450]) for _ in range(60))]
+    want, open_ = [], []
+    for u in parts:
+        if open_ and sum(n for _, n in open_) + u[1] > C.BUDGET:
+            want.append("\n\n".join(t for t, _ in open_))
+            open_ = brute_tail(open_, C.count_words, C.OVERLAP) or [(" ".join(open_[-1][0].split()[-60:]), 60)]
+            if sum(n for _, n in open_) + u[1] > C.BUDGET:
+                open_ = []
+        open_.append(u)
+    want.append("\n\n".join(t for t, _ in open_))
+    assert C.packed(parts) == want
+
+
+def test_overlap_by_trying_all():
+    r = random.Random(0)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 40))) for _ in range(2))
+        k = next(k for k in range(min(len(a), len(b)), -1, -1) if a.endswith(b[:k]))
+        assert C.overlap_len(a, b, probe=1) == k
+
+
+def test_french_sentences_and_captions():
+    from lexiloom.functions.python_text import sentence_ends, shortened_label
+
+    cut = lambda t, inside=False: [s.strip() for a, b in zip([0, *sentence_ends(t, inside)], [*sentence_ends(t, inside), len(t)]) if (s := t[a:b])]
+    assert cut("Voir cf. Bortolami et C. G. Mor. Puis t. II. Le roi dit: «Non. Jamais.» Il part.") == ["Voir cf. Bortolami et C. G. Mor.", "Puis t. II. Le roi dit: «Non. Jamais.»", "Il part."]
+    assert len(cut("Il dit «Non. Jamais. Rien» enfin", True)) == 3
+    assert X.figure_title("Image 3.jpg — La place — (à suivre) Note") == "La place"
+    assert X._plain(r"a \*b\* *c* snake_case_x [^7-2]") == "a *b* c snake_case_x"
+    long = shortened_label("Chapitre premier, où l'on voit beaucoup de choses diverses et variées encore", "¶3–5")
+    assert len(long) <= 70 and long.endswith("…, ¶3–5")
+    assert X.detect("\n".join(f"DE REBUS GESTIS {chr(65 + i) * 2} - text" for i in range(10))) == "chronicle"
 
 
 def test_formats_as_table(spark):
     docs = spark.createDataFrame([(1, "plain text here"), (2, None), (3, "[foglio I] " + words(900))], "doc_id int, text string")
     out = X.chunk_texts(docs).toPandas()
     assert set(out.format) == {"plain", "folio"} and out.error.isna().all()
-    assert docs.select(X.detected(F.col("text"))).collect()[2][0] == "folio"
+    assert docs.select(X.detected("text")).collect()[2][0] == "folio"
