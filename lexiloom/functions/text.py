@@ -88,9 +88,13 @@ def title_of(title: Column, note: Column) -> Column:
 
 
 def page_range(pages: Column) -> tuple[Column, Column]:
-    """First and last page of a field that is one range, its end maybe abbreviated (141-53); nulls unless the end isn't before the start."""
-    a, b = (F.regexp_extract(F.trim(pages), "^([0-9]+) ?[-\u2013\u2014] ?([0-9]+)$", k) for k in (1, 2))
-    full = F.when(F.length(b) < F.length(a), F.concat(F.substring(a, F.lit(1), F.length(a) - F.length(b)), b)).otherwise(b)
+    """First and last page of a field with exactly one range, its end maybe abbreviated (141-53); nulls unless the end isn't before the start."""
+    range_ = r"([0-9]+)\s*[-\u2013\u2014]\s*([0-9]+)"
+    field = F.coalesce(pages, F.lit(""))
+    one = F.regexp_count(field, F.lit(range_)) == 1
+    a, b = (F.when(one, F.regexp_extract(field, range_, k)) for k in (1, 2))
+    short = (F.length(b) < F.length(a)) & (b.try_cast("long") < a.try_cast("long"))
+    full = F.when(short, F.concat(F.substring(a, F.lit(1), F.length(a) - F.length(b)), b)).otherwise(b)
     first, last = a.try_cast("int"), full.try_cast("int")
     ok = last >= first
     return F.when(ok, first), F.when(ok, last)
@@ -142,9 +146,15 @@ def split_tags(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ";"), lambda t: F.lower(F.trim(t))), lambda t: t != "")
 
 
-def annotation_text(text: Column, comment: Column, tags: Column) -> Column:
-    """An annotation as a chunk's text: what is highlighted, the reader's comment, the tags, each on its own line if any."""
-    return F.concat_ws("\n", F.when(text != "", F.concat(F.lit("Highlighted: "), text)), F.when(comment != "", F.concat(F.lit("My comment: "), comment)), F.when(tags != "", F.concat(F.lit("Tags: "), tags)))
+def annotation_text(text: Column, comment: Column, tags: Column, where: Column | None = None) -> Column:
+    """An annotation as a chunk's text: what is highlighted, the reader's comment, the tags, each on its own line if any.
+
+    One with nothing but tags says so, and where it stands.
+    """
+    place = F.lit("") if where is None else F.when(where != "", F.concat(F.lit(" on "), where)).otherwise("")
+    alone = (text == "") & (comment == "") & (tags != "")
+    lines = F.concat_ws("\n", F.when(text != "", F.concat(F.lit("Highlighted: "), text)), F.when(comment != "", F.concat(F.lit("My comment: "), comment)), F.when(tags != "", F.concat(F.lit("Tags: "), tags)))
+    return F.when(alone, F.concat(F.lit("Tagged note"), place, F.lit(": "), tags)).otherwise(lines)
 
 
 def page_from_position(json: Column) -> Column:

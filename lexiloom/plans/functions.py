@@ -104,7 +104,7 @@ def strip_header(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.strip_header(F.concat(head, "text")).alias("body"))
 
 
-@query(f"select ann_key, concat_ws(chr(10), case when body <> '' then concat('Highlighted: ', body) end, case when remark <> '' then concat('My comment: ', remark) end, case when tags <> '' then concat('Tags: ', tags) end) AS chunk from ({ANNOTATIONS})")
+@query(f"select ann_key, case when body = '' and remark = '' and tags <> '' then concat('Tagged note: ', tags) else concat_ws(chr(10), case when body <> '' then concat('Highlighted: ', body) end, case when remark <> '' then concat('My comment: ', remark) end, case when tags <> '' then concat('Tags: ', tags) end) end AS chunk from ({ANNOTATIONS})")
 def annotation_text(spark, sf):
     return annotations(spark, sf).select("ann_key", T.annotation_text(F.col("body"), F.col("remark"), F.col("tags")).alias("chunk"))
 
@@ -242,10 +242,3 @@ def para_location(spark, sf):
     return d.select("doc_id", paragraph_location(F.substring_index("text", ".", 1), (F.col("doc_id") % 90).cast("int"), (F.col("doc_id") % 90 + F.col("doc_id") % 3).cast("int")).alias("location"))
 
 
-@query("select doc_id, case when n = 0 then '' when given <> '' then given when first is not null then cast(first + p - 1 - cover as varchar) else '' end AS printed from (select doc_id, doc_id % 40 n, doc_id % 40 p, case when doc_id % 3 = 0 then concat('r', cast(doc_id % 40 as varchar)) else '' end given, case when doc_id % 3 = 1 then 100 end first, cast(doc_id % 2 as int) cover from documents)")
-def printed_pages(spark, sf):
-    """The file's own labels unless they just count; else pages counted from the record's first page, a cover sheet aside; else none."""
-    k = F.col("doc_id")
-    given, first, cover = F.when(k % 3 == 0, F.concat(F.lit("r"), k % 40)).otherwise(F.lit("")), F.when(k % 3 == 1, 100), (k % 2)
-    counted = F.when(given != "", given).when(first.isNotNull(), (first + k % 40 - 1 - cover).cast("string")).otherwise("")
-    return table(spark, sf, "documents").select("doc_id", F.when(k % 40 == 0, "").otherwise(counted).alias("printed"))

@@ -32,12 +32,6 @@ def ann_has_content(spark, sf):
     return annotations(spark, sf).where((F.col("body") != "") | (F.col("remark") != "") | (F.col("tags") != "")).select("ann_key")
 
 
-@query(f"select att_id, case when att_id % 11 = 0 then 'ignored' when mime = 'text/plain' then 'text' when mime = 'application/pdf' then 'pdf' else 'html' end AS route from ({ATTACHMENTS})")
-def route_by_type(spark, sf):
-    a = attachments(spark, sf).withColumn("name", F.concat(F.col("att_id"), F.when(F.col("att_id") % 11 == 0, ".xml").otherwise("")))
-    return a.select("att_id", F.when(F.col("name").endswith(".xml"), "ignored").when(F.col("mime") == "text/plain", "text").when(F.col("mime") == "application/pdf", "pdf").otherwise("html").alias("route"))
-
-
 @query(f"select ann_key, page, count(*) over () AS total from ({ANNOTATIONS}) where kind in ('highlight', 'note') and remark <> '' and list_contains(list_transform(string_split(tags, ';'), lambda t: lower(trim(t))), 'tag1') order by attachment_key, page, ann_key limit 25 offset 10")
 def list_annotations(spark, sf):
     a = annotations(spark, sf).where(F.col("kind").isin("highlight", "note") & (F.col("remark") != "") & F.array_contains(T.split_tags(F.col("tags")), "tag1"))
@@ -69,19 +63,6 @@ def item_base_meta(spark, sf):
     return items(spark, sf).select("item_id", F.coalesce(F.nullif("yr", F.lit("")), F.nullif("surname", F.lit("")), "title").alias("first_known"), "title", "surname")
 
 
-@query("select doc_id, case when n_chars < 50 and doc_id % 2 = 0 then 'blank' when n_chars < 200 then 'plate' when n_chars < 800 then 'needs OCR' else 'text' end AS class from documents")
-def page_class(spark, sf):
-    n = F.col("n_chars")
-    return table(spark, sf, "documents").select("doc_id", F.when((n < 50) & (F.col("doc_id") % 2 == 0), "blank").when(n < 200, "plate").when(n < 800, "needs OCR").otherwise("text").alias("class"))
-
-
-@query("select source, count(*) AS pages, count(*) filter (where n_chars < 200) AS without_text, case when count(*) filter (where n_chars < 200) = 0 then 'text' when count(*) filter (where n_chars >= 200) = 0 then 'none (needs OCR)' else 'mixed' end AS layer from documents group by source")
-def text_layer_class(spark, sf):
-    none = F.count_if(F.col("n_chars") < 200)
-    d = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("pages"), none.alias("without_text"))
-    return d.withColumn("layer", F.when(F.col("without_text") == 0, "text").when(F.col("without_text") == F.col("pages"), "none (needs OCR)").otherwise("mixed"))
-
-
 @query("with s as (select source, lang, count(*) n from documents group by all), t as (select source, lang, n, n * 1.0 / sum(n) over (partition by source) share, row_number() over (partition by source order by n desc, lang) k from s) select source, string_agg(lang, '+' order by lang) AS languages, count(*) AS n_languages from t where share >= 0.02 or k = 1 group by source")
 def plan_rows(spark, sf):
     from pyspark.sql import Window
@@ -210,33 +191,11 @@ def language_shares(spark, sf):
     return t.groupBy("source").agg(F.array_join(named, ", ").alias("shares"))
 
 
-@query("select source, lang, round(sum(n_chars * (doc_id % 10) / 10.0) / sum(n_chars), 6) AS confidence, count(*) AS n from documents group by all")
-def language_confidence(spark, sf):
-    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.round(F.sum(F.col("n_chars") * (F.col("doc_id") % 10) / 10.0) / F.sum("n_chars"), 6).alias("confidence"), F.count(F.lit(1)).alias("n"))
-
-
-@query(r"select source, cast(sum(length(regexp_replace(text, '\s', '', 'g'))) as bigint) AS covered, cast(sum(n_chars) as bigint) AS expected from documents group by 1")
-def coverage_check(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.sum(T.nonws_len(F.col("text"))).alias("covered"), F.sum("n_chars").alias("expected"))
-
-
 @query(f"select kind, count(*) AS n, count(*) filter (where remark <> '') AS with_comment from ({ANNOTATIONS}) group by 1")
 def ann_type_counts(spark, sf):
     return annotations(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("remark") != "").alias("with_comment"))
 
 
-@query(f"select regexp_replace(concat('labels from page ', cast(pdf_page as varchar)), '[0-9]+', 'N', 'g') AS derivation, count(*) AS n from ({CHUNKS}) group by 1")
-def derivation_histogram(spark, sf):
-    return chunks(spark, sf).groupBy(F.regexp_replace(F.concat(F.lit("labels from page "), "pdf_page"), "[0-9]+", "N").alias("derivation")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"select attachment_key, concat('## ', attachment_key, chr(10), string_agg(concat('- p. ', cast(page as varchar), ': ', ann_key), chr(10) order by page, ann_key)) AS markdown from ({ANNOTATIONS}) where kind <> 'ink' group by 1")
-def ann_markdown(spark, sf):
-    a = annotations(spark, sf).where("kind <> 'ink'")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("page", "ann_key"))), lambda x: F.concat(F.lit("- p. "), x["page"].cast("string"), F.lit(": "), x["ann_key"]))
-    return a.groupBy("attachment_key").agg(lines.alias("lines")).select("attachment_key", F.concat(F.lit("## "), F.col("attachment_key"), F.lit("\n"), F.array_join("lines", "\n")).alias("markdown"))
-
-
 @query(f"select split_part(source_type, '_', 1) AS kind, item_key, count(*) AS n from ({CHUNKS}) group by all")
 def preview_counts(spark, sf):
     return chunks(spark, sf).groupBy(F.split_part("source_type", F.lit("_"), F.lit(1)).alias("kind"), "item_key").agg(F.count(F.lit(1)).alias("n"))

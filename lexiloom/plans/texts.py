@@ -80,9 +80,3 @@ def para_chapters(spark, sf):
     return X.chunk_texts(_formatted(spark, sf, X.PARAGRAPHS_FIRST_LINE + '\n%%CHAPTER id=7 part=I label="Chapter" kind=body\n# Title\n## Section\n', "[¶%n] "))
 
 
-@query()
-def source_chunks(spark, sf):
-    """All kinds of sources as one table of chunks."""
-    docs = C.chunk_documents(table(spark, sf, "documents")).select(F.concat(F.lit("text:"), "doc_id").alias("source_id"), "seq", "chunk")
-    notes = table(spark, sf, "conversations").select(F.concat(F.lit("note:"), "conv_id", F.lit("-"), "turn").alias("source_id"), F.lit(0).alias("seq"), F.col("text").alias("chunk"))
-    return docs.unionByName(notes)

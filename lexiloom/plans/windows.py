@@ -99,13 +99,6 @@ def ann_words_under_quads(spark, sf):
     return O.overlap_assign(words, quads, ["page"], "word", "quad")
 
 
-@query("select l_orderkey AS block, l_suppkey % 3 AS line, min(l_quantity) AS left_edge, string_agg(cast(l_partkey as varchar), ' ' order by l_quantity, l_linenumber, l_partkey) AS words from lineitem group by all")
-def tsv_lines(spark, sf):
-    x = table(spark, sf, "lineitem")
-    words = F.transform(F.array_sort(F.collect_list(F.struct("l_quantity", "l_linenumber", "l_partkey"))), lambda w: w["l_partkey"].cast("string"))
-    return x.groupBy(F.col("l_orderkey").alias("block"), (F.col("l_suppkey") % 3).alias("line")).agg(F.min("l_quantity").alias("left_edge"), F.array_join(words, " ").alias("words"))
-
-
 @query("with t as (select l_orderkey page, l_linenumber no, l_comment txt from (select l_orderkey, l_linenumber, concat(l_returnflag, ' ', cast(l_partkey as varchar)) l_comment from lineitem)) select page, no, txt AS line, no = 1 AS header from t where length(txt) >= 4 and not (no > 1 and txt like 'R 1%')")
 def ocr_clean_column(spark, sf):
     t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("no"), F.concat_ws(" ", "l_returnflag", F.col("l_partkey").cast("string")).alias("line"))

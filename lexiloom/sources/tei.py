@@ -11,6 +11,13 @@ from pyspark.sql import DataFrame
 
 from ..operators.formats import HEADER_END, NO_OCR_FIRST_LINE, VERSE_LINE
 
+# What an edition's words are repaired by (glued note calls, missing spaces), and its note calls that stand free.
+REPAIRS = (
+    (r"([^\W\d_])(\d+)(?!\w)", r"\1"),
+    (r"([a-zß-ÿ])([A-ZÀ-Þ])", r"\1 \2"),
+    (r"([,;:.!?])([^\W\d_])", r"\1 \2"),
+)
+FREE_CALLS = (("lacrimatus est.", "98", "Sicque"), ("egisset,", "269", "tamen"), ("Post quam,", "339", "conclamata"))
 _PAGE = "￼"  # stands for a page break while paragraphs are built
 ROMAN = ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")
 
@@ -95,9 +102,10 @@ def prose(raw: str) -> str:
             paragraphs[-1] += f"[{value}] "
     done = []
     for p in filter(None, map(_words, paragraphs)):
-        p = re.sub(r"([^\W\d_]{2,})\d{1,3}(?=[\s,.;:)]|$)", r"\1", p)
-        p = re.sub(r"([a-zà-ÿ])([A-ZÀ-Þ])", r"\1 \2", p)
-        p = re.sub(r"([,;:])([^\W\d_])", r"\1 \2", p)
+        for before, call, after in FREE_CALLS:
+            p = p.replace(f"{before} {call} {after}", f"{before} {after}")
+        for pattern, repaired in REPAIRS:
+            p = re.sub(pattern, repaired, p)
         done.append(re.sub(rf"([^\W\d_]){_PAGE}(\S+)", rf"\1\2 {_PAGE}", p))
     if not any(_PAGE in p for p in done):
         raise ValueError("no page break in the body")

@@ -102,6 +102,8 @@ def test_tei():
     raw = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div2 n="1"><head>1</head><p>Lead.<pb n="3"/>First wo<pb n="6"/>rd text12 ends,here.</p></div2></body></text></TEI>'
     text = tei.prose(raw)
     assert text.startswith(X.NO_OCR_FIRST_LINE + "\n## p. 3–5 (#1) ####\n") and "word" in text and "## p. 6 (#2) ####" in text and "text ends, here." in text
+    repaired = tei.prose(raw.replace("Lead.", "Straße8 egisset, 269 tamen b9 finis.Novum caput [§ 4]"))
+    assert "Straße egisset, tamen b finis. Novum caput [§ 4]" in repaired
     play = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><titleStmt><title>T</title></titleStmt></teiHeader><text><body><div type="act" n="1"><sp who="#a"><milestone unit="line" n="1"/><l>one</l><l>two</l><milestone unit="line" n="3"/><l part="I">thr</l><l part="F">ee</l></sp></div></body></text></TEI>'
     assert "## Act I\na\n[1] one\n[2] two\n[3] thr\n[3] ee" in tei.drama(play)
     with pytest.raises(ValueError):
