@@ -81,4 +81,23 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Components by passing the smallest id along links, from a table linked(a, b) that holds both directions.
+_COMPONENTS = "reach(a, b) as (select a, b from linked union select r.a, l.b from reach r join linked l on r.b = l.a), part as (select a, least(a, min(b)) c from reach group by a)"
+#: Where SQL can say the whole result. The other operators' are tokens of a library, learned models, packings and images: tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": f"""with recursive v as (select vec_id, cast(embedding as double[]) e from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ linked as (select x.vec_id a, y.vec_id b from v x join v y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.9), {_COMPONENTS}
+ select vec_id, (select count(*) from linked where a = vec_id) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept from embeddings left join part on a = vec_id""",
+    "op3_substring_dedup": r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+ h as (select doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' '))) hs from d where len(w) >= 50),
+ k as (select doc_id, unnest(hs) h, generate_subscripts(hs, 1) i from h),
+ f as (select h, min(doc_id) m from k group by h),
+ g as (select doc_id, list(distinct j) gone from (select k.doc_id, unnest(range(k.i, k.i + 50)) j from k join f using (h) where m < k.doc_id) group by doc_id)
+ select d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256 from d left join g using (doc_id)""",
+    "op10_minhash_dedup": rf"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+ s as (select doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: md5(array_to_string(w[i:i + 4], ' ')))) sh from d where len(w) > 0),
+ n as (select doc_id, len(sh) n from s), t as (select doc_id, unnest(sh) x from s),
+ pairs as (select p.doc_id a, q.doc_id b, count(*) k from t p join t q on p.x = q.x and p.doc_id <> q.doc_id group by all),
+ linked as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)), {_COMPONENTS}
+ select d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept from d left join n on n.doc_id = d.doc_id left join part on a = d.doc_id""",
+}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import embeddings, language, media, minhash, packing, pieces, substrings, tokens, toxicity, urls
 from lexiloom.llm.common import connected_components
-from lexiloom.llm.queries import URL_RULES
+from lexiloom.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -505,6 +505,80 @@ def test_language(spark):
     assert language.identify(docs(spark, [(1, "text")]), none).collect()[0]["lang_pred"] == "und"
 
 
+def test_language_against_an_explicit_kernel(spark):
+    """The fitted model's scores are those of kernel ridge regression on sets of bins, written out."""
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit_language(frame, per_language=12, landmarks=20)
+    rows = [(r["lang"], r["text"], r["h"]) for r in frame.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()]
+
+    def stretches(text):
+        x = language.letters(text)
+        edges = np.linspace(0, len(x), max(1, round(len(x) / language.STRETCH)) + 1).astype(int)
+        return [x[a : z + 2].tolist() for a, z in zip(edges, edges[1:])]
+
+    def bins(x):
+        out = []
+        for n, size in enumerate(language.BINS, 1):
+            got = set()
+            for i in range(len(x) - n + 1):
+                h = x[i]
+                for c in x[i + 1 : i + n]:
+                    h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                h = ((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+                got.add((h >> 12) % size)
+            out.append(got)
+        return out
+
+    def kernel(p, q):
+        one = lambda a, b: sum(w * len(x & y) / math.sqrt(max(1, len(x)) * max(1, len(y))) for w, x, y in zip(language.BLEND, a, b))
+        return sum(one(a, b) for a in p for b in q) / (len(p) * len(q))
+
+    langs = sorted({r[0] for r in rows})
+    first = {lang: sorted({h for x, _, h in rows if x == lang})[:12] for lang in langs}
+    deal = max(1, 20 // len(langs))
+    learn = [(lang, [bins(s) for s in stretches(t)], first[lang].index(h) < deal) for lang, t, h in rows if h in first[lang] and language.letters(t).size]
+    marks = [b for _, b, m in learn if m]
+    k = np.array([[kernel(b, m) for m in marks] for _, b, _ in learn])
+    y = np.array([[lang == x for x in langs] for lang, *_ in learn], float)
+    weight = y @ (1 / np.sqrt(y.sum(0)))
+    mm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    w = np.linalg.solve((k * weight[:, None] ** 2).T @ k + 1e-3 * (weight**2).sum() * (mm + 1e-6 * np.eye(len(mm))), (k * weight[:, None] ** 2).T @ y)
+    for lang, text, _ in rows[:40]:
+        if language.letters(text).size:
+            want = np.array([kernel([bins(s) for s in stretches(text)], m) for m in marks]) @ w
+            got, score = model.predict([text])
+            assert score[0] == pytest.approx(float(np.clip(want.max(), 0, 1)), abs=2e-3)
+            assert got[0] == langs[int(want.argmax())] or np.sort(want)[-1] - np.sort(want)[-2] < 4e-3
+
+
+def test_language_of_long_texts(spark):
+    """The score of a text doesn't fade with its length."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit_language(frame)
+    for lang in ("en", "fr", "de", "es"):
+        text = " ".join(r[0] for r in frame.where(F.col("lang") == lang).select("text").limit(60).collect())
+        long = (text * (5_000_000 // len(text) + 1))[:5_000_000]
+        (a, b), (x, y) = model.predict([text[:1500], long])
+        assert a == b == lang and y > 0.85 * x
+
+
+def test_exceptions_are_linear():
+    import time
+
+    m = toxicity.ToxicityModel({"trash": 3.0}, ["trash can"])
+    began = time.process_time()
+    assert m.hits(toxicity.fold("trash can " * 100_000)) == []
+    assert time.process_time() - began < 3
+    r = random.Random(3)
+    for _ in range(200):
+        words = [r.choice(["trash", "can", "trash can do", "so", "tr4sh"]) for _ in range(12)]
+        m = toxicity.ToxicityModel({"trash": 3.0, "do": 2.0}, ["trash can", "can do so"])
+        folded = toxicity.fold(" ".join(words))
+        spans = [(i, i + len(e) + 1) for e in m.exceptions for i in range(len(folded)) if folded.startswith(f" {e} ", i)]
+        want = [(i, e) for i in range(len(folded)) for e in m.entries if folded.startswith(f" {e}", i) and not any(a <= i < z for a, z in spans)]
+        assert [(p, e) for p, _, e in m.hits(folded)] == want
+
+
 def test_toxicity(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -671,3 +745,37 @@ def test_pipeline_stage_on_odd_rows(spark, k):
     if name == "toxicity":
         assert {2, 3, 10, 12} <= set(got)
     assert stage(spark, frame.limit(0), sf).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_embedding_dedup", "op3_substring_dedup", "op10_minhash_dedup"])
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got, want = QUERIES[name](spark, sf).toPandas(), con.execute(ORACLE_SQL[name]).df()
+    one = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(str).values.tolist()))
+    assert sorted(got.columns) == sorted(want.columns) and one(got) == one(want)
+
+
+@pytest.mark.parametrize("name", ["op1_token_counts", "op4_url_filter", "op5_packing", "op6_sentencepiece", "op7_language_id", "op8_media_copies", "op9_toxicity"])
+def test_query_gives_every_row(spark, name):
+    sf = "/root/testdata/sf0.001"
+    source, key, out = {"op4_url_filter": ("pages", "page_id", "page_id"), "op8_media_copies": ("embeddings", "vec_id", "image_id")}.get(name, ("documents", "doc_id", "doc_id"))
+    got = QUERIES[name](spark, sf).toPandas()
+    ids = [r[0] for r in spark.read.parquet(f"{sf}/{source}.parquet").select(key).collect()]
+    assert set(got[out]) == set(ids) and (name == "op5_packing" or len(got) == len(ids))
+    if name in ("op7_language_id", "op9_toxicity"):
+        folds, which = (3, 1) if name == "op7_language_id" else (4, 2)
+        assert list(got.held_out) == [zlib.crc32(str(i).encode()) % folds == which for i in got.doc_id]
+    if name == "op4_url_filter":
+        frame = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
+        want = urls_brute([tuple(r) for r in frame], URL_RULES)
+        assert {r[0]: (r[1], r[2], None if pd.isna(r[3]) else r[3], r[4]) for r in got[["page_id", "host", "path", "rule", "verdict"]].itertuples(index=False)} == want
+    if name == "op6_sentencepiece":
+        assert got.round_trip.all()
+    if name == "op5_packing":
+        got = got.sort_values(["sequence_id", "offset"])
+        assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= 1024
