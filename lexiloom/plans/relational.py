@@ -260,12 +260,14 @@ def tree_paths(spark, sf):
     return L.collection_paths(spark, nodes.unionByName(root), "root")
 
 
-@query("select range AS position, cast(floor(range / 100) as bigint) AS page, concat('item', cast(range as varchar)) AS item_key from range(0, 389)")
+@query("select range AS position, cast(floor(range / 100) as bigint) AS page, concat('item', cast(range as varchar)) AS item_key, concat('Title ', cast(range as varchar)) AS title from range(0, 389)")
 def src_paged_items(spark, sf):
+    """A listing of 389 items, a hundred a page, through a fetcher that needs no network."""
     from ..sources.library import PagedItems
 
     spark.dataSource.register(PagedItems)
-    return spark.read.format("paged_items").option("total", 389).load()
+    rows = spark.read.format("paged_items").option("fetch", "lexiloom.sources.library:numbered_items").option("path", "389").load()
+    return rows.select("position", "page", "item_key", F.get_json_object("record", "$.data.title").alias("title"))
 
 
 @query("with k as (select source, doc_id, text, length(concat('{\"source\":\"', source, '\",\"doc_id\":', cast(doc_id as varchar), ',\"body\":\"', repeat('x', least(n_chars, 6000)), '\"}')) size from documents), s as (select *, sum(size) over (partition by source order by doc_id rows unbounded preceding) run, row_number() over (partition by source order by doc_id) no from k) select source, doc_id, case when size > 4000 then concat(repeat('x', greatest(500, least(length(text), 6000) - (size - 4000))), ' […]') else repeat('x', least(length(text), 6000)) end AS body from s where run <= 4000 or no = 1")

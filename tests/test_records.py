@@ -67,3 +67,24 @@ def test_manifest_and_partial_files(spark, tmp_path):
 def test_markdown_of_several_attachments(spark):
     rows = spark.createDataFrame([("i", "A", "", "T", "b", 2, "x", "highlight", "q1\nq2", "", 1), ("i", "A", "", "T", "a", 1, "1", "note", "", "mine", 2), ("i", "A", "", "T", "b", 3, "", "highlight", "q", "c", 3)], "item_key string, author string, year string, title string, attachment_key string, page int, page_label string, kind string, body string, remark string, place int")
     assert sinks.annotation_markdown(rows).first()["markdown"] == "## A. *T*\n\n### Attachment b\n\n- **p. 2 [x]** · highlight\n  > q1 q2\n\n- **p. 3** · highlight\n  > q\n\n  **Comment:** c\n\n### Attachment a\n\n- **p. 1** · note\n  **Comment:** mine\n"
+
+
+def refused(path, start, limit):
+    return 404, [], 0
+
+
+def test_paged_listing_and_tables(spark, tmp_path):
+    from lexiloom.sources import library as L
+
+    spark.dataSource.register(L.PagedItems)
+    load = lambda fetch, path: spark.read.format("paged_items").option("fetch", fetch).option("path", path).option("size", 7).load()
+    assert load("lexiloom.sources.library:numbered_items", "20").count() == 20 and load("lexiloom.sources.library:numbered_items", "0").count() == 0
+    with pytest.raises(Exception, match="fetch must name"):
+        load("nothing", "1").count()
+    assert L.listing_error(404, "x") == "x was not found" and L.listing_error(500, "x") and L.listing_error(200, "x") is None
+    (tmp_path / "a.tsv").write_text("level\tpage\tblock\tpar\tline\tword\tleft\ttop\twidth\theight\tconf\ttext\n4\t1\t1\t1\t1\t0\t0\t0\t9\t9\t-1\t\n5\t1\t1\t1\t1\t2\t50\t10\t9\t9\t90\tsays\n5\t1\t1\t1\t1\t1\t5\t11\t9\t9\t90\t\"he\n")
+    assert [r["text"] for r in D.text_lines(L.read_tsv(spark, str(tmp_path / "a.tsv")), ["page"]).collect()] == ['"he says']
+    (tmp_path / "audit.csv").write_text("attachment_key,item_key,content_type,exists,path\na1,i1,application/pdf,yes,/x.pdf\na2,i1,application/pdf,no,/y.pdf\na3,i2,text/html,yes,/z\na4,i2,application/pdf,yes,\na5,i3,application/pdf,yes,/w.pdf\n")
+    schema = "attachment_key string, item_key string, content_type string, exists string, path string"
+    keys = lambda *a, **k: [r[0] for r in L.read_attachments(spark, str(tmp_path / "audit.csv"), schema, *a, **k).collect()]
+    assert keys() == ["a1", "a5"] and keys(["i3"]) == ["a5"] and keys(["a1"], limit=1) == ["a1"] and len(keys(limit=1)) == 1
