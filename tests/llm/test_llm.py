@@ -508,7 +508,7 @@ def test_language(spark):
 def test_language_against_an_explicit_kernel(spark):
     """The fitted model's scores are those of kernel ridge regression on sets of bins, written out."""
     frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    model = language.fit_language(frame, per_language=12, landmarks=20)
+    model = language.fit_language(frame, per_language=60, landmarks=20)
     rows = [(r["lang"], r["text"], r["h"]) for r in frame.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()]
 
     def stretches(text):
@@ -534,7 +534,7 @@ def test_language_against_an_explicit_kernel(spark):
         return sum(one(a, b) for a in p for b in q) / (len(p) * len(q))
 
     langs = sorted({r[0] for r in rows})
-    first = {lang: sorted({h for x, _, h in rows if x == lang})[:12] for lang in langs}
+    first = {lang: sorted({h for x, _, h in rows if x == lang})[:60] for lang in langs}
     deal = max(1, 20 // len(langs))
     learn = [(lang, [bins(s) for s in stretches(t)], first[lang].index(h) < deal) for lang, t, h in rows if h in first[lang] and language.letters(t).size]
     marks = [b for _, b, m in learn if m]
