@@ -10,23 +10,28 @@ from ..operators import ordered as O
 from .register import CHUNKS, chunks, query, table
 
 
-@query("select attachment_key, raw_label AS label, seq from (select concat(source, '') attachment_key, doc_id seq, cast(cast(floor(doc_id / 40) as bigint) % 9 as varchar) raw_label, lag(cast(cast(floor(doc_id / 40) as bigint) % 9 as varchar)) over (partition by source order by doc_id) prev from documents) where raw_label = prev")
+def _file():
+    """Documents of a source stand for the pages of files, 500 each: what runs over pages runs within a file."""
+    return F.floor(F.col("doc_id") / 500)
+
+
+@query("select attachment_key, raw_label AS label, seq from (select concat(source, '') attachment_key, doc_id seq, cast(cast(floor(doc_id / 40) as bigint) % 9 as varchar) raw_label, lag(cast(cast(floor(doc_id / 40) as bigint) % 9 as varchar)) over (partition by source, doc_id // 500 order by doc_id) prev from documents) where raw_label = prev")
 def repeated_labels(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("attachment_key"), F.col("doc_id").alias("seq"), (F.floor(F.col("doc_id") / 40) % 9).cast("string").alias("label"))
-    return d.withColumn("prev", F.lag("label").over(Window.partitionBy("attachment_key").orderBy("seq"))).where("label = prev").drop("prev")
+    return d.withColumn("prev", F.lag("label").over(Window.partitionBy("attachment_key", F.floor(F.col("seq") / 500)).orderBy("seq"))).where("label = prev").drop("prev")
 
 
-@query("select doc_id, source, last_value(h ignore nulls) over (partition by source order by doc_id rows unbounded preceding) AS heading from (select doc_id, source, case when doc_id % 6 = 0 then concat('Section ', cast(doc_id as varchar)) end h from documents)")
+@query("select doc_id, source, last_value(h ignore nulls) over (partition by source, doc_id // 500 order by doc_id rows unbounded preceding) AS heading from (select doc_id, source, case when doc_id % 6 = 0 then concat('Section ', cast(doc_id as varchar)) end h from documents)")
 def carry_heading(spark, sf):
     h = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Section "), "doc_id"))
-    return table(spark, sf, "documents").select("doc_id", "source", O.carried(h, ["source"], ["doc_id"]).alias("heading"))
+    return table(spark, sf, "documents").select("doc_id", "source", O.carried(h, ["source", _file()], ["doc_id"]).alias("heading"))
 
 
-@query("with y as (select doc_id, source, case when n_chars % 5 = 0 then cast(1000 + n_chars % 700 as int) end y from documents), c as (select doc_id, source, y, last_value(y ignore nulls) over (partition by source order by doc_id rows unbounded preceding) yr, last_value(y ignore nulls) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding) before from y) select doc_id, coalesce(yr, 0) AS year, coalesce(y < before, false) AS backwards from c")
+@query("with y as (select doc_id, source, case when n_chars % 5 = 0 then cast(1000 + n_chars % 700 as int) end y from documents), c as (select doc_id, source, y, last_value(y ignore nulls) over (partition by source, doc_id // 500 order by doc_id rows unbounded preceding) yr, last_value(y ignore nulls) over (partition by source, doc_id // 500 order by doc_id rows between unbounded preceding and 1 preceding) before from y) select doc_id, coalesce(yr, 0) AS year, coalesce(y < before, false) AS backwards from c")
 def carry_year(spark, sf):
     y = F.when(F.col("n_chars") % 5 == 0, (1000 + F.col("n_chars") % 700).cast("int"))
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(O.carried(y, ["source"], ["doc_id"]), F.lit(0)).alias("year"), F.coalesce(y < F.last_value(y, ignoreNulls=True).over(w), F.lit(False)).alias("backwards"))
+    w = Window.partitionBy("source", _file()).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(O.carried(y, ["source", _file()], ["doc_id"]), F.lit(0)).alias("year"), F.coalesce(y < F.last_value(y, ignoreNulls=True).over(w), F.lit(False)).alias("backwards"))
 
 
 @query("with r as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 1 then cast(l_linenumber + case when l_orderkey % 5 = 0 and l_linenumber > 3 then 1 else 0 end as int) end n from lineitem), k as (select *, row_number() over (partition by l_orderkey order by l_linenumber, n nulls first) r from r), b as (select *, last_value(case when n is not null then n end ignore nulls) over w1 ln, last_value(case when n is not null then r end ignore nulls) over w1 lr, first_value(case when n is not null then n end ignore nulls) over w2 hn, first_value(case when n is not null then r end ignore nulls) over w2 hr from k window w1 as (partition by l_orderkey order by r rows unbounded preceding), w2 as (partition by l_orderkey order by r rows between current row and unbounded following)) select l_orderkey, cast(r as int) AS place, cast(coalesce(n, case when hn - ln = hr - lr then ln + r - lr end, -1) as int) AS verse from b")
@@ -40,9 +45,9 @@ def gap_fill(spark, sf):
     return placed.select("l_orderkey", "place", F.coalesce(O.gap_filled(F.col("n"), ["l_orderkey"], ["place"]), F.lit(-1)).cast("int").alias("verse"))
 
 
-@query("with m as (select source, doc_id n, lead(doc_id) over (partition by source order by doc_id) nxt from documents) select source, n AS first_page, case when nxt > n + 1 then concat(cast(n as varchar), '–', cast(nxt - 1 as varchar)) else cast(n as varchar) end AS label from m")
+@query("with m as (select source, doc_id n, lead(doc_id) over (partition by source, doc_id // 500 order by doc_id) nxt from documents) select source, n AS first_page, case when nxt > n + 1 then concat(cast(n as varchar), '–', cast(nxt - 1 as varchar)) else cast(n as varchar) end AS label from m")
 def lead_ranges(spark, sf):
-    m = table(spark, sf, "documents").select("source", F.col("doc_id").alias("first_page"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("nxt"))
+    m = table(spark, sf, "documents").select("source", F.col("doc_id").alias("first_page"), F.lead("doc_id").over(Window.partitionBy("source", _file()).orderBy("doc_id")).alias("nxt"))
     n = F.col("first_page")
     return m.select("source", "first_page", F.when(F.col("nxt") > n + 1, F.concat(n.cast("string"), F.lit("–"), (F.col("nxt") - 1).cast("string"))).otherwise(n.cast("string")).alias("label"))
 
@@ -60,9 +65,9 @@ def page_ranges(spark, sf):
     return O.range_list(O.islands(e, ["user_id"], "n"), ["user_id"])
 
 
-@query("with g as (select source, doc_id b, lag(doc_id) over (partition by source order by doc_id) a from documents) select source, concat(cast(a as varchar), '->', cast(b as varchar)) AS step from g where b <> a + 1")
+@query("with g as (select source, doc_id b, lag(doc_id) over (partition by source, doc_id // 500 order by doc_id) a from documents) select source, concat(cast(a as varchar), '->', cast(b as varchar)) AS step from g where b <> a + 1")
 def numbering_gaps(spark, sf):
-    g = table(spark, sf, "documents").select("source", F.col("doc_id").alias("b"), F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("a"))
+    g = table(spark, sf, "documents").select("source", F.col("doc_id").alias("b"), F.lag("doc_id").over(Window.partitionBy("source", _file()).orderBy("doc_id")).alias("a"))
     return g.where("b <> a + 1").select("source", F.concat(F.col("a"), F.lit("->"), F.col("b")).alias("step"))
 
 
