@@ -551,6 +551,16 @@ def test_language_against_an_explicit_kernel(spark):
             assert got[0] == langs[int(want.argmax())] or np.sort(want)[-1] - np.sort(want)[-2] < 4e-3
 
 
+def test_a_language_that_was_never_learned_goes(spark):
+    """Latin script, shared letters: most documents in the left-out language go, those in the others stay."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.length("text") > 0)
+    for lang in ("es", "de"):
+        model = language.fit_language(frame.where(F.col("lang") != lang))
+        kept = {r[0]: r[1] for r in language.keep_identified(frame, model).groupBy(F.col("lang") == lang).count().collect()}
+        had = {r[0]: r[1] for r in frame.groupBy(F.col("lang") == lang).count().collect()}
+        assert model.unlike > 0.2 and kept.get(True, 0) < 0.5 * had[True] and kept[False] >= 0.995 * had[False]
+
+
 def test_language_of_long_texts(spark):
     """The score of a text doesn't fade with its length."""
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
