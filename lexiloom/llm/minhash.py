@@ -236,13 +236,12 @@ def small_nodes(sets: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tu
     while level < DOUBLE_LEVELS + TOKENS - 1 and hot.limit(1).count():
         level += 1
         # the same order in every node, so that a group's pivots are the same ones in most trees
-        drawn = hot.groupBy("node").agg(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
-        drawn = drawn.select("node", F.posexplode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("k", "p")).select("node", "k", F.col("p.id").alias("id"), F.col("p.component").alias("pc"))
-        drawn = drawn.join(sketches, "id").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "id", "pc", "sketch"))).alias("p"))
+        drawn = hot.groupBy("node").agg(F.first("size").alias("size"), *[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+        drawn = drawn.select("node", "size", F.posexplode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("k", "p")).select("node", "size", "k", F.col("p.id").alias("id"), F.col("p.component").alias("pc"))
+        drawn = drawn.join(sketches, "id").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("k", "id", "pc", "sketch"))).alias("p"))
         # a node's pivots go to each of its parts of about NODE members
         shares = lambda size: F.ceil(size / NODE)
-        pivots = drawn.join(hot.groupBy("node").agg(F.first("size").alias("size")), "node")
-        pivots = pivots.select("node", F.explode(F.sequence(F.lit(0).cast("long"), shares(F.col("size")) - 1)).alias("part"), F.col("p.id").alias("pid"), F.col("p.pc").alias("pc"), F.concat(*[F.col("p")[k]["sketch"] for k in range(PIVOTS)]).alias("psketch"))
+        pivots = drawn.select("node", F.explode(F.sequence(F.lit(0).cast("long"), shares(F.col("size")) - 1)).alias("part"), F.col("p.id").alias("pid"), F.col("p.pc").alias("pc"), F.concat(*[F.col("p")[k]["sketch"] for k in range(PIVOTS)]).alias("psketch"))
 
         def step(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             for b in batches:
