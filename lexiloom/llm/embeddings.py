@@ -127,7 +127,9 @@ def _unit(rows: pa.Array, dtype: str) -> np.ndarray:
 
 def _raw_vectors(lists: pa.ListArray, dtype: str) -> list[bytes | None]:
     """Each vector's bytes; None where it is null, empty, zero or holds a null or a non-finite component."""
-    at, x = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)  # nulls come as NaN
+    at = lists.offsets.to_numpy()
+    x = lists.values.slice(int(at[0]), int(at[-1] - at[0])).to_numpy(zero_copy_only=False)  # of this slice only; nulls come as NaN
+    at = at - at[0]
     x = (x + 0.0).astype(dtype)  # -0 is 0
     bad, some = (np.concatenate(([0], np.cumsum(c))) for c in (~np.isfinite(x), x != 0))
     fine = (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False)
