@@ -5,13 +5,14 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_written, slices, with_sizes, written
+from .common import connected_components, drop_written, slices, written
 
 #: Corners that describe an image at each scale, the strongest ones; scales shrink by this factor down to this least side.
 CORNERS, SHRINK, LEAST_SIDE = 40, 1.25, 30
@@ -19,10 +20,8 @@ CORNERS, SHRINK, LEAST_SIDE = 40, 1.25, 30
 RADIUS, TESTS, KEY_BITS = 9, 256, 32
 #: Pixels whose corners are sought at once, over several images of one shape.
 STACK = 1 << 18
-#: Members of a node that each other member is tried against in a round; members of a node up to which all of its pairs are tried.
-PIVOTS, SMALL = 2, 24
-#: New links a distinct image in a round, from the second one on, under which no other round follows.
-FEW = 0.01
+#: Images of a block, and bytes of their keypoints; blocks that a task holds at once. Every two blocks meet.
+SMALL, BLOCK_BYTES, BLOCKS = 256, 8 << 20, 64
 #: Most differing bits of a match; least matches that agree on one similarity transform, in pixels of the coarser point.
 MOST_BITS, LEAST_AGREEING, TOLERANCE = 60, 10, 3.5
 
@@ -185,7 +184,9 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     """How many matches of two images' keypoints agree on one similarity transform: each match proposes one, the best counts."""
     if not len(a) or not len(b):
         return 0
-    apart = np.bitwise_count(a["bits"][:, None, :] ^ b["bits"][None, :, :]).sum(2)
+    apart = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(TESTS // 64):
+        apart += np.bitwise_count(a["bits"][:, None, k] ^ b["bits"][None, :, k])
     best, back = apart.argmin(1), apart.argmin(0)
     i = np.flatnonzero((back[best] == np.arange(len(a))) & (apart[np.arange(len(a)), best] <= MOST_BITS))
     if len(i) < LEAST_AGREEING:
@@ -213,24 +214,86 @@ def describe(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
     return images.select(images[id_col].cast("long").alias("id"), images[image_col].alias("image")).mapInArrow(run, "id long, points binary, problem string")
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id) of each table: KEY_BITS of a descriptor and which they are; once an image."""
-    for b in slices(batches, 100):
-        for i, raw in zip(b.column(0).to_pylist(), b.column(1)):
-            words = np.frombuffer(raw.as_py(), POINT)["bits"].copy().view("<u4")
-            keys = np.unique(words.astype(np.int64) | np.arange(TESTS // KEY_BITS, dtype=np.int64)[None, :] << KEY_BITS) if len(words) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), i, np.int64))], names=["node", "id"])
+def _blocks(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, ids, counts, points) of up to `most` images, by id: their ids, numbers of keypoints and keypoints, each in one binary; block is the smallest id."""
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def block() -> pa.RecordBatch:
+        held.sort()
+        ids = np.array([i for i, _ in held], np.int64)
+        counts = np.array([len(p) // POINT.itemsize for _, p in held], np.int64)
+        columns = [pa.array(ids[:1]), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), counts.tobytes(), b"".join(p for _, p in held)))]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "counts", "points"])
+
+    for b in slices(batches):
+        for i, points in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if held and (len(held) >= most or size + len(points) > BLOCK_BYTES):
+                yield block()
+                held.clear()
+                size = 0
+            held.append((i, points))
+            size += len(points)
+    if held:
+        yield block()
+
+
+class Block:
+    """Images with their keypoints one after another, and which images hold each table's key."""
+
+    def __init__(self, ids: bytes, counts: bytes, points: bytes):
+        self.ids, self.counts, self.points = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64), np.frombuffer(points, POINT)
+        self.starts = np.concatenate(([0], np.cumsum(self.counts)))
+        keys = self.points["bits"].copy().view("<u4").astype(np.int64) | np.arange(TESTS // KEY_BITS, dtype=np.int64)[None, :] << KEY_BITS
+        owner = np.repeat(np.arange(len(self.ids)), self.counts * (TESTS // KEY_BITS))
+        order = np.lexsort((owner, keys.ravel()))
+        keys, owner = keys.ravel()[order], owner[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))  # a key counts once an image
+        self.keys, self.owner = keys[new], owner[new]
+        by_image = np.argsort(self.owner, kind="stable")
+        self.own = np.split(self.keys[by_image], np.cumsum(np.bincount(self.owner, minlength=len(self.ids)))[:-1])
+
+    def of(self, k: int) -> np.ndarray:
+        return self.points[self.starts[k] : self.starts[k + 1]]
+
+    def in_common(self, keys: np.ndarray) -> np.ndarray:
+        """How many of the keys each image holds."""
+        lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
+        n = hi - lo
+        return np.bincount(self.owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(self.ids))
+
+
+def links_between(x: Block, y: Block, least_keys: int) -> list[tuple[int, int]]:
+    """Links that join what all verified pairs of x's images with y's (x itself: among them) join; pairs already joined by these are not verified."""
+    same = x is y
+    left = np.arange(len(x.ids))
+    right = left if same else len(x.ids) + np.arange(len(y.ids))
+    component = np.arange(len(x.ids) if same else len(x.ids) + len(y.ids))
+    out = []
+    for i in range(len(x.ids)):
+        n = y.in_common(x.own[i])
+        if same:
+            n[: i + 1] = 0
+        others = np.flatnonzero((n >= least_keys) & (component[right] != component[left[i]]))
+        # the likeliest first: what they join needs no further look
+        for j in others[np.argsort(-n[others], kind="stable")].tolist():
+            if component[right[j]] == component[left[i]]:
+                continue
+            p, q = (x.of(i), y.of(j)) if x.ids[i] < y.ids[j] else (y.of(j), x.of(i))
+            if agreeing(p, q) >= LEAST_AGREEING:
+                out.append((int(min(x.ids[i], y.ids[j])), int(max(x.ids[i], y.ids[j]))))
+                component[component == component[right[j]]] = component[left[i]]
+    return out
 
 
 def link_images(images: DataFrame, least_keys: int = 3, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
     """(id_col, n_points, component_id, kept, problem) of every row of images.
 
-    Images with a table's key in common are candidates once least_keys keys say so; they are verified by geometric consensus:
-    matches have to agree on one shift, turn and scale. Verified pairs make components. Each round tries the members of every key
-    that two components still share: all pairs of keys with up to SMALL members, and in larger ones each member with PIVOTS of
-    them, the same ones for all keys, others each round. Rounds end with one, from the second on, that finds under FEW links an
-    image. So a key of any size takes few rows a member, and no pair that a small key holds is left out (tests measure recall
-    against all pairs); pairs that only large keys hold can be missed.
+    Images with least_keys tables' keys in common are candidates, however many images hold a key; each candidate pair is verified by
+    geometric consensus (matches have to agree on one shift, turn and scale) unless links already join it, and verified pairs
+    make components: what verifying all candidates gives. Images go into blocks, and every two blocks meet once, without a
+    shuffle by keys. So the work grows with the square of the number of distinct images: little for each pair, and a
+    verification for each candidate, which are nearly all pairs if descriptors hardly tell images apart.
 
     Images with equal keypoints are one class. problem says why an image has no keypoints to offer: null images, damaged ones and
     formats that aren't read (JPEG among them) link with nothing, as do images without corners. Null ids get component null and
@@ -238,46 +301,31 @@ def link_images(images: DataFrame, least_keys: int = 3, id_col: str = "image_id"
     """
     seen = written(describe(images, id_col, image_col).withColumn("class", F.md5("points")), "points")
     filled = seen.where((F.length("points") > 0) & F.col("id").isNotNull())
-    classes = written(filled.groupBy("class").agg(F.min("id").alias("id"), F.min_by("points", "id").alias("points")), "images")
-    points = classes.select("id", "points")
-    live = written(with_sizes(points.mapInArrow(_keys, "node long, id long").withColumn("component", F.col("id"))), "keys")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000):
-            ok = [agreeing(np.frombuffer(p.as_py(), POINT), np.frombuffer(q.as_py(), POINT)) >= LEAST_AGREEING for p, q in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    found, turn, total = None, 0, classes.count()
-    while live.limit(1).count():
-        turn += 1
-        # once the pivots have joined what they can, small keys are gone through pair by pair
-        apart = [live] if turn == 1 else [live.where(F.col("size") > SMALL)]
-        drawn = apart[0].groupBy("node").agg(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)])
-        drawn = drawn.join(apart[0].groupBy("node").agg(F.first("size").alias("size")), "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / 1024) - 1)).alias("part"), F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("other"))
-        parted = apart[0].withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / 1024)))
-        met = parted.join(drawn, ["node", "part"]).select("id", "component", F.explode("other").alias("o")).where("component != o.component").select("id", F.col("o.id").alias("other"))
-        if turn > 1:
-            few = live.where(F.col("size") <= SMALL).groupBy("node").agg(F.collect_set(F.struct("id", "component")).alias("m"))
-            few = few.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where("x.id < y.id and x.component != y.component")
-            met = met.unionByName(few.select(F.col("x.id").alias("id"), F.col("y.id").alias("other")))
-        pairs = met.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_keys)
-        both = pairs.join(points.select(F.col("id").alias("a"), F.col("points").alias("p")), "a").join(points.select(F.col("id").alias("b"), F.col("points").alias("q")), "b")
-        links = written(both.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"), "links")
-        new, before = links.count(), found
-        if not new and turn == 1:
-            continue
-        if not new:
-            break
-        if before is not None:
-            links = links.unionByName(before.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-        found = written(connected_components(links).withColumnRenamed("node", "id"), "components")
-        old, live = live, written(with_sizes(live.select("node", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))), "keys")
-        drop_written(old, links, *([] if before is None else [before]))
-        if turn > 1 and new < FEW * total:
-            break
-    about = classes.select("class", "id")
-    about = about.withColumn("c", F.col("id")) if found is None else about.join(found, "id", "left").select("class", F.coalesce("component", "id").alias("c"))
-    out = seen.join(about.select("class", "c"), "class", "left")
+    points = filled.groupBy("class").agg(F.min("id").alias("id"), F.min_by("points", "id").alias("points"))
+    # rows that repeat an id with other images are one node: two blocks may begin with the same id
+    blocks = written(points.select("id", "points").mapInArrow(partial(_blocks, SMALL), "block long, ids binary, counts binary, points binary").withColumn("block", F.xxhash64("block", "points")), "blocks")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[int, Block] | None = None
+        for b in slices(batches):
+            for r in range(b.num_rows):
+                (i, *first), (j, *second) = ([b.column(c)[r].as_py() for c in range(k, k + 4)] for k in (0, 4))
+                if known is None or known[0] != i:
+                    known = i, Block(*first)
+                pairs = [p for p in links_between(known[1], known[1] if i == j else Block(*second), least_keys) if p[0] != p[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    n = blocks.count()
+    some = blocks.repartition(max(1, min(n, images.sparkSession.sparkContext.defaultParallelism), -(-n // BLOCKS)))
+    other = some.select(*[F.col(c).alias(f"_{c}") for c in blocks.columns])
+    # each two blocks once, in either order by turns, so that all tasks get about as many
+    once = (F.col("block") == F.col("_block")) | ((F.col("block") < F.col("_block")) == (F.pmod(F.col("block").bitwiseXOR(F.col("_block")), F.lit(2)) == 0))
+    met = some.join(other.hint("shuffle_replicate_nl"), once)
+    links = written(met.mapInArrow(meet, "a long, b long"), "links")
+    drop_written(blocks)
+    found = connected_components(links).withColumnRenamed("node", "id")
+    about = filled.groupBy("class").agg(F.min("id").alias("id")).join(found, "id", "left").select("class", F.coalesce("component", "id").alias("c"))
+    out = seen.join(about, "class", "left")
     known = (F.length("points") > 0) & F.col("id").isNotNull()
     component = F.when(known, F.coalesce("c", "id")).otherwise(F.col("id"))
     n_points = F.coalesce(F.length("points") / POINT.itemsize, F.lit(0)).cast("long")

@@ -5,6 +5,7 @@ import os
 import random
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -692,6 +693,30 @@ def test_images_against_all_pairs(spark, monkeypatch):
     assert (mine[first + 1] == first).mean() > 0.9 and (mine[first + 3] == first).all() and (mine[first + 2] == first).mean() > 0.9
 
 
+@pytest.mark.parametrize("block", [None, 40])
+def test_images_with_keys_that_many_hold(spark, monkeypatch, block):
+    """A strip and its copy, each of whose keys more than 24 windows hold that link with neither: a link all the same."""
+    if block:
+        monkeypatch.setattr(media, "SMALL", block)
+    long = textured(21, (36, 500))
+    strip = long[:, 50:450]
+    images = [long[:, x : x + 50] for x in range(450)] + [strip, strip * 0.9 + 0.05]
+    points = media.described([media.grey(pgm(x))[0] for x in images])
+    keys = [{(k, w) for row in p["bits"].copy().view("<u4").tolist() for k, w in enumerate(row)} for p in points]
+    holders = Counter(k for x in keys for k in x)
+    assert len(keys[450] & keys[451]) >= 3 and min(holders[k] for k in keys[450] & keys[451]) > 24
+    component = list(range(len(points)))
+    for j in range(len(points)):
+        for i in range(j):
+            if len(keys[i] & keys[j]) >= 3 and media.agreeing(points[i], points[j]) >= media.LEAST_AGREEING:
+                a, b = sorted((component[i], component[j]))
+                component = [a if c == b else c for c in component]
+    assert component[450:] == [450, 450]
+    ids = [*range(450), 495, 1678]  # no pivots, were members of a key tried against the least by a hash only
+    got = media.link_images(spark.createDataFrame([(i, pgm(x)) for i, x in zip(ids, images)], "image_id long, image binary")).toPandas().set_index("image_id").component_id
+    assert got.loc[ids].tolist() == [ids[c] for c in component]
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     """Each stage's output on sf0.001, in order."""
