@@ -17,7 +17,7 @@ from .common import shuffle_partitions, slices
 
 SPACE = "▁"
 #: Characters of a chunk of a giant document; stretches that a worker remembers, and the longest of them.
-CHUNK, REMEMBERED, REMEMBERED_CHARS = 65_536, 350_000, 40
+CHUNK, REMEMBERED, REMEMBERED_CHARS = 65_536, 200_000, 40
 #: A boundary's state: (start of the token across it, relative to it; its end; the token). The text's edge has this one.
 State = tuple[int, int, str]
 EDGE: State = (0, 0, "")
@@ -51,7 +51,8 @@ class PieceScan:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id_of):
             raise ValueError("a piece of this model goes on across a space")
         self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.begins = {p[:n] for p in self.id_of for n in range(1, len(p) + 1)}
+        #: beginnings of pieces -> whether they are pieces
+        self.begins = {b: b in self.id_of for b in {p[:n] for p in self.id_of for n in range(1, len(p) + 1)}}
         self.stands: dict[str, dict[str, bool]] = {}
         self.tested = 0
         self.known: dict[str, bytes] = {}
@@ -115,29 +116,40 @@ class PieceScan:
         return reached
 
     def tokens(self, s: str) -> list[str]:
-        """The path over a stretch whose left end has one state: then each place has at most one last token."""
-        n, longest, pieces, begins, edge, stands = len(s), self.longest, self.id_of, self.begins, self.edge, self.stands
-        last: list[str | None] = ["", *[None] * n]
-        for i in range(n):
-            a = last[i]
-            if a is None:
-                continue
-            tested = stands.get(a, _NONE)
-            for e in range(i + 1, min(i + longest, n) + 1):
+        """The path over a stretch whose left end has one state: then each place has at most one last token.
+
+        The longest token goes first; a place that no path leads on from is left once and for all, so each place is gone on from once.
+        """
+        n, longest, piece, edge, stands = len(s), self.longest, self.begins.get, self.edge, self.stands
+        out: list[str] = []
+        ways: list[list[str]] = []
+        dead: set[int] = set()
+        i, a = 0, ""
+        while i < n:
+            way = [s[i]]
+            for e in range(i + 2, min(i + longest, n) + 1):
                 t = s[i:e]
-                if t not in begins:
-                    if e == i + 1 and last[e] is None and edge(a, t):  # a character that is no piece
-                        last[e] = t
+                known = piece(t)
+                if known:
+                    way.append(t)
+                elif known is None:
                     break
-                if last[e] is None and (t in pieces or e == i + 1):
-                    ok = tested.get(t)
-                    if ok or ok is None and edge(a, t):
-                        last[e] = t
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
+            while True:
+                tested = stands.get(a, _NONE)
+                while way:
+                    t = way.pop()
+                    if i + len(t) not in dead and (tested.get(t) or t not in tested and edge(a, t)):
+                        break
+                else:
+                    dead.add(i)
+                    i -= len(out.pop())
+                    way, a = ways.pop(), out[-1] if out else ""
+                    continue
+                break
+            out.append(t)
+            ways.append(way)
+            i, a = i + len(t), t
+        return out
 
     def trace(self, reached: dict, end: int, last: str, begin: int) -> list[str]:
         out = []

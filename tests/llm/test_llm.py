@@ -478,6 +478,16 @@ def test_scan_of_chunks(scan, chunk):
         assert list(array("I", ids)) == scan.sp.encode(t)
 
 
+def test_scan_tests_few_edges():
+    """Over a stretch, the longest token goes first and few edges are tested; all of them would be 88 here."""
+    scan = pieces.PieceScan(PIECES)
+    t = "unbelievablylongwordsoverlappinghereohneleerzeichenwithoutanyspace"
+    assert list(array("I", scan.encode(t))) == scan.sp.encode(t)
+    scan = pieces.PieceScan(PIECES)
+    scan.tokens(t)
+    assert scan.tested < 60
+
+
 def test_product_is_associative(scan):
     n = scan.normal("unbelievably long words overlapping here")
     m = [scan.matrix(n[max(0, a - 16) : a + 8 + 16], a - max(0, a - 16), min(len(n), a + 8) - max(0, a - 16), a == 0, a + 8 >= len(n)) for a in range(0, len(n), 8)]
