@@ -243,27 +243,38 @@ def small_nodes(sets: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tu
         shares = lambda size: F.ceil(size / NODE)
         pivots = drawn.select("node", F.explode(F.sequence(F.lit(0).cast("long"), shares(F.col("size")) - 1)).alias("part"), F.col("p.id").alias("pid"), F.col("p.pc").alias("pc"), F.concat(*[F.col("p")[k]["sketch"] for k in range(PIVOTS)]).alias("psketch"))
 
+        def chosen(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            # of a member's tokens, only its sketch and the two that it may branch by go on to where its pivots are
+            for b in batches:
+                tokens, tree, at = _matrix(b.column(5)), b.column(0).to_numpy(), np.arange(b.num_rows)
+                sketch = pa.array([r.tobytes() for r in (tokens & np.uint32(0xFF)).astype(np.uint8)], pa.binary())
+                by = [tokens[at, _coordinate(tree, level)], tokens[at, PATHS[tree, TOKENS - min(level, TOKENS)]]]
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], sketch, *(pa.array(x.astype(np.int64)) for x in by)], names=["tree", "node", "id", "component", "part", "sketch", "first", "second"])
+
         def step(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
-                tokens, tree, node, ids = _matrix(b.column(4)), b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
-                pid, pc = (b.column(k).flatten().to_numpy().reshape(-1, PIVOTS) for k in (5, 6))
-                sketch = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, PIVOTS, TOKENS)
-                alike = (sketch == tokens.astype(np.uint8)[:, None, :]).sum(2)
+                node, ids = b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+                mine = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, TOKENS)
+                first, second = (b.column(k).to_numpy() for k in (5, 6))
+                pid, pc = (b.column(k).flatten().to_numpy().reshape(-1, PIVOTS) for k in (7, 8))
+                sketch = np.frombuffer(b"".join(b.column(9).to_pylist()), np.uint8).reshape(-1, PIVOTS, TOKENS)
+                alike = (sketch == mine[:, None, :]).sum(2)
                 alike[pc == b.column(3).to_numpy()[:, None]] = -1  # links within a component change nothing
                 at, best = np.arange(len(ids)), alike.argmax(1)
                 to = pa.array(pid[at, best], mask=alike[at, best] < CANDIDATE * TOKENS)
-                child = _branch(node, tokens[at, _coordinate(tree, level)])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), b.column(2), to, b.column(8)], names=["tree", "node", "id", "to", "part"])
+                child = _branch(node, first)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(child), b.column(2), to, b.column(10)], names=["tree", "node", "id", "to", "part"])
                 two = np.flatnonzero(_mixed(node) % np.uint64(2) == 0) if level <= DOUBLE_LEVELS else []
                 if len(two):
-                    child = _branch(~node[two], tokens[two, PATHS[tree[two], TOKENS - level]])
+                    child = _branch(~node[two], second[two])
                     at = pa.array(two)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(child), b.column(2).take(at), pa.nulls(len(two), pa.int64()), b.column(8).take(at)], names=["tree", "node", "id", "to", "part"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(child), b.column(2).take(at), pa.nulls(len(two), pa.int64()), b.column(10).take(at)], names=["tree", "node", "id", "to", "part"])
 
         parted = hot.withColumn("part", F.pmod(F.xxhash64("id"), shares(F.col("size"))))
-        full = parted.join(sets.select("id", "tokens"), "id").join(pivots, ["node", "part"]).select("tree", "node", "id", "component", "tokens", "pid", "pc", "psketch", "part")
+        own = parted.join(sets.select("id", "tokens"), "id").select("tree", "node", "id", "component", "part", "tokens").mapInArrow(chosen, "tree int, node long, id long, component long, part long, sketch binary, first long, second long")
+        full = own.join(pivots, ["node", "part"]).select("tree", "node", "id", "component", "sketch", "first", "second", "pid", "pc", "psketch", "part")
         told = written(full.mapInArrow(step, "tree int, node long, id long, to long, part long"), "branches")
         tried = written(told.where("to is not null").groupBy(F.col("id").alias("a"), F.col("to").alias("b")).agg(F.min("part").alias("part")), "tried")
         if tried.limit(1).count():
@@ -333,6 +344,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     signed = written(signatures(rows, words), "signatures")
     filled = signed.where("doc_id is not null and n > 0")
     sets = written(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("tokens", "doc_id").alias("tokens"), F.first("n").alias("n")), "sets")
+    tokenless = written(signed.drop("tokens"), "signatures")
+    drop_written(signed)
     texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def decide(pairs: DataFrame) -> DataFrame:
@@ -387,7 +400,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
         ends = connected_components(found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
     drop_written(nodes, pairs, held, links, open_, further, *([] if joined is None else [joined]))
     classes = sets.select("k1", "k2", "id").join(ends.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
-    out = signed.join(classes, ["k1", "k2"], "left")
+    out = tokenless.join(classes, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

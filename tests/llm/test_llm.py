@@ -244,6 +244,19 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
     assert len(out) == 1500 and (out.component_id == 0).all()
 
 
+def test_near_duplicates_keep_no_tokens(spark):
+    """Once the sets are made, no table of a row a document holds their tokens any more."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "lexiloom"
+    before = set(folder.glob("signatures-*"))
+    minhash.near_duplicates(docs(spark, sample()))
+    made = [f for d in set(folder.glob("signatures-*")) - before for f in d.glob("*.parquet")]
+    assert made and all("tokens" not in pq.read_schema(f).names for f in made)
+
+
 def test_drop_near_duplicates(spark):
     rows = sample()
     kept = {i for i, *_, k in near_brute(rows) if k and i >= 0}
