@@ -20,6 +20,8 @@ CORNERS, SHRINK, LEAST_SIDE = 40, 1.25, 30
 RADIUS, TESTS, KEY_BITS = 9, 256, 32
 #: Pixels whose corners are sought at once, over several images of one shape.
 STACK = 1 << 18
+#: Keypoints that an image's are compared with at once.
+WIDTH = 4096
 #: Images of a block, and bytes of their keypoints; blocks that a task holds at once. Every two blocks meet.
 SMALL, BLOCK_BYTES, BLOCKS = 256, 8 << 20, 64
 #: Most differing bits of a match; least matches that agree on one similarity transform, in pixels of the coarser point.
@@ -181,25 +183,68 @@ def described(images: list[np.ndarray | None]) -> list[np.ndarray]:
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
-    """How many matches of two images' keypoints agree on one similarity transform: each match proposes one, the best counts."""
-    if not len(a) or not len(b):
-        return 0
+    """How many matches of two images' keypoints agree on one similarity transform."""
+    return int(agreements(a, [b], np.array([False]))[0])
+
+
+def agreements(a: np.ndarray, many: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+    """How many matches of a's keypoints with each other image's agree on one similarity transform: each match proposes one, the best counts.
+
+    A match is two keypoints that are each other's likest, the first among equals. Transforms lead from a to the other image, or to a
+    where `first` says that the other one comes first. Images are compared many at a time, up to WIDTH of their keypoints.
+    """
+    out = np.zeros(len(many), int)
+    if not len(a):
+        return out
+    lengths = np.array([len(b) for b in many], int)
+    group = np.cumsum(lengths) // WIDTH
+    for g in np.unique(group[lengths > 0]):
+        k = np.flatnonzero((group == g) & (lengths > 0))
+        out[k] = _agreements(a, np.concatenate([many[i] for i in k]), lengths[k], first[k])
+    return out
+
+
+def _agreements(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """b: the other images' keypoints one after another, so many of each."""
+    mine, theirs = np.ascontiguousarray(a["bits"].T), np.ascontiguousarray(b["bits"].T)
     apart = np.zeros((len(a), len(b)), np.uint16)
-    for k in range(TESTS // 64):
-        apart += np.bitwise_count(a["bits"][:, None, k] ^ b["bits"][None, :, k])
-    best, back = apart.argmin(1), apart.argmin(0)
-    i = np.flatnonzero((back[best] == np.arange(len(a))) & (apart[np.arange(len(a)), best] <= MOST_BITS))
-    if len(i) < LEAST_AGREEING:
-        return 0
-    p, q = a[i], b[best[i]]
-    size = (q["scale"] / p["scale"]).astype(float)
-    turn = (q["angle"] - p["angle"]).astype(float)
-    c, s = size * np.cos(turn), size * np.sin(turn)
+    for x, y in zip(mine, theirs):
+        apart += np.bitwise_count(x[:, None] ^ y[None, :])
+    # distances beyond a match's are all one; distance and place in one number, so that the least one is the first among equals
+    apart = np.minimum(apart, MOST_BITS + 1).astype(np.uint32) << 24
+    back = (apart | np.arange(len(a), dtype=np.uint32)[:, None]).min(0)
+    apart |= np.arange(len(b), dtype=np.uint32)[None, :]
+    best = np.minimum.reduceat(apart, np.cumsum(lengths) - lengths, axis=1).T
+    image, row = np.nonzero(best >> 24 <= MOST_BITS)
+    column = best[image, row] & 0xFFFFFF
+    mutual = back[column] & 0xFFFFFF == row
+    image, p, q = image[mutual], a[row[mutual]], b[column[mutual]]
+    n = np.bincount(image, minlength=len(lengths))
+    starts = np.cumsum(n) - n
+    out = np.zeros(len(lengths), int)
+    some = np.flatnonzero(n >= LEAST_AGREEING)
+    some = some[np.argsort(n[some])]
+    for at in range(0, len(some), 64):
+        k = some[at : at + 64]
+        # an image's matches in a row, filled up to the longest one's number
+        place = np.arange(n[k].max())[None, :]
+        real = place < n[k][:, None]
+        place = starts[k][:, None] + np.where(real, place, 0)
+        out[k] = _consensus(p[place], q[place], real, first[k])
+    return out
+
+
+def _consensus(a: np.ndarray, b: np.ndarray, real: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """a, b: each image's matches in a row, those that are real; the most that agree on what one of them proposes, from b to a where b comes first."""
+    p, q = np.where(first[:, None], b, a), np.where(first[:, None], a, b)
+    size, turn = (q["scale"] / p["scale"]).astype(float), (q["angle"] - p["angle"]).astype(float)
+    c, s = (size * np.cos(turn))[:, :, None], (size * np.sin(turn))[:, :, None]
     # where each proposal (row) sends each match's first point (column)
-    dx, dy = p["x"][None, :] - p["x"][:, None], p["y"][None, :] - p["y"][:, None]
-    x, y = q["x"][:, None] + c[:, None] * dx - s[:, None] * dy, q["y"][:, None] + s[:, None] * dx + c[:, None] * dy
-    near = TOLERANCE * np.maximum(q["scale"], 1)[None, :] + 0.05 * np.hypot(dx, dy)
-    return int((np.hypot(x - q["x"][None, :], y - q["y"][None, :]) <= near).sum(1).max())
+    dx, dy = (p[f][:, None, :] - p[f][:, :, None] for f in "xy")
+    x, y = (q[f][:, None, :] - q[f][:, :, None] for f in "xy")
+    x, y = x - (c * dx - s * dy), y - (s * dx + c * dy)
+    near = (TOLERANCE * np.maximum(q["scale"], 1))[:, None, :] + 0.05 * np.sqrt(dx * dx + dy * dy)
+    return ((x * x + y * y <= near * near) & real[:, None, :] & real[:, :, None]).sum(2).max(1)
 
 
 def describe(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
@@ -275,14 +320,21 @@ def links_between(x: Block, y: Block, least_keys: int) -> list[tuple[int, int]]:
         if same:
             n[: i + 1] = 0
         others = np.flatnonzero((n >= least_keys) & (component[right] != component[left[i]]))
-        # the likeliest first: what they join needs no further look
-        for j in others[np.argsort(-n[others], kind="stable")].tolist():
-            if component[right[j]] == component[left[i]]:
-                continue
-            p, q = (x.of(i), y.of(j)) if x.ids[i] < y.ids[j] else (y.of(j), x.of(i))
-            if agreeing(p, q) >= LEAST_AGREEING:
-                out.append((int(min(x.ids[i], y.ids[j])), int(max(x.ids[i], y.ids[j]))))
-                component[component == component[right[j]]] = component[left[i]]
+        # the likeliest of each component first, then twice as many a round: what they join needs no further look
+        others, each = others[np.argsort(-n[others], kind="stable")], 1
+        while len(others):
+            by = np.argsort(component[right[others]], kind="stable")
+            sorted_ = component[right[others[by]]]
+            now = np.zeros(len(others), bool)
+            now[by] = np.arange(len(by)) - np.searchsorted(sorted_, sorted_) < each
+            tried = others[now]
+            linked = tried[agreements(x.of(i), [y.of(j) for j in tried], y.ids[tried] <= x.ids[i]) >= LEAST_AGREEING]
+            for j in linked.tolist():
+                if component[right[j]] != component[left[i]]:
+                    out.append((int(min(x.ids[i], y.ids[j])), int(max(x.ids[i], y.ids[j]))))
+                    component[component == component[right[j]]] = component[left[i]]
+            others, each = others[~now], 2 * each
+            others = others[component[right[others]] != component[left[i]]]
     return out
 
 

@@ -688,6 +688,38 @@ def test_images(spark):
     assert media.link_images(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
+def test_images_are_compared_many_at_a_time(monkeypatch):
+    """Counts of many comparisons at once are those of one pair after another, either image first, whatever the batches."""
+
+    def plain(a, b):
+        apart = np.bitwise_count(a["bits"][:, None] ^ b["bits"][None, :]).sum(2, dtype=int)
+        if not apart.size:
+            return 0
+        best, back = apart.argmin(1), apart.argmin(0)
+        at = [(i, j) for i, j in enumerate(best.tolist()) if back[j] == i and apart[i, j] <= media.MOST_BITS]
+        most = 0
+        for i, j in at:
+            size, turn = float(b[j]["scale"] / a[i]["scale"]), float(b[j]["angle"] - a[i]["angle"])
+            n = 0
+            for k, m in at:
+                dx, dy = float(a[k]["x"] - a[i]["x"]), float(a[k]["y"] - a[i]["y"])
+                x, y = b[j]["x"] + size * (np.cos(turn) * dx - np.sin(turn) * dy), b[j]["y"] + size * (np.sin(turn) * dx + np.cos(turn) * dy)
+                n += np.hypot(x - b[m]["x"], y - b[m]["y"]) <= media.TOLERANCE * max(float(b[m]["scale"]), 1) + 0.05 * np.hypot(dx, dy)
+            most = max(most, n)
+        return most if len(at) >= media.LEAST_AGREEING else 0
+
+    r = np.random.default_rng(11)
+    tiles = [np.kron(r.random((8, 8)), np.ones((8, 8))) for _ in range(6)]
+    images = [*tiles, *(t * 0.9 + 0.05 for t in tiles), tiles[0][4:, 4:], np.full((64, 64), 0.5), *(media._box(r.random((90, 110)), 2) for _ in range(2)), np.concatenate([tiles[1], tiles[2]])]
+    points = media.described(images)
+    for width in (1, 60, media.WIDTH):
+        monkeypatch.setattr(media, "WIDTH", width)
+        for i, a in enumerate(points):
+            got = media.agreements(a, points, np.arange(len(points)) <= i)
+            assert got.tolist() == [plain(b, a) if j <= i else plain(a, b) for j, b in enumerate(points)]
+    assert media.agreements(points[0], points, np.arange(len(points)) < 0)[6] >= media.LEAST_AGREEING
+
+
 def test_images_against_all_pairs(spark, monkeypatch):
     """Groups of cropped, scaled, turned and noisy copies: components as from comparing all pairs; halves and quarters are found again."""
     monkeypatch.setattr(media, "SMALL", 4)
