@@ -28,6 +28,8 @@ PIVOTS = 4
 NODE, DEEP, DEEP_NODE = 1024, 3, 4096
 #: Shingles that a worker holds at once when members of a node are compared exactly, a longer single text aside.
 HELD = 2_000_000
+#: Bits an id, and bits at least and at most (32 MB), of the map of ids that leaves others' texts out; bits of a chunk of it.
+ID_BITS, LEAST_BITS, MOST_BITS, CHUNK_BITS = 32, 1 << 16, 1 << 28, 1 << 15
 #: Share of equal tokens from which a pair is confirmed on full sets: 0.75 less four deviations.
 CANDIDATE = 0.6
 
@@ -296,10 +298,18 @@ def small_nodes(sets: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tu
 
 
 def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts (id, text binary) that some pair names, written."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # a merge join at every size: few ids on small data must not make a plan that large data never has
-    return written(texts.join(ids.hint("merge"), "id", "left_semi"), "texts")
+    """The texts (id, text binary) that some pair names, and a few others, written without a shuffle: a map of the ids' hashes goes to all tasks.
+
+    No named text is lost. Of the others, one in 16 at most is left up to 8,000,000 pairs, and more beyond: joins on ids have to follow.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (ID_BITS * pairs.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    chunk, place = F.floor(bit / CHUNK_BITS), F.pmod(bit, F.lit(CHUNK_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    maps = ids.select(chunk.alias("_chunk"), place.alias("_place")).repartition("_chunk").groupBy("_chunk").agg(F.bitmap_construct_agg("_place").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    looked = texts.withColumn("_chunk", chunk).withColumn("_place", place).join(F.broadcast(maps), "_chunk")
+    return written(looked.where(F.getbit(byte, F.pmod("_place", F.lit(8)).cast("int")) == 1).select(*texts.columns), "texts")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
@@ -350,7 +360,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
 
     def decide(pairs: DataFrame) -> DataFrame:
         held = texts_of(pairs, texts)
-        links = written(confirmed(pairs, held, words, percent).distinct(), "links")
+        links = written(confirmed(pairs, held, words, percent), "links")
         drop_written(held)
         return links
 
@@ -365,7 +375,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     likely = by_node(nodes.withColumn("component", F.col("id")), sketches, "sketch").mapInArrow(_likeliest, "a long, b long")
     pairs = written(likely.distinct(), "pairs")
     held = texts_of(pairs, texts)
-    links = written(confirmed(pairs, held, words, percent).distinct(), "links")
+    links = written(confirmed(pairs, held, words, percent), "links")
     known = links if joined is None else links.unionByName(joined.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
     found = written(connected_components(known), "components")
     # 2. members that still have candidates across two components: exact, node by node; pairs within one component can't change any
@@ -393,7 +403,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     sized = sized.join(blocks, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks") - 1, F.lit(0)))))
     sized = sized.select("node", "id", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    further = sized.join(held, "id").select("node", "id", "component", "text", "x", "y").repartition(parts, "node", "x", "y").sortWithinPartitions("node", "x", "y").mapInArrow(exact, "a long, b long").distinct()
+    further = sized.join(held, "id").select("node", "id", "component", "text", "x", "y").repartition(parts, "node", "x", "y").sortWithinPartitions("node", "x", "y").mapInArrow(exact, "a long, b long")
     further = written(further, "links")
     ends = found
     if further.limit(1).count():

@@ -688,6 +688,24 @@ def test_images(spark):
     assert media.link_images(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
+@pytest.mark.parametrize("most", [None, 1 << 15])
+def test_texts_of_pairs_without_a_shuffle_of_others(spark, monkeypatch, most):
+    """Every text that pairs name and few others are written, and no text is shuffled for that; a map that is too small leaves more."""
+    if most:
+        monkeypatch.setattr(minhash, "MOST_BITS", most)
+    ids = [-(1 << 63), -7, 0, *range(1, 20_000), (1 << 63) - 1]
+    texts = spark.createDataFrame([(i, f"text {i}".encode()) for i in ids], "id long, text binary")
+    named = sorted({ids[k] for k in range(0, len(ids), 40)} | {ids[0], ids[1], ids[-1]})
+    pairs = spark.createDataFrame(list(zip(named, named[1:])), "a long, b long")
+    plans, written = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or written(df, name))
+    got = {r.id: bytes(r.text) for r in minhash.texts_of(pairs, texts).collect()}
+    assert set(named) <= set(got) and len(got) < (1200 if most else 1600)
+    assert all(text == f"text {i}".encode() for i, text in got.items())
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+    assert minhash.texts_of(pairs.where("a > b"), texts).count() == 0
+
+
 def test_images_are_compared_many_at_a_time(monkeypatch):
     """Counts of many comparisons at once are those of one pair after another, either image first, whatever the batches."""
 
