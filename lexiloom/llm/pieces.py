@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, slices
+from .common import shuffle_partitions, slices, written
 
 SPACE = "▁"
 #: Characters of a chunk of a giant document; stretches that a worker remembers, and the longest of them.
@@ -51,8 +51,14 @@ class PieceScan:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id_of):
             raise ValueError("a piece of this model goes on across a space")
         self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        #: beginnings of pieces -> whether they are pieces
-        self.begins = {b: b in self.id_of for b in {p[:n] for p in self.id_of for n in range(1, len(p) + 1)}}
+        #: pieces by character: a beginning's node has the next characters' nodes, and at "" its first character and the longer pieces that it begins with, by length
+        self.root: dict = {}
+        for piece in sorted(self.id_of, key=len):
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {"": node.get("", (c,))})
+            if len(piece) > 1:
+                node[""] += (piece,)
         self.stands: dict[str, dict[str, bool]] = {}
         self.tested = 0
         self.known: dict[str, bytes] = {}
@@ -95,13 +101,16 @@ class PieceScan:
 
     def tokens_at(self, text: str, i: int) -> Iterator[str]:
         """Tokens that start at i; a character that is no piece is one by itself."""
-        yield text[i]
-        for e in range(i + 2, min(i + self.longest, len(text)) + 1):
-            t = text[i:e]
-            if t in self.id_of:
-                yield t
-            elif t not in self.begins:
+        node = self.root.get(text[i])
+        if node is None:
+            yield text[i]
+            return
+        for c in text[i + 1 : i + self.longest]:
+            deeper = node.get(c)
+            if deeper is None:
                 break
+            node = deeper
+        yield from node[""]
 
     def forward(self, text: str, begin: int, last: str, stop: int) -> dict[int, dict[str, tuple[int, str]]]:
         """end -> last token there -> (where the token before it ends, that token): all paths from `last`, which ends at begin, of tokens that start before stop."""
@@ -120,34 +129,38 @@ class PieceScan:
 
         The longest token goes first; a place that no path leads on from is left once and for all, so each place is gone on from once.
         """
-        n, longest, piece, edge, stands = len(s), self.longest, self.begins.get, self.edge, self.stands
+        n, root, edge, stands = len(s), self.root, self.edge, self.stands
         out: list[str] = []
-        ways: list[list[str]] = []
+        ways: list[tuple[tuple[str, ...], int]] = []
         dead: set[int] = set()
         i, a = 0, ""
         while i < n:
-            way = [s[i]]
-            for e in range(i + 2, min(i + longest, n) + 1):
-                t = s[i:e]
-                known = piece(t)
-                if known:
-                    way.append(t)
-                elif known is None:
-                    break
+            node = root.get(s[i])
+            if node is None:
+                way: tuple[str, ...] = (s[i],)
+            else:
+                for c in s[i + 1 :]:
+                    deeper = node.get(c)
+                    if deeper is None:
+                        break
+                    node = deeper
+                way = node[""]
+            left = len(way)
             while True:
                 tested = stands.get(a, _NONE)
-                while way:
-                    t = way.pop()
+                while left:
+                    left -= 1
+                    t = way[left]
                     if i + len(t) not in dead and (tested.get(t) or t not in tested and edge(a, t)):
                         break
                 else:
                     dead.add(i)
                     i -= len(out.pop())
-                    way, a = ways.pop(), out[-1] if out else ""
+                    (way, left), a = ways.pop(), out[-1] if out else ""
                     continue
                 break
             out.append(t)
-            ways.append(way)
+            ways.append((way, left))
             i, a = i + len(t), t
         return out
 
@@ -184,7 +197,11 @@ class PieceScan:
         return got
 
     def between(self, text: str) -> bytes:
-        return b"".join(map(self.stretch, self.stretches.findall(text)))
+        parts = self.stretches.findall(text)
+        got = list(map(self.known.get, parts))
+        if None in got:
+            got = [self.stretch(p) if g is None else g for p, g in zip(parts, got)]
+        return b"".join(got)
 
     # a chunk: text[left:right] of a longer text, with margins of `longest` characters on both sides
 
@@ -313,7 +330,8 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s.encode(t) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "text", "ids"])
 
     short = rows.where(F.coalesce(~giant, F.lit(True))).mapInArrow(small, f"id {kind}, text string, ids binary")
-    large = rows.where(giant).groupBy("id", F.xxhash64("text").alias("key"), "text").agg(F.count(F.lit(1)).alias("times"))
+    # written, so that all texts aren't read once for each use of it
+    large = written(rows.where(giant).groupBy("id", F.xxhash64("text").alias("key"), "text").agg(F.count(F.lit(1)).alias("times")), "giants")
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scan(model)

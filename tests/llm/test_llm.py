@@ -706,6 +706,19 @@ def test_texts_of_pairs_without_a_shuffle_of_others(spark, monkeypatch, most):
     assert minhash.texts_of(pairs.where("a > b"), texts).count() == 0
 
 
+def test_pieces_by_character_and_texts_read_once(spark, tmp_path):
+    s = pieces.scan(PIECES)
+    for text in ("▁the▁Überraschung\u0000,▁zzzzq▁▁▁internationalization", "中文😀é", *list(s.id_of)[::2500]):
+        for i in range(len(text)):
+            assert list(s.tokens_at(text, i)) == [text[i], *(text[i:e] for e in range(i + 2, len(text) + 1) if text[i:e] in s.id_of)]
+    texts = [None, "", "a b", "long words here " * 12, "x" * 150]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    got = pieces.encode(spark.read.parquet(str(tmp_path / "docs")), PIECES, chunk=100)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id#") == 1  # long texts are written once, not sought in all texts twice
+    assert {r.doc_id: bytes(r.ids) for r in got.collect()} == {i: s.encode(t) for i, t in enumerate(texts)}
+
+
 def test_images_are_compared_many_at_a_time(monkeypatch):
     """Counts of many comparisons at once are those of one pair after another, either image first, whatever the batches."""
 
