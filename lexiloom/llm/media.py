@@ -20,8 +20,8 @@ CORNERS, SHRINK, LEAST_SIDE = 40, 1.25, 30
 RADIUS, TESTS, KEY_BITS = 9, 256, 32
 #: Pixels whose corners are sought at once, over several images of one shape.
 STACK = 1 << 18
-#: Keypoints that an image's are compared with at once.
-WIDTH = 4096
+#: Keypoints that an image's are compared with at once; pairs of keypoints and pairs of matches that are counted at once, which stay in a core's cache.
+WIDTH, CACHED, MATCHES = 4096, 1 << 16, 1 << 13
 #: Images of a block, and bytes of their keypoints; blocks that a task holds at once. Every two blocks meet.
 SMALL, BLOCK_BYTES, BLOCKS = 256, 8 << 20, 64
 #: Most differing bits of a match; least matches that agree on one similarity transform, in pixels of the coarser point.
@@ -188,63 +188,121 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def agreements(a: np.ndarray, many: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+    """agreements_of() of images whose keypoints are given one by one."""
+    lengths = np.array([len(b) for b in many], int)
+    return agreements_of(a, np.concatenate([a[:0], *many]), np.cumsum(lengths) - lengths, lengths, first)
+
+
+def agreements_of(a: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, least: int = 0) -> np.ndarray:
     """How many matches of a's keypoints with each other image's agree on one similarity transform: each match proposes one, the best counts.
 
-    A match is two keypoints that are each other's likest, the first among equals. Transforms lead from a to the other image, or to a
-    where `first` says that the other one comes first. Images are compared many at a time, up to WIDTH of their keypoints.
+    The other images' keypoints are so many of points from their starts. A match is two keypoints that are each other's likest, the first
+    among equals. Transforms lead from a to the other image, or to a where `first` says that the other one comes first. Images
+    are compared many at a time, those of about one length together, up to WIDTH of their keypoints. A count that a cheaper bound
+    shows to be below `least` is not taken: 0 then.
     """
-    out = np.zeros(len(many), int)
-    if not len(a):
-        return out
-    lengths = np.array([len(b) for b in many], int)
-    group = np.cumsum(lengths) // WIDTH
-    for g in np.unique(group[lengths > 0]):
-        k = np.flatnonzero((group == g) & (lengths > 0))
-        out[k] = _agreements(a, np.concatenate([many[i] for i in k]), lengths[k], first[k])
+    out = np.zeros(len(lengths), int)
+    order = np.argsort(lengths, kind="stable")
+    end, none = len(order), int((lengths == 0).sum()) if len(a) else len(order)
+    while end > none:
+        k = order[max(none, end - max(1, WIDTH // int(lengths[order[end - 1]]))) : end]
+        out[k] = _agreements(a, points, starts[k], lengths[k], first[k], least)
+        end -= len(k)
     return out
 
 
-def _agreements(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """b: the other images' keypoints one after another, so many of each."""
-    mine, theirs = np.ascontiguousarray(a["bits"].T), np.ascontiguousarray(b["bits"].T)
-    apart = np.zeros((len(a), len(b)), np.uint16)
-    for x, y in zip(mine, theirs):
-        apart += np.bitwise_count(x[:, None] ^ y[None, :])
-    # distances beyond a match's are all one; distance and place in one number, so that the least one is the first among equals
-    apart = np.minimum(apart, MOST_BITS + 1).astype(np.uint32) << 24
-    back = (apart | np.arange(len(a), dtype=np.uint32)[:, None]).min(0)
-    apart |= np.arange(len(b), dtype=np.uint32)[None, :]
-    best = np.minimum.reduceat(apart, np.cumsum(lengths) - lengths, axis=1).T
-    image, row = np.nonzero(best >> 24 <= MOST_BITS)
-    column = best[image, row] & 0xFFFFFF
-    mutual = back[column] & 0xFFFFFF == row
-    image, p, q = image[mutual], a[row[mutual]], b[column[mutual]]
-    n = np.bincount(image, minlength=len(lengths))
-    starts = np.cumsum(n) - n
-    out = np.zeros(len(lengths), int)
-    some = np.flatnonzero(n >= LEAST_AGREEING)
-    some = some[np.argsort(n[some])]
-    for at in range(0, len(some), 64):
-        k = some[at : at + 64]
-        # an image's matches in a row, filled up to the longest one's number
-        place = np.arange(n[k].max())[None, :]
-        real = place < n[k][:, None]
-        place = starts[k][:, None] + np.where(real, place, 0)
-        out[k] = _consensus(p[place], q[place], real, first[k])
+def _plain(points: np.ndarray) -> np.ndarray:
+    """Keypoints as rows of six 64-bit numbers, the last four their bits: copied faster than records."""
+    return np.ascontiguousarray(points).view("<u8").reshape(-1, POINT.itemsize // 8)
+
+
+def _agreements(a: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+    """agreements_of() of images whose lengths don't fall. Their bits lie by place, then by image, so that reductions run along images."""
+    rows, places, images = len(a), int(lengths[-1]), len(lengths)
+    ends = np.cumsum(lengths)
+    owner, place = np.repeat(np.arange(images), lengths), np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+    a, b = _plain(a), _plain(points)[starts[owner] + place]
+    theirs = np.zeros((TESTS // 64, places, images), np.uint64)
+    theirs[:, place, owner] = b[:, 2:].T
+    # distance and place in one number, so that the least one is the first among equals
+    kind, shift = (np.uint16, 7) if max(rows, places) <= 1 << 7 else (np.uint32, 22)
+    keys = np.empty((rows, places, images), kind)
+    mine, step = np.ascontiguousarray(a[:, 2:].T), max(1, CACHED // (places * images))
+    for r in range(0, rows, step):
+        apart = np.zeros(keys[r : r + step].shape, np.uint8)
+        differ, n_differ = np.empty(apart.shape, np.uint64), np.empty(apart.shape, np.uint8)
+        for x, y in zip(mine[:-1], theirs):  # up to 192 fit in a byte
+            apart += np.bitwise_count(np.bitwise_xor(x[r : r + step, None, None], y[None], out=differ), out=n_differ)
+        np.bitwise_count(np.bitwise_xor(mine[-1][r : r + step, None, None], theirs[-1][None], out=differ), out=n_differ)
+        np.add(apart, n_differ, out=keys[r : r + step], dtype=kind)
+    keys <<= shift
+    back = (keys | np.arange(rows, dtype=kind)[:, None, None]).min(0)
+    # where an image has no more keypoints, the greatest number
+    keys |= np.where(np.arange(places)[:, None] < lengths, np.arange(places)[:, None], np.iinfo(kind).max).astype(kind)
+    best = keys.min(1).T
+    image, row = np.nonzero(best >> shift <= MOST_BITS)
+    place = (best & (1 << shift) - 1)[image, row]
+    mutual = (back & (1 << shift) - 1)[place, image] == row
+    image, row, place = image[mutual], row[mutual], place[mutual]
+    n = np.bincount(image, minlength=images)
+    begin = np.cumsum(n) - n
+    p, q = a[:, :2].copy().view("<f4")[row], b[:, :2].copy().view("<f4")[(ends - lengths)[image] + place]
+    swap = first[image][:, None]
+    p, q = (np.ascontiguousarray(np.where(s, q, p).T) for s in (swap, ~swap))
+    out = np.where(n >= LEAST_AGREEING, n, 0)
+    for ask in (_at_most, _consensus) if least else (_consensus,):
+        some = np.flatnonzero(out >= max(least, 1))
+        some, out = some[np.argsort(n[some], kind="stable")], np.zeros(images, int)
+        end = len(some)
+        while end:
+            k = some[max(0, end - max(1, MATCHES // int(n[some[end - 1]]) ** 2)) : end]
+            # an image's matches in a column, filled up to the longest one's number
+            at = np.arange(n[k].max())[:, None]
+            real = at < n[k]
+            at = begin[k] + np.where(real, at, 0)
+            out[k] = ask(p[:, at], q[:, at], real)
+            end -= len(k)
     return out
 
 
-def _consensus(a: np.ndarray, b: np.ndarray, real: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """a, b: each image's matches in a row, those that are real; the most that agree on what one of them proposes, from b to a where b comes first."""
-    p, q = np.where(first[:, None], b, a), np.where(first[:, None], a, b)
-    size, turn = (q["scale"] / p["scale"]).astype(float), (q["angle"] - p["angle"]).astype(float)
-    c, s = (size * np.cos(turn))[:, :, None], (size * np.sin(turn))[:, :, None]
-    # where each proposal (row) sends each match's first point (column)
-    dx, dy = (p[f][:, None, :] - p[f][:, :, None] for f in "xy")
-    x, y = (q[f][:, None, :] - q[f][:, :, None] for f in "xy")
+def _at_most(a: np.ndarray, b: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """No less than _consensus() of the same, in single precision: squared tolerances are wider by more than its rounding.
+
+    (t + u)^2 is at most 1.4 t^2 + 3.5 u^2, whatever t and u are: that needs no root.
+    """
+    (px, py, p_scale, p_angle), (qx, qy, q_scale, q_angle) = a, b
+    px = np.where(real, px, np.float32(np.nan))  # agrees with nothing
+    size, turn = q_scale / p_scale, q_angle - p_angle
+    c, s = (size * np.cos(turn))[None], (size * np.sin(turn))[None]
+    dx, dy = px[:, None] - px[None], py[:, None] - py[None]
+    x, y = qx[:, None] - qx[None], qy[:, None] - qy[None]
+    part = c * dx
+    x -= part
+    x += np.multiply(s, dy, out=part)
+    x *= x
+    y -= np.multiply(s, dx, out=part)
+    y -= np.multiply(c, dy, out=part)
+    y *= y
+    x += y
+    dx *= dx
+    dy *= dy
+    dx += dy
+    dx *= np.float32(1.05 * 3.5 * 0.05**2)
+    dx += (np.float32(1.05 * 1.4 * TOLERANCE**2) * np.maximum(q_scale, np.float32(1)) ** 2)[:, None]
+    return (x <= dx).sum(0, dtype=np.uint16).max(0)
+
+
+def _consensus(a: np.ndarray, b: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """a, b: x, y, scale and angle of each image's matches in a column, those that are real; the most that agree on what one of them proposes."""
+    (px, py, p_scale, p_angle), (qx, qy, q_scale, q_angle) = a, b
+    size, turn = (q_scale / p_scale).astype(float), (q_angle - p_angle).astype(float)
+    c, s = (size * np.cos(turn))[None], (size * np.sin(turn))[None]
+    # where each proposal (column) sends each match's first point (row)
+    dx, dy = px[:, None] - px[None], py[:, None] - py[None]
+    x, y = qx[:, None] - qx[None], qy[:, None] - qy[None]
     x, y = x - (c * dx - s * dy), y - (s * dx + c * dy)
-    near = (TOLERANCE * np.maximum(q["scale"], 1))[:, None, :] + 0.05 * np.sqrt(dx * dx + dy * dy)
-    return ((x * x + y * y <= near * near) & real[:, None, :] & real[:, :, None]).sum(2).max(1)
+    near = (TOLERANCE * np.maximum(q_scale, 1))[:, None] + 0.05 * np.sqrt(dx * dx + dy * dy)
+    return ((x * x + y * y <= near * near) & real[:, None] & real[None]).sum(0).max(0)
 
 
 def describe(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
@@ -288,7 +346,7 @@ class Block:
 
     def __init__(self, ids: bytes, counts: bytes, points: bytes):
         self.ids, self.counts, self.points = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64), np.frombuffer(points, POINT)
-        self.starts = np.concatenate(([0], np.cumsum(self.counts)))
+        self.starts = np.cumsum(self.counts) - self.counts
         keys = self.points["bits"].copy().view("<u4").astype(np.int64) | np.arange(TESTS // KEY_BITS, dtype=np.int64)[None, :] << KEY_BITS
         owner = np.repeat(np.arange(len(self.ids)), self.counts * (TESTS // KEY_BITS))
         order = np.lexsort((owner, keys.ravel()))
@@ -299,7 +357,7 @@ class Block:
         self.own = np.split(self.keys[by_image], np.cumsum(np.bincount(self.owner, minlength=len(self.ids)))[:-1])
 
     def of(self, k: int) -> np.ndarray:
-        return self.points[self.starts[k] : self.starts[k + 1]]
+        return self.points[self.starts[k] : self.starts[k] + self.counts[k]]
 
     def in_common(self, keys: np.ndarray) -> np.ndarray:
         """How many of the keys each image holds."""
@@ -328,7 +386,7 @@ def links_between(x: Block, y: Block, least_keys: int) -> list[tuple[int, int]]:
             now = np.zeros(len(others), bool)
             now[by] = np.arange(len(by)) - np.searchsorted(sorted_, sorted_) < each
             tried = others[now]
-            linked = tried[agreements(x.of(i), [y.of(j) for j in tried], y.ids[tried] <= x.ids[i]) >= LEAST_AGREEING]
+            linked = tried[agreements_of(x.of(i), y.points, y.starts[tried], y.counts[tried], y.ids[tried] <= x.ids[i], LEAST_AGREEING) >= LEAST_AGREEING]
             for j in linked.tolist():
                 if component[right[j]] != component[left[i]]:
                     out.append((int(min(x.ids[i], y.ids[j])), int(max(x.ids[i], y.ids[j]))))

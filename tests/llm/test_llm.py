@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter
@@ -751,6 +752,62 @@ def test_images_are_compared_many_at_a_time(monkeypatch):
     assert media.agreements(points[0], points, np.arange(len(points)) < 0)[6] >= media.LEAST_AGREEING
 
 
+def test_images_hardly_alike_take_no_exact_count(monkeypatch):
+    """Links between blocks are those of exact counts of all pairs, and few pairs need an exact count; short and long descriptions, kept in little memory."""
+    r = np.random.default_rng(12)
+    tiles = [np.kron(r.random((8, 8)), np.ones((8, 8))) for _ in range(60)]
+    images = [*tiles, *(t * 0.8 + 0.1 for t in tiles[:5]), *(t[:, 8:] for t in tiles[5:10]), np.full((64, 64), 0.5), textured(1), textured(1)[10:110, 15:130], textured(2, (300, 260))]
+    points = media.described([media.grey(pgm(x))[0] for x in images])
+    assert max(map(len, points)) > 128 and min(map(len, points)) == 0
+
+    def block(at):
+        return media.Block(np.array(at).tobytes(), np.array([len(points[i]) for i in at]).tobytes(), b"".join(points[i].tobytes() for i in at))
+
+    counted, consensus = [], media._consensus
+    whole = block([i for i in range(len(points)) if len(points[i])])
+    monkeypatch.setattr(media, "_consensus", lambda *args: counted.append(args[-1].shape[1]) or consensus(*args))
+    got = media.links_between(whole, whole, 3)
+    assert 0 < sum(counted) < 0.1 * len(whole.ids) ** 2 / 2
+    component = np.arange(len(points))
+    for i, x in enumerate(whole.ids):
+        n = whole.in_common(whole.own[i])
+        for j in np.flatnonzero((n >= 3) & (whole.ids > x)):
+            if media.agreeing(points[x], points[whole.ids[j]]) >= media.LEAST_AGREEING:
+                component[component == component[whole.ids[j]]] = component[x]
+    mine = np.arange(len(points))
+    for i, j in got:
+        mine[mine == mine[j]] = mine[i]
+    assert [np.flatnonzero(mine == c).tolist() for c in np.unique(mine)] == [np.flatnonzero(component == c).tolist() for c in np.unique(component)]
+    assert len(np.unique(component)) < len(points) - 10
+
+    many = np.zeros(400, media.POINT)
+    many["x"], many["y"], many["scale"] = *r.random((2, 400)) * 300, 1
+    many["bits"] = r.integers(0, 1 << 63, (400, 4))
+    tracemalloc.start()
+    assert media.agreements(many, [many] * 30, np.zeros(30, bool)).tolist() == [400] * 30
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_bound_on_agreeing_matches():
+    """Never below the exact count, whatever the scales, turns, sizes of images and numbers of matches; well below ten where nothing agrees."""
+    r = np.random.default_rng(13)
+    for size in (64, 2000, 60_000):
+        shape = (30, 40)
+        p = np.stack([*r.random((2, *shape)) * size, 1.25 ** r.integers(0, 20, shape), r.random(shape) * 6 - 3]).astype("<f4")
+        turn, grow = r.random(shape[1]) * 6, 1.25 ** r.integers(-6, 7, shape[1])
+        c, s = grow * np.cos(turn), grow * np.sin(turn)
+        # matches that agree but for about their tolerance, on either side
+        off = (media.TOLERANCE * np.maximum(p[2] * grow, 1) + 0.05 * np.hypot(p[0] - p[0][:1], p[1] - p[1][:1])) * r.choice([0, 0.999999, 1, 1.000001, 3], shape)
+        way = r.random(shape) * 6
+        q = np.stack([c * p[0] - s * p[1] + off * np.cos(way), s * p[0] + c * p[1] + off * np.sin(way), p[2] * grow, p[3] + turn]).astype("<f4")
+        real = np.arange(shape[0])[:, None] < r.integers(1, shape[0] + 1, shape[1])
+        exact = media._consensus(p, q, real)
+        assert (media._at_most(p, q, real) >= exact).all() and exact.max() > 10
+    stray = np.stack([*r.random((2, *shape)) * 64, np.ones(shape), r.random(shape) * 6]).astype("<f4")
+    assert (media._at_most(stray, stray[:, ::-1], np.arange(30)[:, None] < np.full(40, 16)) < media.LEAST_AGREEING).mean() > 0.9
+
+
 def test_images_against_all_pairs(spark, monkeypatch):
     """Groups of cropped, scaled, turned and noisy copies: components as from comparing all pairs; halves and quarters are found again."""
     monkeypatch.setattr(media, "SMALL", 4)
