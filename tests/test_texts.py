@@ -285,3 +285,17 @@ def test_md_plain_takes_a_documents_signs_as_its_sql_does(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(f"select doc_id, plain from ({ORACLE_SQL['md_plain']}) order by doc_id").fetchall()
     assert [tuple(r) for r in QUERIES["md_plain"](spark, str(tmp_path)).orderBy("doc_id").collect()] == want
+
+
+def test_index_is_built_by_the_tasks_that_read_the_rows(spark, tmp_path):
+    """A term of every row lies in one sorted file of each task, whatever the shuffle partitions; the statistics are those of all rows."""
+    texts = [*(f"the Zoë w{i} w{i % 7} the" for i in range(1200)), "", None, "..."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(6)
+    index = KeywordIndex.build(rows, str(tmp_path / "index"), buckets=3)
+    assert (index.rows, index.mean_length) == (1203, 6000 / 1203)
+    where = index.of(["the"]).groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).collect()
+    assert len(where) == 6 and sum(r["n"] for r in where) == 1200 and sum(r["tf"] for r in where) == 2400
+    assert [r[0] for r in index.of(["w5", "zoe", "none"]).where("id = 5").orderBy("term").select("positions").collect()] == [[2, 3], [1]]
+    for f in index.postings.select(F.input_file_name()).distinct().collect():
+        terms = [r[0] for r in spark.read.parquet(f[0]).select("term").collect()]
+        assert terms == sorted(terms)
