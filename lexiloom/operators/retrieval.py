@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import each
 from ..functions.text import fold_text
 from .chunking import overlap_len
 from .index import KeywordIndex
@@ -79,9 +80,9 @@ def joined_parts(parts: Sequence[str]) -> str:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def stitched_all(parts: pd.Series) -> pd.Series:
-    return parts.map(lambda p: None if p is None else joined_parts([x for x in p if x is not None]))
+@each(T.StringType())
+def stitched_all(parts: list[str | None] | None) -> str | None:
+    return None if parts is None else joined_parts([x for x in parts if x is not None])
 
 
 # the keyword language

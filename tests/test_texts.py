@@ -299,3 +299,55 @@ def test_index_is_built_by_the_tasks_that_read_the_rows(spark, tmp_path):
     for f in index.postings.select(F.input_file_name()).distinct().collect():
         terms = [r[0] for r in spark.read.parquet(f[0]).select("term").collect()]
         assert terms == sorted(terms)
+
+
+class Rows:
+    """Stands for a DataFrame: keeps the function that maps its batches."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("chunked", [C.chunk_documents, X.chunk_texts])
+def test_a_worker_holds_objects_for_a_few_texts_only(spark, chunked):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None, "", *(words(600, i) for i in range(20))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6600)), pa.array(texts * 300)], ["doc_id", "text"])
+    assert batch.nbytes > 20_000_000
+    run = chunked(Rows(spark.createDataFrame([], "doc_id long, text string").schema))
+    want = list(next(run(iter([batch.slice(0, 22)]))).to_pylist())
+    tracemalloc.start()
+    n = 0
+    for part in run(iter([batch])):
+        n += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 300 * len(want) and peak < 12_000_000
+
+
+def test_functions_of_single_values_keep_order_and_nulls(spark):
+    import pyarrow as pa
+
+    from lexiloom.functions import python_text as P
+    from lexiloom.functions.batches import BYTES, ROWS, slices
+
+    texts = ["x" * (i % 7) * 1000 for i in range(3000)] + ["y" * 3_000_000, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    parts = list(slices(batch))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.num_rows <= ROWS and p.nbytes <= BYTES for p in parts)
+    pages = [None, "", "<nav>n</nav><p>a<p>b"] * 700
+    d = spark.createDataFrame([(i, h, ["one two three four five", None, h]) for i, h in enumerate(pages)], "i int, h string, parts array<string>").coalesce(1)
+    got = d.select(P.html_text("h", main_only=False), P.stopword_language("h"), R.stitched_all("parts"), C.overlaps(F.lit("ab"), F.lit("b")), P.french_sentences("h")).collect()
+    assert [r[0] for r in got] == [P._html(h, False) for h in pages] and {r[1] for r in got} == {""}
+    assert [r[2] for r in got] == [R.joined_parts([x for x in ("one two three four five", h) if x is not None]) for h in pages]
+    assert {r[3] for r in got} == {1} and [r[4] for r in got[:2]] == [None, []]
