@@ -351,3 +351,13 @@ def test_functions_of_single_values_keep_order_and_nulls(spark):
     assert [r[0] for r in got] == [P._html(h, False) for h in pages] and {r[1] for r in got} == {""}
     assert [r[2] for r in got] == [R.joined_parts([x for x in ("one two three four five", h) if x is not None]) for h in pages]
     assert {r[3] for r in got} == {1} and [r[4] for r in got[:2]] == [None, []]
+
+
+def test_an_items_citation_does_not_depend_on_the_order_of_its_chunks(spark, library):
+    """Years differ by chunk here: the first chunk by id is cited."""
+    from dataclasses import replace
+
+    c = library.chunks.where("chunk_id = 'ann:000'")
+    two = [c.withColumns({"chunk_id": F.lit(i), "yr": F.lit(y)}) for i, y in (("a1", "1501"), ("a2", "1502"))]
+    for chunks in (two[0].union(two[1]), two[1].union(two[0])):
+        assert " 1501" in json.loads(replace(library, chunks=chunks.coalesce(1)).get_item("i1"))["citation"]
